@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_simhash"]
+MODULES = ["q_mixing", "q_simhash"]
 
 
 def _modules():
