@@ -12,7 +12,9 @@ def _modules():
 
 
 def queries() -> dict:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {k: f for m in _modules() for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
