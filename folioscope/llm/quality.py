@@ -29,7 +29,7 @@ from .decontam import words
 from .support import ASCII_UPPER, prepare
 
 DIMENSION = 1 << 18
-SAMPLE = 20_000
+SAMPLE = 12_000
 SEEN = 5  # a place counts if so many rows of the sample have it
 GRADES = 3
 STEPS = 100
@@ -152,14 +152,19 @@ def fit_rows(rows: list[np.ndarray], grades: list[int], n_grades: int = GRADES)
         return Model(np.zeros(DIMENSION), np.linspace(-6, -4, n_grades - 1))
     y = np.array(grades)
     pull = np.where(y < n_grades - 1, PULL, 1.0)
-    of, at = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
-    common = np.bincount(at, minlength=DIMENSION) >= min(SEEN, len(rows))
-    of, at = of[common[at]], at[common[at]]
-    used, at = np.unique(at, return_inverse=True)
+    at = np.concatenate(rows).astype(np.int32)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    seen = np.bincount(at, minlength=DIMENSION)
+    common = seen >= min(SEEN, len(rows))
+    used = np.flatnonzero(common)
+    held = common[at]
+    of, at = of[held], (np.cumsum(common, dtype=np.int32) - 1)[at[held]]
+    del held
     begins = np.searchsorted(of, np.arange(len(rows)))
     filled = np.diff(np.append(begins, len(of))) > 0
     across = of[np.argsort(at, kind="stable")]
-    heads = np.searchsorted(np.sort(at), np.arange(len(used)))
+    heads = np.cumsum(seen[used]) - seen[used]
+    del of
     below = np.clip([(y <= k).mean() for k in range(n_grades - 1)], 0.01, 0.99)
     start = np.log(below / (1 - below))
     gaps = np.log(np.maximum(np.diff(start), 0.1))
