@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_urlfilter", "q_mixing", "q_multiindex", "q_sharding", "q_quality", "q_tokencount", "q_warc", "q_decontam", "q_simhash"]
+MODULES = ["q_urlfilter", "q_mixing", "q_multiindex", "q_repeats", "q_sharding", "q_quality", "q_tokencount", "q_warc", "q_decontam", "q_simhash"]
 
 
 def _modules():
