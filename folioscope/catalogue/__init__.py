@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["searching"]
+MODULES = ["searching", "texts", "collection", "lifecycle", "personas"]
 
 
 def _modules():

@@ -14,6 +14,6 @@ BRIDGE = """bridge AS (
 EVENTS = """ev AS (
   SELECT event_id AS line, 'author:u' || lpad(user_id::VARCHAR, 5, '0') AS source_id,
     CASE event_type WHEN 'signup' THEN 'import' WHEN 'purchase' THEN 'refresh' WHEN 'error' THEN 'delete' ELSE event_type END AS action,
-    strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at, coalesce(floor(value)::BIGINT, 0) AS document_count
+    strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at_, coalesce(floor(value)::BIGINT, 0) AS document_count
   FROM events),
-good AS (SELECT * FROM ev WHERE action IN ('import', 'refresh', 'delete') AND source_id IS NOT NULL AND at IS NOT NULL)"""
+good AS (SELECT * FROM ev WHERE action IN ('import', 'refresh', 'delete') AND source_id IS NOT NULL AND at_ IS NOT NULL)"""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workers import importable
+
 
 def stable_json(**fields: Column) -> Column:
     """An object with its keys in order, null ones left out."""
@@ -44,6 +46,7 @@ def flatten(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id, ord, path, text): a row for each scalar of any depth, by an Arrow pass over the texts."""
     import pyarrow as pa
 
+    importable(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("j"))
     kind = rows.schema["id"].dataType.simpleString()
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..workers import importable
 
 OVERSIZE = 8000
 SECTION = "ord int, title string, body string"
@@ -34,6 +35,7 @@ def sections(df: DataFrame, id_col: str, text_col: str, heading: str = r"^#{1,3}
 def sections_by(df: DataFrame, id_col: str, text_col: str, split_by: str) -> DataFrame:
     """``sections`` for a pattern of the caller's: the title is its first group, else the match."""
     rule = re.compile(split_by, re.MULTILINE)
+    importable(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 

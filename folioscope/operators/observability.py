@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workers import importable
+
 # Upper bounds of the latency buckets, seconds.
 BOUNDS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 LIMIT, WINDOW_S = 60, 60
@@ -54,6 +56,7 @@ def rate_limit(requests: DataFrame, client: str = "client", micros: str = "micro
     """
     import pyarrow as pa
 
+    importable(requests.sparkSession)
     rows = requests.select(F.col(request_id).alias("id"), F.col(client).cast("string").alias("client"), F.col(micros).cast("long").alias("micros"))
     kind = rows.schema["id"].dataType.simpleString()
 
