@@ -12,7 +12,8 @@ in the next byte on the left, and lie in more than one child on the right, is a
 all its occurrences.
 
 Hot anchors. A string with more than ``HOT`` anchors (a passage in a third of all texts) is dealt out
-in groups by hash. What such a group can't find by itself, a stretch whose like is in another group,
+in groups by the hash of all that the anchor stands for. A task that meets the same surroundings again
+knows both for covered and sends them no further but once. What such a group can't find by itself, a stretch whose like is in another group,
 is found by an exact count: each group hands on the stretches it left alone, and one example of each
 of its repeats, and those of all groups are compared by hashes of what ever fewer stretches have in
 common: 42, 6 and 1 at a time.
@@ -38,7 +39,7 @@ from .support import prepare
 
 LENGTH = 400
 GRAM = 64
-HOT = 256
+HOT = 1024
 SEGMENT = 60_000
 GATHER = 4096
 WIDTHS = (42, 6, 1)
@@ -230,6 +231,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for groups in _groups(batches):
         out: list[tuple] = []
         for group in groups:
+            if group[0][7] is None:
+                out += [(COVER, *r[3:7], None) for r in group]
+                continue
             rows = list({(r[3], r[4], r[5], r[6]): r for r in group}.values())
             hot = rows[0][2]
             covered: list[list[tuple[int, int]]] = [[] for _ in rows]
@@ -327,14 +331,30 @@ def _contexts(hot: int):
     kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, tuple | None] = {}
+        texts: set[bytes] = set()
         for batch in batches:
             for tid, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = []
+                if tid in texts:  # a repeated row
+                    continue
+                texts.add(tid)
+                rows: list[tuple] = []
                 for a in found:
-                    pos, lo, hi, n = a["pos"], a["lo"], a["hi"], a["n"]
-                    parts = -(-n // hot)
-                    salt = xxhash.xxh32_intdigest(tid + pos.to_bytes(8, "big")) % parts
-                    rows.append((a["gram"], salt, parts > 1, tid, pos, lo, hi, text[pos - hi : pos][::-1], text[pos : pos + LENGTH - lo]))
+                    pos, lo, hi, gram = a["pos"], a["lo"], a["hi"], a["gram"]
+                    parts = -(-a["n"] // hot)
+                    before, after = text[pos - hi : pos][::-1], text[pos : pos + LENGTH - lo]
+                    if parts == 1:
+                        rows.append((gram, 0, False, tid, pos, lo, hi, before, after))
+                        continue
+                    digest = xxhash.xxh3_128_intdigest(before + after, seed=hi)
+                    key = (gram, lo, digest)
+                    if key not in seen:
+                        seen[key] = (tid, pos, lo, hi)
+                        rows.append((gram, digest % parts, True, tid, pos, lo, hi, before, after))
+                        continue
+                    for other in filter(None, (seen[key], (tid, pos, lo, hi))):
+                        rows.append((gram, -1 - (other[0][0] * 16 + other[1]) % 4096, True, *other, None, None))
+                    seen[key] = None
                 for at in range(0, len(rows), GATHER):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + GATHER], strict=True), kinds, strict=True)], names)
 
@@ -349,7 +369,7 @@ class Prepared:
         self.rows = _texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t")), "__t").drop("__t")
         found = self.rows.select("__text").mapInArrow(_anchored, "tid binary, pos bigint, lo int, hi int, gram bigint")
         found = stored(found.dropDuplicates(["tid", "pos", "lo", "hi"]))
-        often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+        often = stored(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
         lists = found.join(often, "gram").groupBy("tid").agg(F.collect_list(F.struct("pos", "lo", "hi", "gram", "n")).alias("found"))
         self.small = self.rows.select("id", _tid().alias("tid"), F.octet_length("__text").cast("long").alias("n_bytes"), F.sha2("__text", 256).alias("sha256"))
         self.copies = self.small.groupBy("tid").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
@@ -410,7 +430,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (first id of the text, start byte), one row for each anchor they are found by.
 
     Lengths reach as far as the stretches that the anchor stands for, at both sides. Of strings with more
-    than ``HOT`` anchors, occurrences are those of one group of anchors.
+    than ``HOT`` anchors, occurrences are those of one group of anchors, one for each surroundings.
     """
     made = Prepared(docs, id_col, text_col)
 
@@ -418,7 +438,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for groups in _groups(batches):
             lengths, places, number = [], [], []
             for group in groups:
-                rows = list({(r[3], r[4], r[5], r[6]): r for r in group}.values())
+                rows = list({(r[3], r[4], r[5], r[6]): r for r in group if r[7] is not None}.values())
                 if len(rows) < 2:
                     continue
                 for left, right, members in maximal([r[8] for r in rows], [r[7] for r in rows]):
