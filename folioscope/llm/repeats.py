@@ -39,7 +39,7 @@ from .support import prepare
 
 LENGTH = 400
 GRAM = 64
-HOT = 1024
+HOT = 4096
 SEGMENT = 60_000
 GATHER = 4096
 WIDTHS = (42, 6, 1)
