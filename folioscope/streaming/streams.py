@@ -27,7 +27,8 @@ def latency_stream(requests: DataFrame, time: str = "ts", seconds: str = "second
 
 def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, window_s: int = WINDOW_S) -> DataFrame:
     """``requests(id, client, micros)`` with allowed and retry_after; a client's state is the times of the
-    requests let through in the last window, and goes when it has been silent for two."""
+    requests let through in the last window, and goes when the stream is two windows past its last.
+    Requests that come later than a window are dropped."""
     importable(requests.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,7 +40,9 @@ def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, window_s: int = W
             said = [own.ask(int(m)) for m in rows["micros"]]
             yield pd.DataFrame({"id": rows["id"], "client": key[0], "micros": rows["micros"], "allowed": [a for a, _ in said], "retry_after": [w for _, w in said]})
         state.update((own.times,))
-        state.setTimeoutDuration(2 * window_s * 1000)
+        last = max(own.times, default=0) // 1000 + 2 * window_s * 1000
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
 
     rows = requests.select(F.col("id").cast("long").alias("id"), F.col("client").cast("string").alias("client"), F.col("micros").cast("long").alias("micros"))
-    return rows.groupBy("client").applyInPandasWithState(step, "id long, client string, micros long, allowed boolean, retry_after long", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = rows.withColumn("at", F.timestamp_micros("micros")).withWatermark("at", f"{window_s} seconds")
+    return rows.groupBy("client").applyInPandasWithState(step, "id long, client string, micros long, allowed boolean, retry_after long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)

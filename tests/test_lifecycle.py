@@ -81,11 +81,11 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     want = {r["source_id"]: r["last_action"] for r in L.summarize(L.parse_events(lines(spark))).collect()}
     assert {r["source_id"]: r["last_action"] for r in spark.table("summary").collect()} == want
-    rows = spark.range(10).select("id", F.lit("a").alias("client"), (F.col("id") * 10_000_000).alias("micros"))
+    rows = spark.range(10).select("id", F.lit("a").alias("client"), (F.col("id") * 10_000_000 + 1_700_000_000_000_000).alias("micros"))
     rows.coalesce(1).write.parquet(str(tmp_path / "req"))
     source = spark.readStream.schema("id long, client string, micros long").parquet(str(tmp_path / "req"))
-    q = streams.rate_limit_stream(source, 2, 35).writeStream.format("memory").queryName("limits").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).start()
-    q.processAllAvailable()
+    q = streams.rate_limit_stream(source, 2, 35).writeStream.format("memory").queryName("limits").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
     q.stop()
     got = {r["id"]: r["allowed"] for r in spark.table("limits").collect()}
     assert got == {r["id"]: r["allowed"] for r in O.rate_limit(rows, limit=2, window_s=35).collect()}
