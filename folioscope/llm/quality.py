@@ -29,7 +29,7 @@ from .decontam import words
 from .support import ASCII_UPPER, prepare
 
 DIMENSION = 1 << 18
-SAMPLE = 12_000
+SAMPLE = 20_000
 SEEN = 5  # a place counts if so many rows of the sample have it
 GRADES = 3
 STEPS = 100
@@ -147,20 +147,22 @@ def _descend(loss, x: np.ndarray, memory: int = 8) -> np.ndarray:
 
 
 def fit_rows(rows: list[np.ndarray], grades: list[int], n_grades: int = GRADES) -> Model:
-    """Fits by descent on the whole sample. No rows: weights of 0 and thresholds at which every row has the highest grade."""
+    """Fits by descent on the whole sample; ``rows`` is used up. No rows: weights of 0 and thresholds at which every row has the highest grade."""
     if not rows:
         return Model(np.zeros(DIMENSION), np.linspace(-6, -4, n_grades - 1))
     y = np.array(grades)
     pull = np.where(y < n_grades - 1, PULL, 1.0)
-    at = np.concatenate(rows).astype(np.int32)
+    at = np.concatenate(rows)
     of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    n_rows = len(rows)
+    rows.clear()  # its places are in ``at``
     seen = np.bincount(at, minlength=DIMENSION)
-    common = seen >= min(SEEN, len(rows))
+    common = seen >= min(SEEN, n_rows)
     used = np.flatnonzero(common)
     held = common[at]
     of, at = of[held], (np.cumsum(common, dtype=np.int32) - 1)[at[held]]
     del held
-    begins = np.searchsorted(of, np.arange(len(rows)))
+    begins = np.searchsorted(of, np.arange(n_rows))
     filled = np.diff(np.append(begins, len(of))) > 0
     across = of[np.argsort(at, kind="stable")]
     heads = np.cumsum(seen[used]) - seen[used]
@@ -174,19 +176,19 @@ def fit_rows(rows: list[np.ndarray], grades: list[int], n_grades: int = GRADES)
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         roots, thresholds = p[: len(used)], cut_at(p)
         weights = -(roots**2)
-        s = np.zeros(len(rows))
+        s = np.zeros(n_rows)
         if len(at):
-            s[filled] = np.add.reduceat(weights[at], begins[filled])
+            s[filled] = np.add.reduceat(weights.astype(np.float32)[at], begins[filled], dtype=np.float64)
         edges = np.concatenate(([-np.inf], thresholds, [np.inf]))
         high, low = _sigmoid(edges[y + 1] - s), _sigmoid(edges[y] - s)
         high[y == n_grades - 1], low[y == 0] = 1.0, 0.0
         chance = np.maximum(high - low, 1e-12)
         dh, dl = pull * high * (1 - high) / chance, pull * low * (1 - low) / chance
-        dt = np.array([(dl[y == k + 1].sum() - dh[y == k].sum()) / len(rows) for k in range(n_grades - 1)])
+        dt = np.array([(dl[y == k + 1].sum() - dh[y == k].sum()) / n_rows for k in range(n_grades - 1)])
         dgap = [dt[k:].sum() * math.exp(p[len(used) + k]) for k in range(1, n_grades - 1)]
-        pulls = np.add.reduceat(((dh - dl) / len(rows))[across], heads) if len(at) else roots
+        pulls = np.add.reduceat(((dh - dl) / n_rows).astype(np.float32)[across], heads, dtype=np.float64) if len(at) else roots
         dw = (pulls * -2 + PENALTY) * roots
-        value = -(pull * np.log(chance)).sum() / len(rows) + PENALTY / 2 * float(roots @ roots)
+        value = -(pull * np.log(chance)).sum() / n_rows + PENALTY / 2 * float(roots @ roots)
         return value, np.concatenate((dw, [dt.sum()], dgap))
 
     every = _descend(loss, every)
@@ -208,7 +210,9 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = rows.schema["id"].dataType.simpleString()
     got = rows.mapInArrow(run, f"id {kind}, grade int, places binary").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "places").limit(sample).collect()
-    return fit_rows([np.frombuffer(r["places"], np.int32) for r in got], [r["grade"] for r in got])
+    places_of, grades_of = [np.frombuffer(r["places"], np.int32) for r in got], [r["grade"] for r in got]
+    del got
+    return fit_rows(places_of, grades_of)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
