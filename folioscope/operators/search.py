@@ -1,7 +1,8 @@
 """Fielded keyword search: candidates by prefix, membership by whole words, two ways of ranking.
 
 Nothing here is a global sort: each field's hits are the best ``FIELD_CAP`` by a top-k, so that
-ranks, scores and pages are worked out over a few hundred rows, whatever the corpus.
+ranks, scores and pages are worked out over some hundred rows, whatever the corpus. The documents are
+read twice: for the hits, and for the columns of the documents that were hit.
 """
 
 from __future__ import annotations
@@ -46,20 +47,27 @@ def field_texts() -> dict[str, Column]:
     return {"title": F.coalesce("title", "slug"), "guest": F.coalesce("guest", F.lit("")), "transcript": F.coalesce("transcript", F.lit("")), "keywords": F.coalesce(keywords, F.lit(""))}
 
 
-def field_hits(docs: DataFrame, parsed: ParsedQuery, field: str, cap: int = FIELD_CAP) -> DataFrame:
-    """(slug, rank0) of a field's hits: all words of the query begin a word of the field (any, under
-    OR), the earliest first, ties by slug."""
+def field_hits(docs: DataFrame, parsed: ParsedQuery, cap: int = FIELD_CAP) -> DataFrame:
+    """(field, slug, rank0) of the hits of all fields: all words of the query begin a word of the field
+    (any, under OR), the earliest first, ties by slug, at most ``cap`` a field.
+
+    The documents are read once. Words are only taken out of fields that hold the query's words
+    anywhere, and each task passes on no more than its own best ``cap`` of a field.
+    """
     words = parsed.index_terms()
-    text = F.lower(field_texts()[field])
     test = (lambda a, b: a | b) if parsed.any_term else (lambda a, b: a & b)
-    may = _all([text.contains(w) for w in words], test)
-    said = T.tokens(text)
-    at = [F.array_position(F.transform("said", _begins(w)), True) for w in words]
-    rows = docs.where(may).select("slug", said.alias("said")).select("slug", F.array(*at).alias("at"))
+    lower = {f: F.lower(c) for f, c in field_texts().items()}
+    may = {f: _all([c.contains(w) for w in words], test) for f, c in lower.items()}
+    rows = docs.where(_all(list(may.values()), lambda a, b: a | b))
+    rows = rows.select("slug", *(F.when(may[f], T.tokens(c)).alias(f) for f, c in lower.items()))
+    places = lambda f: F.array(*(F.array_position(F.transform(f, _begins(w)), True) for w in words))
+    rows = rows.select("slug", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.when(F.col(f).isNotNull(), places(f)).alias("at")) for f in lower))).alias("h"))
+    rows = rows.select("slug", "h.field", "h.at").where("at is not null")
     hit = F.exists("at", lambda x: x > 0) if parsed.any_term else F.forall("at", lambda x: x > 0)
     first = F.array_min(F.filter("at", lambda x: x > 0))
-    best = rows.where(hit).select("slug", first.alias("first")).orderBy("first", "slug").limit(cap)
-    return best.select("slug", (F.row_number().over(Window.orderBy("first", "slug")) - 1).alias("rank0"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy("first", "slug"))
+    best = rows.where(hit).select("field", "slug", first.alias("first")).withColumn("rank", rank).where(F.col("rank") <= cap)
+    return best.select("field", "slug", (F.col("rank") - 1).alias("rank0"))
 
 
 def _begins(word: str):
@@ -75,12 +83,9 @@ def _all(parts: list[Column], test) -> Column:
 
 def candidates(docs: DataFrame, parsed: ParsedQuery, mode: str) -> DataFrame:
     """(slug, a column of score for each field): null where the field has no hit."""
-    parts = None
-    for field, weight in WEIGHTS.items():
-        score = F.lit(float(weight)) if mode == "weighted" else F.lit(float(weight)) / (RRF_K + F.col("rank0") + 1)
-        hits = field_hits(docs, parsed, field).select("slug", F.lit(field).alias("field"), score.alias("score"))
-        parts = hits if parts is None else parts.unionByName(hits)
-    return parts.groupBy("slug").agg(*(F.max(F.when(F.col("field") == f, F.col("score"))).alias(f"{f}_score") for f in WEIGHTS))
+    hits = field_hits(docs, parsed)
+    score = lambda w: F.lit(float(w)) if mode == "weighted" else F.lit(float(w)) / (RRF_K + F.col("rank0") + 1)
+    return hits.groupBy("slug").agg(*(F.max(F.when(F.col("field") == f, score(w))).alias(f"{f}_score") for f, w in WEIGHTS.items()))
 
 
 def raw_score() -> Column:
@@ -124,9 +129,8 @@ def matches(docs: DataFrame, search: Search, categories: DataFrame | None = None
     if search.category:
         named = categories.where(F.lower("category_slug").contains(search.category.lower())).select("slug").distinct()
         rows = rows.join(named, "slug", "left_semi")
-    rows = rows.join(found, "slug").withColumn("raw", raw_score())
-    top = rows.agg(F.max("raw").alias("top"))
-    rows = rows.crossJoin(F.broadcast(top))  # one row
+    rows = rows.join(F.broadcast(found), "slug").withColumn("raw", raw_score())  # FIELD_CAP rows a field at most
+    rows = rows.withColumn("top", F.max("raw").over(Window.partitionBy()))  # at most FIELD_CAP rows a field
     return rows.withColumn("score", F.when(F.col("top") > 0, T.round2(F.col("raw") / F.col("top"))).otherwise(F.col("raw"))).drop("top")
 
 
