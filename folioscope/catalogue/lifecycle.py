@@ -134,7 +134,7 @@ SELECT sid AS source_id, 'author' AS source_type, document_count, content_bytes,
     "q38_export_markdown": f"""WITH {REC}, d AS (SELECT *, 'author:' || author_id AS sid FROM rec),
 b AS (SELECT sid, count(*) AS n, sha256({DOCSET}) AS ds, sha256({_origin('')}) AS pv FROM d GROUP BY sid),
 c AS (SELECT *, sha256('{{"documentSetChecksum":"' || ds || '","historyIncluded":false,"provenanceChecksum":"' || pv || '","sourceId":"' || sid || '"}}') AS bs FROM b)
-SELECT sid AS source_id, 0 AS part, '' AS ord, sha256(concat_ws(chr(10), '# Exported Source: ' || sid, '', '- Type: author', '- Documents: ' || n, '', '## Manifest', '', '- Document set checksum: ' || ds, '- Bundle checksum: ' || bs, '- Provenance checksum: ' || pv)) AS text_hash FROM c UNION ALL
+SELECT sid AS source_id, 0::BIGINT AS part, '' AS ord, sha256(concat_ws(chr(10), '# Exported Source: ' || sid, '', '- Type: author', '- Documents: ' || n, '', '## Manifest', '', '- Document set checksum: ' || ds, '- Bundle checksum: ' || bs, '- Provenance checksum: ' || pv)) AS text_hash FROM c UNION ALL
 SELECT sid, 1, slug, sha256('- ' || slug || ': ' || sha256(content)) FROM d UNION ALL SELECT sid, 2, slug, sha256(chr(10) || '## ' || slug || chr(10) || chr(10) || content || chr(10)) FROM d""",
     "q39_request_histogram": "SELECT bound, requests FROM (" + " UNION ALL ".join(f"SELECT '{b}' AS bound, count(*) FILTER (value / 1000 <= {b}::DOUBLE) AS requests FROM events" for b in O.BOUNDS) + " UNION ALL SELECT '+Inf', count(value) FROM events)",
     "q39_request_counts": "SELECT CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1",
