@@ -19,7 +19,8 @@ def parse_events(lines: DataFrame) -> DataFrame:
     at are strings, the action one of three, and documentCount a number or left out (then 0): types
     are looked at as they stand in the JSON, nothing is cast.
     """
-    rows = lines.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    # exploding an array of one keeps the parse in a step of its own, so that a line is parsed once
+    rows = lines.where(F.trim("value") != "").withColumn("v", F.explode(F.array(F.try_parse_json("value"))))
     kind = lambda k: F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant"))
     text = lambda k: F.when(kind(k) == "STRING", F.try_variant_get("v", f"$.{k}", "string"))
     count_kind = kind("documentCount")
