@@ -118,7 +118,7 @@ def matches(docs: DataFrame, search: Search, categories: DataFrame | None = None
         nothing = docs.where(F.lit(False))
         return nothing.select(*docs.columns, *(F.lit(None).cast("double").alias(f"{f}_score") for f in WEIGHTS), F.lit(None).cast("double").alias("raw"), F.lit(None).cast("double").alias("score"))
     found = candidates(docs, parsed, search.mode)
-    rows = docs.where(membership(parsed))
+    rows = docs
     if search.guest:
         rows = rows.where(F.lower("guest").contains(search.guest.lower()))
     dated = F.coalesce("publish_date", F.lit(""))
@@ -130,6 +130,7 @@ def matches(docs: DataFrame, search: Search, categories: DataFrame | None = None
         named = categories.where(F.lower("category_slug").contains(search.category.lower())).select("slug").distinct()
         rows = rows.join(named, "slug", "left_semi")
     rows = rows.join(F.broadcast(found), "slug").withColumn("raw", raw_score())  # FIELD_CAP rows a field at most
+    rows = rows.where(F.when(F.col("raw") >= 0, membership(parsed)))  # by the score too, so that only hits are looked into
     rows = rows.withColumn("top", F.max("raw").over(Window.partitionBy()))  # at most FIELD_CAP rows a field
     return rows.withColumn("score", F.when(F.col("top") > 0, T.round2(F.col("raw") / F.col("top"))).otherwise(F.col("raw"))).drop("top")
 
