@@ -20,10 +20,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id.
+    """One document of each group of near copies stays, that with the smallest id: components of pairs
+    whose five-word shingles are 0.8 alike or more.
 
-    Fingerprints of 128 bits over distinct words, links at 15 or fewer differing bits: texts whose
-    five-word shingles are 0.8 alike or more differ in about 2 % of their words, at most, which is
+    Candidates come from fingerprints of 128 bits, over distinct words and over words counted, at 15
+    or fewer differing bits: pairs 0.8 alike differ in about 2 % of their words, at most, which is
     about 9 bits; unrelated texts of one language differ in some 50.
     """
     return simhash.keep_one(docs, size=1, width=128, radius=15)

@@ -13,10 +13,14 @@ Bounds. Equal fingerprints are one node, so copies cost one row. A key's rows ar
 order; groups of more than 32 rows link by a search that takes each node out once (links no
 more than nodes, never all pairs), groups of more than ``HOT`` rows are passed on and dealt
 out as pairs of blocks of ``HOT`` rows. No link is lost in either way.
+
+``keep_one`` takes the components of such links for groups of candidates only, and looks at the
+shingles of all pairs of a group; see ``confirmed``.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,9 @@ from .support import LOWER_TABLE, cut, prepare
 HOT = 4096  # rows of one key that a task holds; more are dealt out in blocks
 SMALL = 32  # up to so many rows of a key, all pairs are looked at in one vector step
 CHUNK = 1 << 15  # shingles hashed at a time, so that a very long text needs no more memory
+HELD = 256  # texts of a block whose shingles are compared; larger groups are dealt out in pairs of blocks
+SHINGLE = 5  # words
+ALIKE = 0.8
 FLUSH = 200_000  # nodes that a task's union-find holds before it hands out its stars
 
 
@@ -63,24 +70,28 @@ def text_fingerprint(text: str | None, size: int = 4, width: int = 64, seed: int
     return np.packbits(counts * 2 > len(shingles)).tobytes().hex()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, width: int = 64, extra: list | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, width: int = 64, extra: list | None = None, counted: bool = False) -> DataFrame:
     """(id, fingerprint, *extra) for every row of ``docs``, repeated rows included.
 
-    Null and blank texts get a fingerprint of zeros. ``extra``: columns to carry along.
+    Null and blank texts get a fingerprint of zeros. ``extra``: columns to carry along. ``counted``:
+    a last column with the ``counted_fingerprint``.
     """
     prepare(docs.sparkSession)
     extra = extra or []
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
     names = ["id", *rows.columns[2:]]
+    added = ["fingerprint", "counted"] if counted else ["fingerprint"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            prints = pa.array([text_fingerprint(t.as_py(), size, width) for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), prints], [*names, "fingerprint"])
+            found = [pa.array([text_fingerprint(t.as_py(), size, width) for t in texts], pa.string())]
+            if counted:
+                found.append(pa.array([counted_fingerprint(t.as_py(), width) for t in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found], [*names, *added])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", fingerprint string")
+    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), *(f"{n} string" for n in added)]))
 
 
 def _unhex(column: pa.Array, width: int) -> np.ndarray:
@@ -273,16 +284,142 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1, width: int = 128, radius: int = 15) -> DataFrame:
+def counted_fingerprint(text: str | None, width: int = 128, seed: int = 42) -> str:
+    """Like ``text_fingerprint`` of words, but the k-th time a word stands is a feature of its own: a new
+    word in a long text of few distinct words moves it by its share of all words."""
+    counts = Counter((text or "").encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split())
+    if not counts:
+        return "0" * (width // 4)
+    raw = b"".join([xxhash.xxh3_128_digest(w, seed) for w in counts])
+    hashes = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2)[:, : width // 64]
+    times = np.fromiter(counts.values(), np.int64, len(counts))
+    total, upto = int(times.sum()), np.cumsum(times)
+    ones = np.zeros(width, np.int64)
+    for at in range(0, total, CHUNK):
+        place = np.arange(at, min(at + CHUNK, total))
+        word = np.searchsorted(upto, place, side="right")
+        turn = (place - (upto - times)[word]).astype(np.uint64)
+        x = hashes[word] + turn[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).astype(">u8").view(np.uint8), axis=1)
+        for part in range(0, len(bits), 255):
+            ones += bits[part : part + 255].sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > total).tobytes().hex()
+
+
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles of ``size`` words, in order; a text of fewer words is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split()
+    shingles = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else ()
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles)))
+
+
+def _alike(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Links of a spanning forest of the pairs of sets whose similarity (shared of all members) is ``least`` or more."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    members, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    inside, rest = np.zeros(len(members), bool), np.arange(len(sets))
+    left, of = flat, owner  # members of the sets in ``rest``, thinned out when half of them have gone
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            own = flat[begins[x] : begins[x] + sizes[x]]
+            inside[own] = True
+            shared = np.bincount(of[inside[left]], minlength=len(sets))[rest]
+            inside[own] = False
+            every = sizes[rest] + sizes[x] - shared
+            near = (shared / np.maximum(every, 1) >= least) | (every == 0)
+            for y in rest[near].tolist():
+                yield x, y
+                queue.append(y)
+            rest = rest[~near]
+            if near.any() and int(sizes[rest].sum()) * 2 < len(left):
+                stays = np.zeros(len(sets), bool)
+                stays[rest] = True
+                left, of = left[stays[of]], of[stays[of]]
+
+
+def _confirmer(least: float):
+    """Streams rows (key, digest, shingles) in key order; gives stars of the links of each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, key, held = Forest(), None, {}
+
+        def close() -> None:
+            names = list(held)
+            for x, y in _alike(list(held.values()), least) if len(held) > 1 else ():
+                forest.join(names[x], names[y])
+
+        for batch in batches:
+            for k, digest, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != key:
+                    close()
+                    key, held = k, {}
+                held[digest] = np.frombuffer(raw, np.uint64)
+        close()
+        stars = forest.stars()
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in stars], pa.string()), pa.array([b for _, b in stars], pa.string())], ["a", "b"])
+
+    return run
+
+
+def confirmed(texts: DataFrame, groups: DataFrame, least: float = ALIKE, size: int = SHINGLE, held: int = HELD) -> DataFrame:
+    """``texts(id, digest, text)``, ``groups(id, node, root)`` with each digest once, as node, and one of its
+    ids, which tells its copies apart; returns ``(a, b)`` of which the components are those of all pairs of one group that are ``least`` alike or more in their
+    ``size``-word shingles. Groups of more than ``held`` texts are dealt out as pairs of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = pa.array([shingle_set(t, size).tobytes() for t in part.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sets], ["root", "digest", "shingles"])
+
+    blocks = groups.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = cut(blocks.select("root", F.ceil(F.col("n") / held).cast("int").alias("blocks")))
+    groups = groups.join(blocks.select("root"), "root", "left_semi").withColumnRenamed("id", "of")
+    met = texts.join(groups, texts["id"].eqNullSafe(groups["of"]) & (texts["digest"] == groups["node"]))
+    met = met.groupBy("root", "digest").agg(F.first("text").alias("text"))
+    sets = cut(met.mapInArrow(run, "root string, digest string, shingles binary"))
+    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    dealt = sets.join(blocks, "root").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    key = F.concat_ws("/", "root", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(key.alias("key"), "digest", "shingles").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_confirmer(least), "a string, b string")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1, width: int = 128, radius: int = 15, least: float = ALIKE, held: int = HELD) -> DataFrame:
     """``docs`` with one row of each component, columns as they were: the smallest id (a null id
     only where there is no other), then the smallest SHA-256 of the text; of rows that agree in
-    both, any one."""
-    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    prints = cut(fingerprints(docs, id_col, text_col, size, width, [digest.alias("digest")]))
-    nodes = cut(prints.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")))
-    roots = connected_components(links(nodes, width, radius)).withColumnRenamed("node", "fingerprint")
-    group = F.coalesce("root", "fingerprint")
-    first = nodes.join(roots, "fingerprint", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first"))
+    both, any one.
+
+    Links are pairs that are ``least`` alike or more in their five-word shingles. Candidates are all pairs
+    that chains of fingerprints within ``radius`` join, those of ``size``-word shingles and those of
+    words counted; each is held to the shingles themselves.
+    """
+    text = F.col(text_col).cast("string")
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    both = fingerprints(docs, id_col, text_col, size, width, [digest.alias("digest")], counted=True)
+    prints = cut(both)
+    none = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    nodes = cut(prints.groupBy("digest").agg(F.min("fingerprint").alias("plain"), F.min("counted").alias("counted"), F.min(none).alias("first")))
+    joined = nodes
+    for kind in ("plain", "counted"):
+        met = connected_components(links(nodes.select(F.col(kind).alias("fingerprint")).distinct(), width, radius))
+        joined = joined.join(met.select(F.col("node").alias(kind), F.col("root").alias(f"{kind}_root")), kind, "left")
+    # a text joins its group by the one fingerprint and its group by the other
+    ends = [F.concat(F.lit(f"{kind} "), F.coalesce(f"{kind}_root", kind)) for kind in ("plain", "counted")]
+    joined = cut(joined.select("digest", F.col("first.id").alias("id"), ends[0].alias("a"), ends[1].alias("b")))
+    roots = connected_components(joined.select("a", "b")).withColumnRenamed("node", "a")
+    groups = cut(joined.join(roots, "a").select("id", F.col("digest").alias("node"), "root"))
+    exact = confirmed(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), text.alias("text")), groups, least, held=held)
+    roots = connected_components(exact).withColumnRenamed("node", "digest")
+    group = F.coalesce("root", "digest")
+    first = nodes.join(roots, "digest", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first"))
     stay = cut(first.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest")))
     twice = prints.groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).count().where("count > 1")
     same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__digest"] == b["__digest"])

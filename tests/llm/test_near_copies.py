@@ -127,6 +127,53 @@ def test_near_copies_are_caught(spark):
     assert copies > 20 and simhash.keep_one(frame(spark, texts)).count() == 40
 
 
+def jaccard_kept(texts, least=0.8):
+    """Indices that stay when one of each component of pairs ``least`` alike in five-word shingles does."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+@pytest.mark.parametrize("held", [3, 256])
+def test_only_copies_of_eight_tenths_go(spark, held):
+    """Pairs below 0.8 both stay, and long texts of few words with new words in them are met too."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    texts = []
+    for share in (12, 30, 45, 100):  # one word of so many is another
+        own = [word() for _ in range(400)]
+        for _ in range(8):
+            near = list(own)
+            for k in rng.sample(range(len(near)), len(near) // share):
+                near[k] = word()
+            texts.append(" ".join(near))
+    own = [word() for _ in range(300)]
+    texts += [" ".join(own), " ".join(reversed(own)), " ".join(sorted(own))]  # the same words, other shingles
+    few = [word() for _ in range(40)]
+    long = [rng.choice(few) for _ in range(4000)]
+    new = list(long)
+    for k in rng.sample(range(len(new)), 40):
+        new[k] = word()
+    texts += [" ".join(long), " ".join(new), "a b c d e f g h i", "a b c d e f g h j", "one two", "One Two", "one two three"]
+    got = {r["doc_id"] for r in simhash.keep_one(frame(spark, texts), held=held).collect()}
+    want = jaccard_kept(texts)
+    assert got == want and {32, 33, 34, 35} <= want and 36 not in want
+
+
 def passages(seed):
     rng = random.Random(seed)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(n))
