@@ -425,33 +425,95 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     return out.select("id", "n_bytes", "sha256", spans.alias("spans"), kept.alias("kept_sha256"))
 
 
-def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(length, occurrences): maximal repeats of ``LENGTH`` bytes or more with all their occurrences
-    (first id of the text, start byte), one row for each anchor they are found by.
+WIDE = "gram bigint, tid binary, pos bigint, lo int, hi int, copies bigint, before binary, after binary"
+REPEAT = "number binary, length bigint, tid binary, start bigint, pos bigint, lo int, hi int, gram bigint"
 
-    Lengths reach as far as the stretches that the anchor stands for, at both sides. Of strings with more
-    than ``HOT`` anchors, occurrences are those of one group of anchors, one for each surroundings.
-    """
-    made = Prepared(docs, id_col, text_col)
+
+def _named(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in kind.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+
+
+def _wide(width: int):
+    """Anchors with ``width`` bytes to the right, and to the left one more than their stretches reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tid, text, copies, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                each = max(1, (1 << 23) // width)
+                for at in range(0, len(found), each):
+                    part = [(a["pos"], a["lo"], a["hi"], a["gram"]) for a in found[at : at + each]]
+                    yield _named([(g, tid, p, lo, hi, copies, text[max(0, p - hi - 1) : p][::-1], text[p : p + width]) for p, lo, hi, g in part], WIDE)
+
+    return run
+
+
+def _repeats(width: int, prior: int):
+    """Maximal repeats whose first stretch is the anchor's and that end ``prior`` bytes right of it or
+    later; those that reach ``width`` bytes have no number: their anchors have to be seen with more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in _groups(batches):
-            lengths, places, number = [], [], []
-            for group in groups:
-                rows = list({(r[3], r[4], r[5], r[6]): r for r in group if r[7] is not None}.values())
-                if len(rows) < 2:
+        gram, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = [r for r in held for _ in range(min(r[5], 2))]  # a text that stands twice meets itself
+            out = []
+            for left, right, members in maximal([r[7] for r in rows], [r[6] for r in rows]) if len(rows) > 1 else ():
+                _, _, _, lo, hi, _, before, after = rows[int(members[0])]
+                if right < prior or not lo <= left <= hi:
                     continue
-                for left, right, members in maximal([r[8] for r in rows], [r[7] for r in rows]):
-                    number.append(uuid.uuid4().hex)
-                    lengths.append(left + right)
-                    places.append([{"tid": rows[m][3], "start": rows[m][4] - left} for m in members.tolist()])
-            kind = pa.list_(pa.struct([("tid", pa.binary()), ("start", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.string()), pa.array(lengths, pa.int64()), pa.array(places, kind)], ["number", "length", "places"])
-
-    rows = stored(made.context.mapInArrow(run, "number string, length bigint, places array<struct<tid: binary, start: bigint>>"))
-    each = rows.select("number", "length", F.explode("places").alias("p")).select("number", "length", F.col("p.tid").alias("tid"), F.col("p.start").alias("start"))
-    named = each.join(made.copies.select("tid", "first"), "tid")
-    return named.groupBy("number", "length").agg(F.array_sort(F.collect_list(F.struct(F.col("first").alias("id"), "start"))).alias("occurrences")).drop("number")
+                number = None if right == width else xxhash.xxh3_128_digest(before[:left][::-1] + after[:right])
+                for r in {(rows[m][1], rows[m][2]): rows[m] for m in members.tolist()}.values():
+                    out.append((number, left + right, r[1], r[2] - left, r[2], r[3], r[4], gram))
+                if len(out) >= GATHER:
+                    yield _named(out, REPEAT)
+                    out = []
+            if out:
+                yield _named(out, REPEAT)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != gram:
+                    yield from close()
+                    gram, held = row[0], []
+                held.append(row)
+        yield from close()
+
+    return run
+
+
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(length, occurrences): every maximal repeat of ``LENGTH`` bytes or more, of any length, with all its
+    occurrences (id, start byte), those in equal texts too. Texts' ends count as unlike any byte.
+
+    A repeat is found by the anchor of its first stretch alone, so what lies to the left is bounded. To the
+    right, anchors whose repeats reach the end of what was looked at are looked at again, twice as far. All
+    anchors of one string are held by one task, however many, and occurrences are listed for each repeat:
+    where repeats lie in one another, as in a long run of one byte, they grow with the square of its length.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    rows = _texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t")), "__t").drop("__t").withColumn("tid", _tid())
+    small = stored(rows.where(F.octet_length("__text") >= LENGTH).select("id", "tid"))
+    copies = stored(small.groupBy("tid").agg(F.count("*").alias("copies")))
+    found = rows.select("__text").mapInArrow(_anchored, "tid binary, pos bigint, lo int, hi int, gram bigint")
+    found = stored(found.groupBy("tid", "pos", "gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    often = found.join(copies, "tid").groupBy("gram").agg(F.sum("copies").alias("n")).where("n > 1")
+    active = stored(found.join(often.select("gram"), "gram", "left_semi"))
+    texts = rows.join(active.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("__text").alias("text"))
+    texts = stored(texts.join(copies, "tid"))
+    each, width, prior = None, LENGTH, 0
+    while each is None or not active.isEmpty():
+        lists = active.groupBy("tid").agg(F.collect_list(F.struct("pos", "lo", "hi", "gram")).alias("found"))
+        wide = texts.join(lists, "tid").select("tid", "text", "copies", "found").mapInArrow(_wide(width), WIDE)
+        seen = stored(wide.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeats(width, prior), REPEAT))
+        active = seen.where("number is null").select("tid", "pos", "lo", "hi", "gram").distinct()
+        done = seen.where("number is not null").select("number", "length", "tid", "start")
+        each = done if each is None else each.unionByName(done)
+        width, prior = 2 * width, width
+    named = each.join(small, "tid")
+    return named.groupBy("number", "length").agg(F.array_sort(F.collect_list(F.struct("id", "start"))).alias("occurrences")).drop("number")
 
 
 def brute(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

@@ -230,6 +230,36 @@ def test_maximal_repeats(spark):
         assert len(strings) == 1 and len(r["occurrences"]) == 3
 
 
+def test_maximal_repeats_are_whole(spark):
+    """Long repeats, equal texts and repeats within repeats, against all suffixes in order."""
+    rng = random.Random(12)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    long, short = words(2500), words(420)
+    texts = [words(50) + long + words(30), long[300:] + words(40), words(10) + long[:1700] + short, words(20) + short + words(500), words(700), "x" * 410, words(300)]
+    texts += [texts[4], texts[4] + words(60), None]
+    # a mark of its own after each text, and before the first
+    whole, owner, start = "\u0100", [None], [0]
+    for i, t in enumerate(texts):
+        owner += [i] * (len(t or "") + 1)
+        start += list(range(len(t or "") + 1))
+        whole += (t or "") + chr(0x101 + i)
+    order = sorted(range(len(whole)), key=lambda k: whole[k : k + 3000])
+    common = []
+    for a, b in zip(order, order[1:], strict=False):
+        n = next((k for k in range(3000) if whole[a + k : a + k + 1] != whole[b + k : b + k + 1]), 3000)
+        common.append(n)
+    want = set()
+    for n, a, b in repeats.intervals(common):
+        if n >= repeats.LENGTH:
+            at = order[a : b + 1]
+            if len({whole[k - 1] for k in at}) > 1:
+                want.add((n, tuple(sorted((owner[k], start[k]) for k in at))))
+    got = [(r["length"], tuple((o["id"], o["start"]) for o in r["occurrences"])) for r in repeats.maximal_repeats(frame(spark, texts)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert max(n for n, _ in got) >= 2200 and (700, ((4, 0), (7, 0), (8, 0))) in want
+    assert repeats.maximal_repeats(frame(spark, texts).limit(0)).count() == 0
+
+
 def test_gram_hash_of_bytes():
     data = np.frombuffer(b"x" * 10 + bytes(range(100)) + b"x" * 10 + bytes(range(100)), np.uint8)
     h = repeats.gram_hashes(data)
