@@ -6,6 +6,10 @@ mapped through the cumulative targets to a source; the slots of a source are ran
 number r takes the source's block r modulo its number of blocks. Any stretch of the schedule is
 near the target weights, and a source's blocks are taken equally often, to one.
 
+A source of fewer than ``SMALL`` blocks would get far less than its target so, or nothing: its last
+block is short, and its slots are few. It is taken word by word: as many turns of one word as its
+target has words, in order and again from the first, spread evenly over the schedule.
+
 Bounds. A source may hold most rows: places within a source are sums over 4,096 ranges of the
 shuffled order, and then within a range; ranks of slots are counts over stretches of slots, and
 then within a stretch. No window holds a whole source. One row per source (and range or stretch) is
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 from .support import cut
 
 BLOCK = 64  # words in a block
+SMALL = 32  # a source of fewer blocks is taken word by word
 WEIGHTS = (1, 2, 3)
 CAP = 3  # a source gives at most so many times its words
 GOLDEN = 0.6180339887498949
@@ -84,18 +89,37 @@ def places(rows: DataFrame) -> DataFrame:
 
 
 def schedule(shares: DataFrame, block: int = BLOCK, cap: int = CAP) -> DataFrame:
-    """The mix itself: (slot, source, turn, part), a row for each slot in order of ``slot``.
+    """The mix itself: (slot, source, turn, part), a row for each turn of a source, to be taken in order of ``slot``.
 
-    turn: the slot's rank among its source's; part: the block it takes. A slot beyond ``cap``
-    times the source's blocks stays empty and has no row. No words: no rows.
+    turn: the row's rank among its source's; part: the block it takes, of a small source the word. A
+    slot beyond ``cap`` times the source's blocks stays empty and has no row; a slot may hold words of
+    several small sources. No words: no rows.
     """
+    slots = F.ceil(F.sum("source_size").over(Window.partitionBy()) / block)
+    words = shares.withColumn("slots", slots).where(_small(block)).withColumn("turns", _turns()).where("turns > 0")
+    words = words.withColumn("turn", F.explode(F.expr("sequence(0, turns - 1)")))
+    slot = F.floor((F.col("turn") + 0.5) * F.col("slots") / F.col("turns"))
+    return _blocks(shares, block, cap).unionByName(words.select(slot.alias("slot"), "source", "turn", (F.col("turn") % F.col("source_size")).alias("part")))
+
+
+def _small(block: int):
+    return F.col("source_size") < SMALL * block
+
+
+def _turns():
+    """Words that a small source gives."""
+    return F.round("target").cast("long")
+
+
+def _blocks(shares: DataFrame, block: int, cap: int) -> DataFrame:
+    """``schedule`` of the sources that aren't small."""
     spark = shares.sparkSession
     total = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     scaled = (F.col("id") + F.lit(0.5)) * F.lit(GOLDEN)
     points = spark.range((total + block - 1) // block).select(F.col("id").alias("slot"), (scaled - F.floor(scaled)).alias("x"))
     points = points.withColumn("cell", F.floor(F.col("x") * CELLS))
     blocks = F.ceil(F.col("source_size") / block)
-    cells = shares.where("hi > lo").select("source", "lo", "hi", blocks.alias("blocks"), F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1).cast("long")))).alias("cell"))
+    cells = shares.where(F.expr("hi > lo") & ~_small(block)).select("source", "lo", "hi", blocks.alias("blocks"), F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1).cast("long")))).alias("cell"))
     slots = points.join(cells, "cell").where("x >= lo and x < hi").select("slot", "source", "blocks", F.floor(F.col("slot") / STRETCH).alias("stretch"))
     counts = slots.groupBy("source", "stretch").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,9 +133,9 @@ def schedule(shares: DataFrame, block: int = BLOCK, cap: int = CAP) -> DataFrame
 
 def mix(rows: DataFrame, shares: DataFrame, block: int = BLOCK, cap: int = CAP) -> DataFrame:
     """``rows`` of ``sized`` with ``taken`` (words that the schedule takes, repeats counted),
-    ``times`` (how often it takes the block in which the row begins) and the source's columns."""
+    ``times`` (how often it takes the block, of a small source the word, in which the row begins) and the source's columns."""
     laid = cut(places(rows))
-    times = schedule(shares, block, cap).groupBy("source", "part").agg(F.count("*").alias("times"))
+    times = _blocks(shares, block, cap).groupBy("source", "part").agg(F.count("*").alias("times"))
     times = times.withColumnRenamed("source", "s").withColumnRenamed("part", "p")
     parts = laid.where("size > 0").select("id", "source", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("part"))
     met = parts.join(times, parts["source"].eqNullSafe(times["s"]) & (parts["part"] == times["p"]))
@@ -122,7 +146,14 @@ def mix(rows: DataFrame, shares: DataFrame, block: int = BLOCK, cap: int = CAP)
     out = laid.join(taken, laid["source"].eqNullSafe(taken["s"]) & (laid["start"] == taken["a"]) & (laid["size"] > 0), "left").drop("s", "a")
     of = shares.select(F.col("source").alias("s"), "weight", "source_size", "target")
     out = out.join(of, out["source"].eqNullSafe(of["s"])).drop("s")
-    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).withColumn("times", F.coalesce("times", F.lit(0)).cast("long"))
+    # of a small source, all words are taken `whole` times and the first `more` once again
+    words = F.nullif(F.col("source_size"), F.lit(0))
+    whole, more = F.floor(_turns() / words), _turns() % words
+    again = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), more) - F.col("start"))
+    by_word = _small(block) & (F.col("size") > 0)
+    taken = F.when(by_word, whole * F.col("size") + again).otherwise(F.coalesce("taken", F.lit(0)))
+    times = F.when(by_word, whole + (F.col("start") < more).cast("int")).otherwise(F.coalesce("times", F.lit(0)))
+    return out.withColumn("taken", taken.cast("long")).withColumn("times", times.cast("long"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK) -> DataFrame:

@@ -109,6 +109,24 @@ def test_mix_of_odd_rows(spark):
     assert all(r["target"] == 0 for r in mixing.mixed(docs.where("doc_id in (0, 2)")).collect())
 
 
+def test_mix_of_small_sources(spark):
+    """Sources of less than a block, or few blocks, beside a large one come near their targets, too."""
+    docs = [(i, "w " * 3000, "large") for i in range(20)] + [(100 + i, "w " * (5 + i % 90), f"s{i // 4:03d}") for i in range(400)]
+    for rows in (docs, docs[20:], [(i, "w " * 10, f"t{i}") for i in range(5)]):
+        found = mixing.mixed(frame(spark, rows)).collect()
+        for s in {r["source"] for r in found}:
+            own = [r for r in found if r["source"] == s]
+            limit = 6 * mixing.BLOCK if s == "large" else 0.5
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= limit and all(r["times"] <= 3 for r in own), s
+    shares = mixing.targets(mixing.sized(frame(spark, docs)))
+    slots = mixing.schedule(shares).where("source <> 'large'").groupBy("source", "part").count().collect()
+    laid = {}
+    for r in slots:
+        laid[r["source"]] = laid.get(r["source"], 0) + r["count"]
+    target = {r["source"]: r["target"] for r in shares.collect()}
+    assert len(laid) == 100 and all(abs(n - target[s]) <= 0.5 for s, n in laid.items())
+
+
 # 3
 def test_recall(spark):
     for name in ("sf0.01", "sf0.1"):
