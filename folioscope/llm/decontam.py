@@ -200,9 +200,10 @@ def _shards(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded size, as (id as a string, text)."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, named: bool = True) -> Iterator[list[tuple]]:
+    """The items in blocks of bounded size, as (id as a string, text); ``named``: only those with an id."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = rows.where("id is not null") if named else rows
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // block_bytes + 1
     for k in range(n):
@@ -309,12 +310,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a window of an item, columns as they were.
 
-    Each row is judged by its own text, whatever its id; null texts stay. Each block of items is a
+    Each row is judged by its own text, whatever its id; null texts stay. Items without an id count
+    like others. Each block of items is a
     pass over the rows that the block before has left, without a shuffle.
     """
     prepare(docs.sparkSession)
     sc, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_id, item_text, block_bytes):
+    for block in _blocks(benchmark, item_id, item_text, block_bytes, named=False):
         bc = sc.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:

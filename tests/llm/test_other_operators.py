@@ -282,6 +282,12 @@ def test_decontamination_of_odd_rows(spark):
     assert decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0 and decontam.report(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_are_cleaned_of(spark):
+    docs = frame(spark, [(1, "a passage of an item", "s"), (2, "another", "s"), (3, None, "s")])
+    bench = spark.createDataFrame([(None, "passage of"), (4, None)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.clean(docs, bench).collect()) == [2, 3]
+
+
 # 9
 def test_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
