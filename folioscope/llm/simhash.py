@@ -10,9 +10,11 @@ that differ in one bit, one holds the zero). Candidates are then held to the lon
 to the whole distance.
 
 Bounds. Equal fingerprints are one node, so copies cost one row. A key's rows are streamed in key
-order; groups of more than 32 rows link by a search that takes each node out once (links no
-more than nodes, never all pairs), groups of more than ``HOT`` rows are passed on and dealt
-out as pairs of blocks of ``HOT`` rows. No link is lost in either way.
+order. Groups of more than ``SMALL`` rows link by a search that takes each node out once (links no
+more than nodes, never all pairs); rows that stand there by a bit set are linked among each other
+under their own key, so that one link joins each tree of them. Groups of more than ``HOT`` rows are
+passed on and dealt out as pairs of blocks of ``HOT`` rows, of which each gives what joins the two.
+No link is lost in either way, and all pairs are held to the chains before the whole distance.
 
 ``keep_one`` takes the components of such links for groups of candidates only, and looks at the
 shingles of all pairs of a group; see ``confirmed``.
@@ -151,39 +153,91 @@ class Ring:
         return alive & (np.bitwise_count(apart).sum(1) <= self.radius)
 
 
-def _search(prints: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest: each node leaves the rest when it is first reached."""
-    rest = np.arange(len(prints))
+def _reach(ring: Ring, start: int, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places in ``rows`` that keep to the chain of budgets from segment ``start`` and to the radius."""
+    apart = rows ^ x
+    alive = np.arange(len(rows))
+    spent = np.zeros(len(rows), np.int64)
+    for length in range(1, ring.segments):
+        spent = spent + np.bitwise_count(ring.value(apart[alive], start + length - 1))
+        ok = spent <= length * ring.radius // ring.segments
+        if not ok.all():
+            alive, spent = alive[ok], spent[ok]
+            if not len(alive):
+                return alive
+    return alive[np.bitwise_count(apart[alive]).sum(1) <= ring.radius]
+
+
+def _search(ring: Ring, start: int, prints: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links of a spanning forest, by chains from segment ``start``, and each print's tree: a print
+    leaves the rest when it is first reached."""
+    links, label, rest = [], np.zeros(len(prints), np.int64), np.arange(len(prints))
     while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
+        queue, tree, rest = [int(rest[0])], int(rest[0]), rest[1:]
+        label[tree] = tree
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(prints[rest] ^ prints[x]).sum(1) <= radius
-            for y in rest[near].tolist():
-                yield x, y
-                queue.append(y)
-            rest = rest[~near]
+            near = _reach(ring, start, prints[x], prints[rest])
+            if not len(near):
+                continue
+            found = rest[near]
+            label[found] = tree
+            links += [(x, y) for y in found.tolist()]
+            queue += found.tolist()
+            rest = np.delete(rest, near)
+        if queue:
+            label[queue] = tree
+    return links, label
+
+
+def _cross(ring: Ring, start: int, one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
+    """A link for each tree of ``one`` and tree of ``two`` that any link joins. Links inside either are
+    those of another key or block, which gives them."""
+    met = [(x, y) for x in range(len(one)) for y in _reach(ring, start, one[x], two).tolist()]
+    if len(met) < 2:
+        return met
+    pairs = np.array(met, np.int64)
+    labels = []
+    for side, prints in enumerate((one, two)):
+        used, place = np.unique(pairs[:, side], return_inverse=True)
+        labels.append(_search(ring, start, prints[used])[1][place])
+    _, first = np.unique(np.stack(labels, 1), axis=0, return_index=True)
+    return pairs[first].tolist()
 
 
 def _linker(ring: Ring, hot: int | None):
-    """Streams rows (key, flipped, fingerprint) in key order; gives stars of links, and rows of keys
-    with more than ``hot`` rows as they are (``b`` null)."""
+    """Streams rows (key, flipped, side, fingerprint) in key order; gives stars of links, and rows of
+    keys with more than ``hot`` rows as they are (``b`` null)."""
+    each = ring.width // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, kept, passing = Forest(), None, None
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            a, b, key = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(key, pa.int64())], ["a", "b", "key"])
-
-        def passed(prints: np.ndarray, key: int) -> pa.RecordBatch:
-            return out([(p.astype(">u8").tobytes().hex(), None, key) for p in prints])
-
-        def link(prints: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-            for x, y in zip(prints[one].astype(">u8"), prints[two].astype(">u8"), strict=True):
-                forest.join(x.tobytes().hex(), y.tobytes().hex())
-
-        def whole(keys: np.ndarray, flips: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(a: list, b: list, key: int | None = None, flips: np.ndarray | None = None) -> pa.RecordBatch:
+            keys = pa.array([key] * len(a), pa.int64())
+            flipped = pa.array([None] * len(a) if flips is None else flips, pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), keys, flipped], ["a", "b", "key", "flipped"])
+
+        def passed(prints: np.ndarray, flips: np.ndarray, key: int) -> pa.RecordBatch:
+            return out(_bytes(prints), [None] * len(prints), key, flips)
+
+        def link(one: np.ndarray, two: np.ndarray) -> None:
+            for x, y in zip(_bytes(one), _bytes(two), strict=True):
+                forest.join(x, y)
+
+        def large(key: int, flips: np.ndarray, sides: np.ndarray, prints: np.ndarray) -> None:
+            start = key >> 56
+            base = [prints[~flips & (sides == k)] for k in (0, 1)]
+            turned = [prints[flips & (sides == k)] for k in (0, 1)]
+            if not len(base[1]) and not len(turned[1]):
+                joined = [(base[0], base[0], _search(ring, start, base[0])[0]), (base[0], turned[0], _cross(ring, start, base[0], turned[0]))]
+            else:  # two blocks of one key: what is inside a block is another task's
+                joined = [(x, y, _cross(ring, start, x, y)) for x, y in ((base[0], base[1]), (base[0], turned[1]), (base[1], turned[0]))]
+            for x, y, pairs in joined:
+                at = np.array(pairs, np.int64).reshape(-1, 2)
+                link(x[at[:, 0]], y[at[:, 1]])
+
+        def whole(keys: np.ndarray, flips: np.ndarray, sides: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             sizes = np.diff(np.concatenate((starts, [len(keys)])))
             useful = (sizes > 1) & ~flips[starts]  # rows with no bit set come first; without one, no pair shares the key so
@@ -196,21 +250,22 @@ def _linker(ring: Ring, hot: int | None):
                     break
                 same = same[~(f[same] & f[same + d])]
                 same = same[ring.linked(p[same], p[same + d], k[same])]
-                link(p, same, same + d)
+                link(p[same], p[same + d])
             for g in np.flatnonzero(useful & (sizes > SMALL)):
-                a, b = starts[g], starts[g] + sizes[g]
+                own = slice(starts[g], starts[g] + sizes[g])
                 if hot and sizes[g] > hot:
-                    yield passed(prints[a:b], int(keys[a]))
+                    yield passed(prints[own], flips[own], int(keys[starts[g]]))
                 else:
-                    pairs = np.array(list(_search(prints[a:b], ring.radius)), np.int64).reshape(-1, 2)
-                    link(prints[a:b], pairs[:, 0], pairs[:, 1])
+                    large(int(keys[starts[g]]), flips[own], sides[own], prints[own])
 
         for batch in batches:
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), _unhex(batch.column(2), ring.width))
+            key, flips, sides = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u8").astype(np.uint64).reshape(-1, each // 8)
+            new = (key, flips, sides, prints)
             if passing is not None:
                 n = int(np.searchsorted(new[0], passing, side="right"))
                 if n:
-                    yield passed(new[2][:n], passing)
+                    yield passed(new[3][:n], new[1][:n], passing)
                 new = tuple(x[n:] for x in new)
                 if len(new[0]):
                     passing = None
@@ -222,19 +277,26 @@ def _linker(ring: Ring, hot: int | None):
             kept = tuple(x[last:] for x in kept)
             if hot and len(kept[0]) > hot:
                 passing = int(kept[0][0])
-                yield passed(kept[2], passing)
+                yield passed(kept[3], kept[1], passing)
                 kept = None
             if len(forest.parent) > FLUSH:
-                yield out([(a, b, None) for a, b in forest.stars()])
+                yield out(*map(list, zip(*forest.stars(), strict=True)))
                 forest = Forest()
         if kept is not None and len(kept[0]):
             yield from whole(*kept)
-        yield out([(a, b, None) for a, b in forest.stars()])
+        if stars := forest.stars():
+            yield out(*map(list, zip(*stars, strict=True)))
 
     return run
 
 
-LINKS = "a string, b string, key bigint"
+def _bytes(prints: np.ndarray) -> list[bytes]:
+    raw, each = prints.astype(">u8").tobytes(), prints.shape[1] * 8
+    return [raw[i : i + each] for i in range(0, len(raw), each)]
+
+
+LINKS = "a binary, b binary, key bigint, flipped boolean"
+KEYED = "key bigint, flipped boolean, side int, fingerprint binary"
 
 
 def links(nodes: DataFrame, width: int = 64, radius: int = 4, hot: int = HOT) -> DataFrame:
@@ -246,24 +308,50 @@ def links(nodes: DataFrame, width: int = 64, radius: int = 4, hot: int = HOT) ->
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                column = batch.column(0).slice(at, 2048)
-                keys, flipped, rows = ring.keys(_unhex(column, width))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(flipped), column.take(pa.array(rows))], ["key", "flipped", "fingerprint"])
+                prints = _unhex(batch.column(0).slice(at, 2048), width)
+                keys, flipped, rows = ring.keys(prints)
+                raw = pa.array(_bytes(prints), pa.binary()).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(flipped), pa.array(np.zeros(len(keys), np.int32)), raw], ["key", "flipped", "side", "fingerprint"])
 
-    keyed = nodes.select("fingerprint").mapInArrow(spread, "key bigint, flipped boolean, fingerprint string")
-    met = keyed.repartition("key").sortWithinPartitions("key", "flipped")
+    named = [F.lower(F.hex(c)).alias(c) for c in ("a", "b")]
+    met = nodes.select("fingerprint").mapInArrow(spread, KEYED).repartition("key").sortWithinPartitions("key", "flipped")
     found = cut(met.mapInArrow(_linker(ring, hot), LINKS))
-    edges = found.where("b is not null").select("a", "b")
-    passed = found.where("b is null").select("key", F.col("a").alias("fingerprint"))
+    edges = found.where("b is not null").select(*named)
+    passed = found.where("b is null").select("key", "flipped", F.col("a").alias("fingerprint"))
     if passed.isEmpty():
         return edges
     blocks = passed.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
     dealt = passed.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(block.alias("key"), F.lit(False).alias("flipped"), "fingerprint")
-    more = dealt.repartition("key").sortWithinPartitions("key", "flipped").mapInArrow(_linker(ring, None), LINKS)
-    return edges.unionByName(more.select("a", "b"))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "flipped", (F.col("own") > F.col("other")).cast("int").alias("side"), "fingerprint")
+    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "flipped")
+    more = dealt.mapInArrow(_paired(_linker(ring, None)), LINKS)
+    return edges.unionByName(more.select(*named))
+
+
+def _paired(linker):
+    """``linker`` over rows (key, low, high, flipped, side, fingerprint), each (key, low, high) by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from linker(iter([pa.Table.from_batches(held).combine_chunks().to_batches()[0]]))
+
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            at = 0
+            for k in range(1, len(names) + 1):
+                if k == len(names) or names[k] != names[at]:
+                    if names[at] != own:
+                        yield from close()
+                        held, own = [], names[at]
+                    held.append(batch.slice(at, k - at).select(["key", "flipped", "side", "fingerprint"]))
+                    at = k
+        yield from close()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, width: int = 64, radius: int = 4) -> DataFrame:
@@ -420,14 +508,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     roots = connected_components(exact).withColumnRenamed("node", "digest")
     group = F.coalesce("root", "digest")
     first = nodes.join(roots, "digest", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first"))
-    stay = cut(first.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest")))
-    twice = prints.groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).count().where("count > 1")
-    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__digest"] == b["__digest"])
-    twice = cut(twice.drop("count"))
-    rows = docs.withColumn("__id", F.col(id_col)).withColumn("__digest", digest)
+    stay = cut(first.select(F.col("first.id").alias("of"), F.col("first.digest").alias("kept")))
+    twice = cut(prints.groupBy(F.col("id").alias("of"), F.col("digest").alias("kept")).count().where("count > 1").drop("count"))
+    same = lambda a, b: a["id"].eqNullSafe(b["of"]) & (a["digest"] == b["kept"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
     if twice.isEmpty():
-        return rows.join(stay, same(rows, stay), "left_semi").drop("__id", "__digest")
-    single = stay.join(twice, same(stay, twice), "left_anti")
-    several = stay.join(twice, same(stay, twice), "left_semi")
-    once = rows.join(several, same(rows, several), "left_semi").dropDuplicates(["__id", "__digest"])
-    return rows.join(single, same(rows, single), "left_semi").unionByName(once).drop("__id", "__digest")
+        return rows.join(stay, same(rows, stay), "left_semi").select("row.*")
+    single = stay.join(twice, stay["of"].eqNullSafe(twice["of"]) & (stay["kept"] == twice["kept"]), "left_anti")
+    several = stay.join(twice, stay["of"].eqNullSafe(twice["of"]) & (stay["kept"] == twice["kept"]), "left_semi")
+    once = rows.join(several, same(rows, several), "left_semi").dropDuplicates(["id", "digest"])
+    return rows.join(single, same(rows, single), "left_semi").unionByName(once).select("row.*")
