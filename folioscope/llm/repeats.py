@@ -1,8 +1,11 @@
 """Suffix-array dedup: byte strings of ``LENGTH`` bytes or more that occur more than once.
 
-Anchors. In each stretch of ``LENGTH`` bytes the ``GRAM``-byte string with the least hash is its
-anchor, so equal stretches have an anchor at the same place in them, and about one position in 170 is
-an anchor. Anchors whose string occurs nowhere else can be in no repeat and are left out.
+What is removed are strings of ``LENGTH`` bytes. Passages of prose of more than ``WORDS`` words are often
+shorter, so that the same scan also tells of strings of ``SHORT`` bytes; nothing is removed for these.
+
+Anchors. In each stretch of ``SHORT`` bytes the ``GRAM``-byte string with the least hash is its
+anchor, so equal stretches have an anchor at the same place in them, and about one position in 100 is
+an anchor. A string of ``LENGTH`` bytes has the anchor of its first stretch. Anchors whose string occurs nowhere else can be in no repeat and are left out.
 
 Suffix arrays. The other anchors go, with the bytes to their right and left, to the task of their
 string. There their suffixes are sorted and the lengths of common prefixes are scanned with a stack,
@@ -20,7 +23,7 @@ common: 42, 6 and 1 at a time.
 
 Bounds. Equal texts are looked at once; a text of ``LENGTH`` bytes or more that stands twice is
 repeated throughout. Texts are read in segments of 60,000 bytes; a task of the scan holds some
-thousand anchors with at most 800 bytes each.
+thousand anchors with at most 592 bytes each, and remembers at most ``SEEN`` texts' digests and surroundings.
 """
 
 from __future__ import annotations
@@ -37,7 +40,9 @@ from pyspark.sql import functions as F
 
 from .support import prepare
 
-LENGTH = 400
+LENGTH = 400  # what is removed
+SHORT = 256  # what is told of besides
+WORDS = 50  # a passage has more
 GRAM = 64
 HOT = 4096
 SEGMENT = 60_000
@@ -68,19 +73,19 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h * _FACTORS[7]
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(text, position, lo, hi, gram) of the anchors of some texts laid side by side: the anchor at a
     position is that of the stretches which begin hi to lo bytes before it. All texts together have
     at most 65,535 bytes."""
     lengths = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(lengths) - lengths
     data = np.frombuffer(b"".join(texts), np.uint8)
-    n_windows = len(data) - LENGTH + 1
+    n_windows = len(data) - length + 1
     if n_windows < 1:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     grams = gram_hashes(data)
     key = (grams & ~np.uint64(0xFFFF)) | np.arange(len(grams), dtype=np.uint64)
-    low, width, span = key, 1, LENGTH - GRAM + 1
+    low, width, span = key, 1, length - GRAM + 1
     while width * 2 <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
@@ -88,7 +93,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
     at = (low & np.uint64(0xFFFF)).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    whole = owner[:n_windows] == owner[LENGTH - 1 :]
+    whole = owner[:n_windows] == owner[length - 1 :]
     starts = np.flatnonzero(whole)
     if not len(starts):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
@@ -100,24 +105,24 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text, place - begins[text], place - last, place - first, grams[place].astype(np.int64)
 
 
-def text_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+def text_anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
     """``anchors`` of texts of any length, in segments that overlap by less than a stretch."""
     packed, which, size = [], [], 0
     for i, text in enumerate(texts):
-        if len(text) < LENGTH:
+        if len(text) < length:
             continue
         if size + len(text) > SEGMENT and packed:
-            yield _moved(anchors(packed), which, [0] * len(which))
+            yield _moved(anchors(packed, length), which, [0] * len(which))
             packed, which, size = [], [], 0
         if len(text) > SEGMENT:
-            for at in range(0, len(text) - LENGTH + 1, SEGMENT - LENGTH + 1):
-                yield _moved(anchors([text[at : at + SEGMENT]]), [i], [at])
+            for at in range(0, len(text) - length + 1, SEGMENT - length + 1):
+                yield _moved(anchors([text[at : at + SEGMENT]], length), [i], [at])
             continue
         packed.append(text)
         which.append(i)
         size += len(text)
     if packed:
-        yield _moved(anchors(packed), which, [0] * len(which))
+        yield _moved(anchors(packed, length), which, [0] * len(which))
 
 
 def _moved(found: tuple[np.ndarray, ...], which: list[int], by: list[int]) -> tuple[np.ndarray, ...]:
@@ -203,9 +208,11 @@ def _runs(lo: int, hi: int, covered: list[tuple[int, int]]) -> list[tuple[int, i
     return [(a, b) for a, b in out if a <= b]
 
 
-CONTEXT = "gram bigint, salt int, hot boolean, tid binary, pos bigint, lo int, hi int, before binary, after binary"
+CONTEXT = "gram bigint, salt int, hot boolean, tid binary, pos bigint, lo int, hi int, before binary, after binary, room int"
+SEEN = 50_000  # texts and surroundings that a task remembers; it forgets them when there are more
 FOUND = "kind int, tid binary, pos bigint, lo int, hi int, piece binary"
-COVER, LEFT, EXAMPLE = 0, 1, 2
+# Each kind plus the length of its strings; a cover of LENGTH is one of SHORT as well.
+COVER, LEFT, EXAMPLE = 1000, 2000, 3000
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[tuple]]]:
@@ -226,38 +233,49 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[tuple]]]:
         yield held
 
 
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that overlap or adjoin made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered runs; of hot anchors also the stretches that no other of the group has, and examples."""
+    """Covered runs; of hot anchors also the stretches that no other of the group has, and examples.
+
+    All of it for strings of ``LENGTH`` and of ``SHORT`` bytes, out of one scan."""
     for groups in _groups(batches):
         out: list[tuple] = []
         for group in groups:
-            if group[0][7] is None:
-                out += [(COVER, *r[3:7], None) for r in group]
+            if group[0][7] is None:  # met the same surroundings elsewhere: covered by all its stretches
+                for _, _, _, tid, pos, lo, hi, _, _, room in group:
+                    out.append((COVER + SHORT, tid, pos, lo, hi, None))
+                    if (first := max(lo, LENGTH - room)) <= hi:
+                        out.append((COVER + LENGTH, tid, pos, first, hi, None))
                 continue
             rows = list({(r[3], r[4], r[5], r[6]): r for r in group}.values())
             hot = rows[0][2]
-            covered: list[list[tuple[int, int]]] = [[] for _ in rows]
+            covered: dict[int, list[list[tuple[int, int]]]] = {n: [[] for _ in rows] for n in (SHORT, LENGTH)}
             if len(rows) > 1:
-                for left, right, members in maximal([r[8] for r in rows], [r[7] for r in rows]):
-                    for m in members.tolist():
-                        covered[m].append((LENGTH - right, left))
+                for left, right, members in maximal([r[8] for r in rows], [r[7] for r in rows], SHORT):
+                    for n, ranges in covered.items():
+                        if left + right < n:
+                            continue
+                        for m in members.tolist():
+                            ranges[m].append((n - right, left))
+                        if hot:
+                            _, _, _, tid, pos, _, _, before, after, _ = rows[int(members[0])]
+                            out.append((EXAMPLE + n, tid, pos, max(0, n - right), left, before[:left][::-1] + after[: n - max(0, n - right)]))
+            for n, every in covered.items():
+                for r, ranges in zip(rows, every, strict=True):
+                    _, _, _, tid, pos, lo, hi, before, after, _ = r
+                    out += [(COVER + n, tid, pos, a, b, None) for a, b in _joined(ranges)]
                     if hot:
-                        _, _, _, tid, pos, _, _, before, after = rows[int(members[0])]
-                        out.append((EXAMPLE, tid, pos, LENGTH - right, left, before[:left][::-1] + after[:right]))
-            for r, ranges in zip(rows, covered, strict=True):
-                _, _, _, tid, pos, lo, hi, before, after = r
-                if ranges:
-                    whole, at = sorted(ranges), None
-                    for a, b in whole:
-                        at = (a, b) if at is None else at
-                        if a <= at[1] + 1:
-                            at = (at[0], max(at[1], b))
-                        else:
-                            out.append((COVER, tid, pos, *at, None))
-                            at = (a, b)
-                    out.append((COVER, tid, pos, *at, None))
-                if hot:
-                    out += [(LEFT, tid, pos, a, b, before[:b][::-1] + after[: LENGTH - a]) for a, b in _runs(lo, hi, ranges)]
+                        out += [(LEFT + n, tid, pos, a, b, before[:b][::-1] + after[: n - a]) for a, b in _runs(max(lo, n - len(after)), hi, ranges)]
         if out:
             yield _batch(out)
 
@@ -267,7 +285,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "tid", "pos", "lo", "hi", "piece"])
 
 
-def _halved(width: int):
+def _halved(width: int, length: int):
     """Splits rows (kind, tid, pos, lo, hi, piece) into ranges of ``width`` stretches; ``same`` is the
     hash of what all stretches of the range have in common."""
 
@@ -278,8 +296,8 @@ def _halved(width: int):
                 for part in range(lo // width, hi // width + 1):
                     first, last = part * width, part * width + width - 1
                     a, b = max(lo, first), min(hi, last)
-                    core = piece[hi - first : hi + LENGTH - last]  # piece begins hi bytes before the anchor
-                    out.append((kind, tid, pos, a, b, piece[hi - b : hi + LENGTH - a]))
+                    core = piece[max(0, hi - first) : hi + length - last]  # piece begins hi bytes before the anchor
+                    out.append((kind, tid, pos, a, b, piece[hi - b : hi + length - a]))
                     hashes.append(xxhash.xxh3_128_digest(core, seed=part))
             if out:
                 whole = _batch(out)
@@ -288,15 +306,15 @@ def _halved(width: int):
     return run
 
 
-def _across(found: DataFrame) -> DataFrame:
-    """Covered stretches (tid, pos, lo, hi) whose like is in another group of a hot anchor's."""
-    rows = found.where(F.col("kind") != COVER)
+def _across(found: DataFrame, length: int) -> DataFrame:
+    """Covered stretches (tid, pos, lo, hi) of ``length`` bytes whose like is in another group of a hot anchor's."""
+    rows = found.where(F.col("kind").isin(LEFT + length, EXAMPLE + length))
     for width in WIDTHS:
-        split = stored(rows.mapInArrow(_halved(width), "same binary, " + FOUND))
+        split = stored(rows.mapInArrow(_halved(width, length), "same binary, " + FOUND))
         place = F.struct("tid", "pos")
-        met = split.groupBy("same").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("kind").alias("k")).where((F.col("a") != F.col("b")) & (F.col("k") == LEFT))
+        met = split.groupBy("same").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("kind").alias("k")).where((F.col("a") != F.col("b")) & (F.col("k") == LEFT + length))
         rows = split.join(met.select("same"), "same", "left_semi").drop("same")
-    return rows.where(F.col("kind") == LEFT).select("tid", "pos", "lo", "hi")
+    return rows.where(F.col("kind") == LEFT + length).select("tid", "pos", "lo", "hi")
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -308,35 +326,45 @@ def _tid():
     return F.unhex(F.substring(F.sha2("__text", 256), 1, 32))
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    for batch in batches:
-        texts, tids = [], []
-        for t in batch.column(0).to_pylist():
-            if len(t) < LENGTH:
-                continue
-            tid = hashlib.sha256(t).digest()[:16]
-            if tid not in seen:
-                if len(seen) < 200_000:
+def _anchored(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            texts, tids = [], []
+            for t in batch.column(0).to_pylist():
+                if len(t) < length:
+                    continue
+                tid = hashlib.sha256(t).digest()[:16]
+                if tid not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(tid)
-                texts.append(t)
-                tids.append(tid)
-        names = pa.array(tids, pa.binary())
-        for text, place, lo, hi, gram in text_anchors(texts):
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(text)), pa.array(place), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(gram)], ["tid", "pos", "lo", "hi", "gram"])
+                    texts.append(t)
+                    tids.append(tid)
+            names = pa.array(tids, pa.binary())
+            for text, place, lo, hi, gram in text_anchors(texts, length):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(text)), pa.array(place), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(gram)], ["tid", "pos", "lo", "hi", "gram"])
+
+    return run
+
+
+ANCHOR = "tid binary, pos bigint, lo int, hi int, gram bigint"
 
 
 def _contexts(hot: int):
     names = [x.split()[0] for x in CONTEXT.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of surroundings that are forgotten and met again, a row more goes to the group, where it is found.
         seen: dict[tuple, tuple | None] = {}
         texts: set[bytes] = set()
         for batch in batches:
             for tid, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if tid in texts:  # a repeated row
+                if tid in texts:  # a repeated row; if it is forgotten, its text goes whole in any case
                     continue
+                if len(texts) >= SEEN:
+                    texts.clear()
                 texts.add(tid)
                 rows: list[tuple] = []
                 for a in found:
@@ -344,19 +372,24 @@ def _contexts(hot: int):
                     parts = -(-a["n"] // hot)
                     before, after = text[pos - hi : pos][::-1], text[pos : pos + LENGTH - lo]
                     if parts == 1:
-                        rows.append((gram, 0, False, tid, pos, lo, hi, before, after))
-                        continue
-                    digest = xxhash.xxh3_128_intdigest(before + after, seed=hi)
-                    key = (gram, lo, digest)
-                    if key not in seen:
-                        seen[key] = (tid, pos, lo, hi)
-                        rows.append((gram, digest % parts, True, tid, pos, lo, hi, before, after))
-                        continue
-                    for other in filter(None, (seen[key], (tid, pos, lo, hi))):
-                        rows.append((gram, -1 - (other[0][0] * 16 + other[1]) % 4096, True, *other, None, None))
-                    seen[key] = None
-                for at in range(0, len(rows), GATHER):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + GATHER], strict=True), kinds, strict=True)], names)
+                        rows.append((gram, 0, False, tid, pos, lo, hi, before, after, len(after)))
+                    else:
+                        digest = xxhash.xxh3_128_intdigest(before + after, seed=hi)
+                        key = (gram, lo, digest)
+                        if key not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen[key] = (tid, pos, lo, hi)
+                            rows.append((gram, digest % parts, True, tid, pos, lo, hi, before, after, len(after)))
+                        else:
+                            for other in filter(None, (seen[key], (tid, pos, lo, hi))):
+                                rows.append((gram, -1 - (other[0][0] * 16 + other[1]) % 4096, True, *other, None, None, len(after)))
+                            seen[key] = None
+                    if len(rows) >= GATHER:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
@@ -367,10 +400,14 @@ class Prepared:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, hot: int = HOT) -> None:
         prepare(docs.sparkSession)
         self.rows = _texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t")), "__t").drop("__t")
-        found = self.rows.select("__text").mapInArrow(_anchored, "tid binary, pos bigint, lo int, hi int, gram bigint")
-        found = stored(found.dropDuplicates(["tid", "pos", "lo", "hi"]))
-        often = stored(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
-        lists = found.join(often, "gram").groupBy("tid").agg(F.collect_list(F.struct("pos", "lo", "hi", "gram", "n")).alias("found"))
+        found = stored(self.rows.select("__text").mapInArrow(_anchored(SHORT), ANCHOR))
+        # a string whose least and greatest place agree stands nowhere else, in however many equal texts
+        place = F.xxhash64("tid", "pos")
+        often = found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram")
+        repeated = stored(found.join(often, "gram", "left_semi").distinct())
+        heavy = repeated.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+        anchor = F.struct("pos", "lo", "hi", "gram", F.coalesce("n", F.lit(1)).alias("n"))
+        lists = repeated.join(heavy, "gram", "left").groupBy("tid").agg(F.collect_list(anchor).alias("found"))
         self.small = self.rows.select("id", _tid().alias("tid"), F.octet_length("__text").cast("long").alias("n_bytes"), F.sha2("__text", 256).alias("sha256"))
         self.copies = self.small.groupBy("tid").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
         chosen = lists.join(self.copies, "tid")
@@ -381,48 +418,63 @@ class Prepared:
         self.context = self.texts.select("tid", "text", "found").mapInArrow(_contexts(hot), CONTEXT).repartition("gram", "salt").sortWithinPartitions("gram", "salt")
 
 
+def _spans(size: int, ranges: np.ndarray) -> np.ndarray:
+    """Maximal runs of the bytes that ranges (start, end) cover."""
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, ranges[:, 0], 1)
+    np.add.at(edge, ranges[:, 1], -1)
+    turns = np.diff(np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0])))
+    return np.stack((np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)), 1)
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    runs = pa.list_(pa.list_(pa.int64()))
     for batch in batches:
         out = []
         for tid, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            edge = np.zeros(len(text) + 1, np.int64)
-            places = np.array([(r["pos"] - r["hi"], r["pos"] - r["lo"] + LENGTH) for r in ranges], np.int64)
-            np.add.at(edge, places[:, 0], 1)
-            np.add.at(edge, places[:, 1], -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            turns = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
-            spans = np.stack((np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)), 1)
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out.append((tid, spans.tolist(), kept))
+            places = np.array([(r["length"], r["pos"] - r["hi"], r["pos"] - r["lo"] + r["length"]) for r in ranges], np.int64)
+            spans = _spans(len(text), places[places[:, 0] == LENGTH, 1:])
+            said = [[a, b] for a, b in _spans(len(text), places[:, 1:]).tolist() if len(text[a:b].split()) > WORDS]
+            kept, at = [], 0
+            for a, b in spans.tolist():
+                kept.append(text[at:a])
+                at = b
+            out.append((tid, spans.tolist(), said, b"".join([*kept, text[at:]])))
         if out:
             columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.list_(pa.list_(pa.int64()))), pa.array(columns[2], pa.binary())], ["tid", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], runs), pa.array(columns[2], runs), pa.array(columns[3], pa.binary())], ["tid", "spans", "passages", "kept"])
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, sha256, spans (removed [start, end) runs of bytes) and
-    kept_sha256.
+    """One row per row of ``docs``: id, n_bytes, sha256, spans (removed [start, end) runs of bytes),
+    passages and kept_sha256.
 
     A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else, in this row or
-    another; strings are judged on the input. Null texts are empty ones; texts shorter than ``LENGTH``
-    stay whole; repeated rows are copies of each other and go. Ids are passed on, null and repeated ones
+    another; strings are judged on the input. ``passages`` only tells: it has the runs of bytes covered in
+    the same way by strings of ``SHORT`` bytes, those of more than ``WORDS`` words (parts of words at either end
+    count); a text of ``SHORT`` bytes that stands twice is a passage, whole. Null texts are empty ones; texts shorter than ``SHORT``
+    stay whole and have none; repeated rows are copies of each other and go. Ids are passed on, null and repeated ones
     too; other columns are not looked at, whatever their names. No rows: no rows.
     """
     made = Prepared(docs, id_col, text_col, hot)
     found = stored(made.context.mapInArrow(_scan, FOUND))
-    covers = found.where(F.col("kind") == COVER).select("tid", "pos", "lo", "hi")
-    if not found.where(F.col("kind") == LEFT).isEmpty():
-        covers = covers.unionByName(_across(found))
-    lists = covers.groupBy("tid").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("ranges"))
+    length = (F.col("kind") - COVER).alias("length")
+    covers = found.where(F.col("kind") < LEFT).select("tid", "pos", "lo", "hi", length)
+    if not found.where(F.col("kind") > LEFT).isEmpty():
+        for n in (LENGTH, SHORT):
+            covers = covers.unionByName(_across(found, n).withColumn("length", F.lit(n)))
+    lists = covers.groupBy("tid").agg(F.collect_list(F.struct("pos", "lo", "hi", "length")).alias("ranges"))
     single = made.texts.where("copies = 1").select("tid", "text").join(lists, "tid")
-    parts = single.mapInArrow(_cleaned, "tid binary, spans array<array<bigint>>, kept binary").select("tid", "spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kind = "array<array<bigint>>"
+    parts = single.mapInArrow(_cleaned, f"tid binary, spans {kind}, passages {kind}, kept binary").select("tid", "spans", "passages", F.sha2("kept", 256).alias("kept_sha256"))
     out = made.small.join(made.copies.select("tid", "copies"), "tid").join(parts, "tid", "left")
-    twice = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    twice = lambda least: (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     all_of_it = F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))
-    nothing = F.array().cast("array<array<bigint>>")
-    spans = F.when(twice, all_of_it).otherwise(F.coalesce("spans", nothing))
-    kept = F.when(twice, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256"))
-    return out.select("id", "n_bytes", "sha256", spans.alias("spans"), kept.alias("kept_sha256"))
+    nothing = F.array().cast(kind)
+    spans = F.when(twice(LENGTH), all_of_it).otherwise(F.coalesce("spans", nothing))
+    passages = F.when(twice(SHORT), all_of_it).otherwise(F.coalesce("passages", nothing))
+    kept = F.when(twice(LENGTH), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256"))
+    return out.select("id", "n_bytes", "sha256", spans.alias("spans"), passages.alias("passages"), kept.alias("kept_sha256"))
 
 
 WIDE = "gram bigint, tid binary, pos bigint, lo int, hi int, copies bigint, before binary, after binary"
@@ -497,7 +549,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t")), "__t").drop("__t").withColumn("tid", _tid())
     small = stored(rows.where(F.octet_length("__text") >= LENGTH).select("id", "tid"))
     copies = stored(small.groupBy("tid").agg(F.count("*").alias("copies")))
-    found = rows.select("__text").mapInArrow(_anchored, "tid binary, pos bigint, lo int, hi int, gram bigint")
+    found = rows.select("__text").mapInArrow(_anchored(LENGTH), ANCHOR)
     found = stored(found.groupBy("tid", "pos", "gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
     often = found.join(copies, "tid").groupBy("gram").agg(F.sum("copies").alias("n")).where("n > 1")
     active = stored(found.join(often.select("gram"), "gram", "left_semi"))
@@ -514,19 +566,3 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         width, prior = 2 * width, width
     named = each.join(small, "tid")
     return named.groupBy("number", "length").agg(F.array_sort(F.collect_list(F.struct("id", "start"))).alias("occurrences")).drop("number")
-
-
-def brute(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
-    """(bytes, removed, spans, hash of the rest) by counting all strings; for tests."""
-    from collections import Counter
-
-    counts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
-    out = []
-    for t in texts:
-        gone = bytearray(len(t))
-        for i in range(len(t) - length + 1):
-            if counts[t[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
-        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
-        out.append((len(t), sum(gone), sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1])), hashlib.sha256(kept).hexdigest()))
-    return out

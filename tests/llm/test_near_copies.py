@@ -1,7 +1,9 @@
 """SimHash near-dedup, components and repeats against brute force."""
 
+import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -188,11 +190,45 @@ def passages(seed):
     return [*texts, None, "", *periodic, texts[3], texts[4]]
 
 
+def covered(texts, length):
+    """Maximal runs of bytes that strings of ``length`` cover which start twice, by counting all strings."""
+    counts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if counts[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        yield t, [(m.start(), m.end()) for m in re.finditer(b"\1+", gone)]
+
+
+def brute_repeats(texts):
+    """(bytes, removed, spans, hash of the rest) of each text."""
+    for t, runs in covered(texts, repeats.LENGTH):
+        kept, at = b"", 0
+        for a, b in runs:
+            kept, at = kept + t[at:a], b
+        yield len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept + t[at:]).hexdigest()
+
+
+def brute_passages(texts):
+    copies = Counter(texts)
+    for t, runs in covered(texts, repeats.SHORT):
+        yield [[a, b] for a, b in runs if len(t[a:b].split()) > repeats.WORDS or copies[t] > 1]
+
+
+@pytest.mark.parametrize("hot", [3, 4096])
+def test_passages(spark, hot):
+    texts = passages(3)
+    got = {r["id"]: r["passages"] for r in repeats.cleaned(frame(spark, texts), hot=hot).collect()}
+    want = list(brute_passages([(t or "").encode() for t in texts]))
+    assert [got[i] for i in range(len(texts))] == want and any(want)
+
+
 @pytest.mark.parametrize("hot", [3, 4096])
 def test_repeats(spark, hot):
     texts = passages(2)
     got = {r["id"]: r for r in repeats.cleaned(frame(spark, texts), hot=hot).collect()}
-    for i, (n, removed, spans, kept) in enumerate(repeats.brute([(t or "").encode() for t in texts])):
+    for i, (n, removed, spans, kept) in enumerate(brute_repeats([(t or "").encode() for t in texts])):
         r = got[i]
         assert (r["n_bytes"], sum(b - a for a, b in r["spans"]), len(r["spans"]), r["kept_sha256"]) == (n, removed, spans, kept), i
 
@@ -200,7 +236,8 @@ def test_repeats(spark, hot):
 def test_repeats_query(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     got = {r["doc_id"]: tuple(r)[1:] for r in registry.queries()["op4_suffix_array_dedup"](spark, DATA).collect()}
-    want = repeats.brute([(d["text"] or "").encode() for d in docs])
+    texts = [(d["text"] or "").encode() for d in docs]
+    want = [(*w, len(p)) for w, p in zip(brute_repeats(texts), brute_passages(texts), strict=True)]
     assert got == {d["doc_id"]: w for d, w in zip(docs, want, strict=True)}
 
 
