@@ -162,22 +162,24 @@ def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((c, first))
 
 
-def maximal(rights: list[bytes], lefts: list[bytes], least: int = LENGTH) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(left length, right length, members) of the maximal repeats of ``least`` bytes or more among
-    anchors of one string, ``lefts`` read from the anchor outwards."""
-    n = len(rights)
-    order = np.array(sorted(range(n), key=rights.__getitem__))
+def _pair(rights: list[bytes], lefts: list[bytes]) -> tuple[int, int]:
+    """How far two anchors of one string agree to the left and to the right."""
+    ends = []
+    for one, two in (lefts, rights):
+        n = min(len(one), len(two))
+        ends.append(n if one[:n] == two[:n] else next(k for k in range(n) if one[k] != two[k]))
+    return ends[0], ends[1]
+
+
+def _tree(rights: list[bytes], lefts: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(right length, members in order of what lies to their left, child of each, common left lengths) of
+    the intervals in which a repeat of ``least`` bytes can be, children before parents."""
+    order = np.array(sorted(range(len(rights)), key=rights.__getitem__))
     matrix, lengths = _rows(rights)
     common = _common(matrix, lengths, order[:-1], order[1:])
-    if n == 2:
-        left = next((k for k, (a, b) in enumerate(zip(*lefts, strict=False)) if a != b), min(map(len, lefts)))
-        if left + common[0] >= least:
-            yield left, int(common[0]), order
-        return
     outward, widths = _rows(lefts)
-    rank = np.empty(n, np.int64)
-    by_left = np.array(sorted(range(n), key=lefts.__getitem__))
-    rank[by_left] = np.arange(n)
+    rank = np.empty(len(rights), np.int64)
+    rank[sorted(range(len(rights)), key=lefts.__getitem__)] = np.arange(len(rights))
     for length, first, last in intervals(common.tolist()):
         members = order[first : last + 1]
         if length + int(widths[members].max()) < least:
@@ -187,13 +189,41 @@ def maximal(rights: list[bytes], lefts: list[bytes], least: int = LENGTH) -> Ite
         turn = np.argsort(rank[members])
         members, child = members[turn], child[turn]
         beside = _common(outward, widths, members[:-1], members[1:])
-        if length + int(beside.max()) < least:
-            continue
+        if length + int(beside.max()) >= least:
+            yield length, members, child, beside
+
+
+def maximal(rights: list[bytes], lefts: list[bytes], least: int = LENGTH) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(left length, right length, members) of the maximal repeats of ``least`` bytes or more among
+    anchors of one string, ``lefts`` read from the anchor outwards."""
+    for length, members, child, beside in _tree(rights, lefts, least):
         for left, a, b in intervals(beside.tolist()):
             if length + left >= least and (child[a : b + 1] != child[a]).any():
                 yield left, length, members[a : b + 1]
 
 
+def reached(rights: list[bytes], lefts: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """(right length, members, left lengths, examples): for each interval, how far to the left its longest
+    maximal repeat reaches from each member (-1: there is none), and (left length, member) of one member of
+    each repeat that holds no longer one."""
+    if len(rights) == 2:
+        left, right = _pair(rights, lefts)
+        if left + right >= least:
+            yield right, np.arange(2), np.full(2, left), [(left, 0)]
+        return
+    for length, members, child, beside in _tree(rights, lefts, least):
+        far, examples = np.full(len(members), -1), []
+        for left, a, b in intervals(beside.tolist()):
+            if length + left >= least and (child[a : b + 1] != child[a]).any():
+                own = far[a : b + 1]
+                bare = own < 0  # children come first, and reach farther
+                if bare.all():
+                    examples.append((left, int(members[a])))
+                own[bare] = left
+        if examples:
+            yield length, members, far, examples
+
+
 def _runs(lo: int, hi: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What of lo..hi is in none of the ranges."""
     out, at = [], lo
@@ -233,15 +263,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[tuple]]]:
         yield held
 
 
-def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges in order, those that overlap or adjoin made one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (owner, first, last) in order, those of one owner that overlap or adjoin made one."""
+    owner, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+    turn = np.lexsort((first, owner))
+    owner, first, last = owner[turn], first[turn], last[turn]
+    apart = owner * 4 * LENGTH  # so that no range of one owner meets another's
+    upto = np.maximum.accumulate(last + apart)
+    begins = np.flatnonzero(np.concatenate(([True], (first + apart)[1:] > upto[:-1] + 1)))
+    return owner[begins], first[begins], (upto - apart)[np.concatenate((begins[1:] - 1, [len(owner) - 1]))]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,23 +289,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             rows = list({(r[3], r[4], r[5], r[6]): r for r in group}.values())
             hot = rows[0][2]
-            covered: dict[int, list[list[tuple[int, int]]]] = {n: [[] for _ in rows] for n in (SHORT, LENGTH)}
-            if len(rows) > 1:
-                for left, right, members in maximal([r[8] for r in rows], [r[7] for r in rows], SHORT):
-                    for n, ranges in covered.items():
-                        if left + right < n:
-                            continue
-                        for m in members.tolist():
-                            ranges[m].append((n - right, left))
-                        if hot:
-                            _, _, _, tid, pos, _, _, before, after, _ = rows[int(members[0])]
-                            out.append((EXAMPLE + n, tid, pos, max(0, n - right), left, before[:left][::-1] + after[: n - max(0, n - right)]))
-            for n, every in covered.items():
-                for r, ranges in zip(rows, every, strict=True):
-                    _, _, _, tid, pos, lo, hi, before, after, _ = r
-                    out += [(COVER + n, tid, pos, a, b, None) for a, b in _joined(ranges)]
+            parts: dict[int, list] = {SHORT: [], LENGTH: []}
+            for right, members, far, examples in reached([r[8] for r in rows], [r[7] for r in rows], SHORT) if len(rows) > 1 else ():
+                for n, found in parts.items():
+                    held = np.flatnonzero((far >= 0) & (far + right >= n))
+                    if len(held):
+                        found.append((members[held], np.full(len(held), n - right), far[held]))
+                    for left, m in examples if hot else ():
+                        if left + right >= n:
+                            _, _, _, tid, pos, _, _, before, after, _ = rows[m]
+                            first = max(0, n - right)
+                            out.append((EXAMPLE + n, tid, pos, first, left, before[:left][::-1] + after[: n - first]))
+            for n, found in parts.items():
+                covered: list[list[tuple[int, int]]] = [[] for _ in rows] if hot else []
+                for m, a, b in zip(*(x.tolist() for x in _joined(found)), strict=True) if found else ():
+                    out.append((COVER + n, rows[m][3], rows[m][4], a, b, None))
                     if hot:
-                        out += [(LEFT + n, tid, pos, a, b, before[:b][::-1] + after[: n - a]) for a, b in _runs(max(lo, n - len(after)), hi, ranges)]
+                        covered[m].append((a, b))
+                for r, ranges in zip(rows, covered, strict=True) if hot else ():
+                    _, _, _, tid, pos, lo, hi, before, after, _ = r
+                    out += [(LEFT + n, tid, pos, a, b, before[:b][::-1] + after[: n - a]) for a, b in _runs(max(lo, n - len(after)), hi, ranges)]
         if out:
             yield _batch(out)
 
@@ -403,7 +436,7 @@ class Prepared:
         found = stored(self.rows.select("__text").mapInArrow(_anchored(SHORT), ANCHOR))
         # a string whose least and greatest place agree stands nowhere else, in however many equal texts
         place = F.xxhash64("tid", "pos")
-        often = found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram")
+        often = stored(found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram"))
         repeated = stored(found.join(often, "gram", "left_semi").distinct())
         heavy = repeated.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot)
         anchor = F.struct("pos", "lo", "hi", "gram", F.coalesce("n", F.lit(1)).alias("n"))
