@@ -6,16 +6,20 @@ Lempitsky, CVPR 2012), until their cells hold ``visit`` times all entries, and t
 cells are ranked again by the cosine of the whole vectors as given, in double precision.
 
 Bounds. Centroids are fitted on the driver on at most ``SAMPLE`` vectors (those with the smallest
-hash); every vector is indexed. What is broadcast is the centroids and the number of entries of each
-cell: their size depends on ``CENTROIDS`` alone. A cell with more than ``HELD`` entries is dealt out in
+hash); every vector is indexed. A half has ``CENTROIDS`` centroids, and more as the entries grow, so that a
+cell holds some ``HELD`` of them, up to ``MOST``. What is broadcast is the centroids and the number of entries of each
+cell, at most ``MOST`` squared. A cell with more than ``HELD`` entries is dealt out in
 parts by hash, so a task holds no more than one part (in expectation) and one batch of queries. Each
-task gives a query its best ``k`` of a part; the last ranking gets no more than that.
+task gives a query its best ``k`` ids of a part; the last ranking gets no more than that. Queries that end
+with fewer than ``k`` ids though there are more (their cells were full of their own rows, or of one id's)
+go through all cells.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from .support import cut, prepare
 
 CENTROIDS = 16
+MOST = 1024
 SAMPLE = 10_000
 ROUNDS = 12
 HELD = 2_000
@@ -72,16 +77,40 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that squares neither overflow nor vanish; exact."""
+    _, power = np.frexp(np.abs(vectors).max(1, initial=0.0))
+    return np.ldexp(vectors, -power[:, None])
+
+
 def _units(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.sqrt((vectors**2).sum(1))[:, None]
 
 
 def cosine(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Cosines in double precision, each from sums over one pair alone, so that a pair's value doesn't hang on its batch."""
+    query, vectors = _scaled(query[None])[0], _scaled(vectors)
     dots = (vectors * query).sum(1)
     return dots / (np.sqrt((vectors**2).sum(1)) * np.sqrt((query**2).sum()))
 
 
+def nearest(query: np.ndarray, own: int, rough: np.ndarray, ids: np.ndarray, starts: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best ids but ``own``, and their scores, each by its best vector. ``ids`` in order, where
+    ``starts`` has the first row of each; ``rough``: cosines to within a billionth."""
+    best = np.maximum.reduceat(rough, starts)
+    best[ids[starts] == own] = -np.inf
+    least = np.partition(best, -k)[-k] if len(best) > k else -2.0
+    stops = np.append(starts[1:], len(ids))
+    near = np.flatnonzero(best >= max(least, -2.0) - 1e-9)
+    rows = np.concatenate([np.arange(starts[n], stops[n]) for n in near]) if len(near) else near
+    score = cosine(query, vectors[rows])
+    order = np.lexsort((ids[rows], -score))
+    _, first = np.unique(ids[rows][order], return_index=True)
+    chosen = order[np.sort(first)][:k]
+    return ids[rows][chosen], score[chosen]
+
+
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector of doubles) of rows that can take part: an id, and a vector that isn't null or empty,
     holds no null or non-finite component and isn't zero. Vectors have to agree in length: those of
@@ -92,14 +121,14 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(sound)
 
 
-def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, visit: float = VISIT, centroids: int = CENTROIDS) -> DataFrame:
+def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, visit: float = VISIT, centroids: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest rows of each query that the index finds.
 
     ``queries``: a condition on the id; each distinct (id, vector) it holds for is a query, and every
     row but those of the query's own id is a candidate. Rows that cannot take part (see ``usable``) are
     neither. Repeated rows of one id and vector count once; of one id with several vectors the nearest
     counts. Ties go to the smaller id. Fewer than ``k`` candidates: all of them. Nothing to search: no
-    rows. Columns other than the two are not looked at.
+    rows. Columns other than the two are not looked at. ``centroids``: of each half; None: by the number of rows.
     """
     spark = rows.sparkSession
     prepare(spark)
@@ -113,6 +142,8 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "
     sample = np.array([r["vector"] for r in fine.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], np.float64)
     half = (width + 1) // 2
     units = _units(sample)
+    if centroids is None:
+        centroids = min(MOST, max(CENTROIDS, int(np.ceil(np.sqrt(fine.count() / HELD)))))
     books = [kmeans(units[:, :half], centroids)]
     books.append(kmeans(units[:, half:], centroids) if width > half else np.zeros((1, 0)))
     n_cells = len(books[0]) * len(books[1])
@@ -131,11 +162,12 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "
         sizes[r["cell"]] = r["count"]
     known = spark.sparkContext.broadcast(sizes)
     wanted = max(int(np.ceil(visit * sizes.sum())), k + 1)
+    every = int(sizes.sum())
     parts = np.maximum(1, -(-sizes // HELD))
     number = F.get(F.split(F.lit(",".join(map(str, parts.tolist()))), ","), F.col("cell").cast("int")).cast("long")
     dealt = entries.select("cell", F.pmod(F.xxhash64("id"), number).alias("part"), F.lit(0).alias("asks"), "id", "vector")
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visits(wanted: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number_of = known.value, np.maximum(1, -(-known.value // HELD))
         for batch in batches:
             if not batch.num_rows:
@@ -154,10 +186,9 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(part, pa.int64()), pa.array([1] * len(rows_), pa.int32()), batch.column(0).take(took), batch.column(1).take(took)], ["cell", "part", "asks", "id", "vector"])
 
     asked = entries.where(queries(F.col("id"))).select("id", "vector")
-    asked = asked.mapInArrow(visits, "cell bigint, part bigint, asks int, id bigint, vector array<double>")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vectors = None, [], []
+        key, ids, vectors, units, starts = None, [], [], None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -166,29 +197,42 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "
             turns = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1]))))
             for a, b in zip(turns, [*turns[1:], batch.num_rows], strict=True):
                 if (cells[a], part[a]) != key:
-                    key, ids, vectors = (cells[a], part[a]), [], []
+                    key, ids, vectors, units = (cells[a], part[a]), [], [], None
                 if not asks[a]:
                     ids.append(own[a:b])
                     vectors.append(matrix[a:b])
                     continue
-                if not ids:
+                if not len(ids):
                     continue
-                ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
-                rough = matrix[a:b] @ _units(vectors[0]).T
+                if units is None:
+                    ids, vectors = np.concatenate(ids), np.concatenate(vectors)
+                    order = np.argsort(ids, kind="stable")
+                    ids, vectors = ids[order], vectors[order]
+                    starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+                    units = _units(vectors)
+                rough = _units(matrix[a:b]) @ units.T
                 out: list[tuple] = []
                 for i in range(b - a):
-                    limit = min(len(ids[0]), k + 1)
-                    least = np.partition(rough[i], -limit)[-limit] if limit else 0.0
-                    near = np.flatnonzero(rough[i] >= least - 1e-9 * (1 + abs(least)))
-                    near = near[ids[0][near] != own[a + i]]
-                    score = cosine(matrix[a + i], vectors[0][near])
-                    order = np.lexsort((ids[0][near], -score))[:k]
-                    out += [(int(own[a + i]), int(ids[0][near[o]]), float(score[o])) for o in order]
-                q, e, s = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(e, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
-
-    met = dealt.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks")
-    found = met.mapInArrow(best, "query_id bigint, vec_id bigint, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                    found, score = nearest(matrix[a + i], own[a + i], rough[i], ids, starts, vectors, k)
+                    out += [(int(own[a + i]), e, x) for e, x in zip(found.tolist(), score.tolist(), strict=True)]
+                q, e, x = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(e, pa.int64()), pa.array(x, pa.float64())], ["query_id", "vec_id", "score"])
+
+    def answers(asked: DataFrame, wanted: int) -> DataFrame:
+        sent = asked.mapInArrow(partial(visits, wanted), "cell bigint, part bigint, asks int, id bigint, vector array<double>")
+        met = dealt.unionByName(sent).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks")
+        found = met.mapInArrow(best, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    found = answers(asked, wanted)
+    if wanted >= every:
+        return found
+    found = cut(found)
+    others = entries.select("id").distinct().count() - 1
+    had = found.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= min(k, others))
+    short = cut(asked.join(had, "id", "left_anti"))
+    if not others or short.isEmpty():
+        return found
+    whole = answers(short, every)
+    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(whole)

@@ -438,7 +438,7 @@ class Prepared:
         place = F.xxhash64("tid", "pos")
         often = stored(found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram"))
         repeated = stored(found.join(often, "gram", "left_semi").distinct())
-        heavy = repeated.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+        heavy = stored(repeated.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot))
         anchor = F.struct("pos", "lo", "hi", "gram", F.coalesce("n", F.lit(1)).alias("n"))
         lists = repeated.join(heavy, "gram", "left").groupBy("tid").agg(F.collect_list(anchor).alias("found"))
         self.small = self.rows.select("id", _tid().alias("tid"), F.octet_length("__text").cast("long").alias("n_bytes"), F.sha2("__text", 256).alias("sha256"))

@@ -157,6 +157,31 @@ def test_odd_vectors(spark):
     assert multiindex.search(v.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_repeated_ids_and_extreme_vectors(spark):
+    """No neighbour is lost to many rows of the query's id or of one other, nor to squares that overflow or vanish."""
+    rng = np.random.default_rng(7)
+    near = lambda: [1.0, *(rng.random(3) * 0.01).tolist()]
+    rows = [(0, near()) for _ in range(90)] + [(1, near()) for _ in range(60)] + [(i, rng.normal(size=4).tolist()) for i in range(2, 12)]
+    rows += [(20, [1e200, 1e200, 0.0, 0.0]), (21, [1e-200, 0.0, 0.0, 0.0]), (50, [1e200, 1e199, 0.0, 0.0]), (22, [5e-324, 0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in multiindex.search(v, lambda i: i % 50 == 0, visit=0.05).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert {q: len(x) for q, x in got.items()} == {0: 5, 50: 5}
+    assert all(len({i for i, _ in x}) == 5 and all(np.isfinite(s) for _, s in x) for x in got.values())
+    exact = {}
+    for r in multiindex.search(v, lambda i: i % 50 == 0, visit=1.0).collect():
+        exact.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    for q, found in exact.items():
+        unit = lambda x: np.array(x, np.longdouble) / np.sqrt((np.array(x, np.longdouble) ** 2).sum())
+        best = {}
+        for i, x in rows:
+            if i != q:
+                best[i] = max([best.get(i, -2), *(float(unit(x) @ unit(y)) for j, y in rows if j == q)])
+        want = sorted(best, key=lambda i: (-best[i], i))[:5]
+        assert all(abs(found[i] - best[i]) < 1e-12 for i in found) and abs(min(best[i] for i in found) - min(best[i] for i in want)) < 1e-12
+
+
 def test_traversal():
     rng = np.random.default_rng(1)
     a, b = rng.random(6), rng.random(5)
