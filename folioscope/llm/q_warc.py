@@ -14,17 +14,18 @@ from .support import cut, table
 
 
 def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as records, audited against the replica."""
+    """All pages as records, with what the audit says of the replica."""
     pages = table(spark, sf_dir, "pages")
-    records = warc.archive(pages, warc.files_for(pages.count()))
+    rows = warc.records(pages, warc.files_for(pages.count()))
     mark = F.md5(F.col("record").cast("binary"))
     hurt = F.concat(F.substring("record", 1, 9), F.lit(" "), F.expr("substring(record, 11)"))
-    other = records.where(~mark.startswith("1f")).withColumn("sha256", F.when(mark.startswith("0"), F.sha2(hurt, 256)).otherwise(F.col("sha256")))
-    places = ["file", "seq", "offset", "length", "sha256"]
-    ids = cut(records.select("id", *places))
-    found = warc.audit(ids, cut(other.select(*places)))
-    names = ids.select("file", "seq", F.col("id").alias("page_id"))
-    return found.join(names, ["file", "seq"], "left").select("page_id", "file", "seq", "offset", "length", "sha256", "replica_sha256", "status")
+    kept = F.when(mark.startswith("1f"), None).when(mark.startswith("0"), F.sha2(hurt, 256)).otherwise(F.col("sha256"))
+    places = cut(warc.laid(rows.withColumn("kept", kept).drop("record")))
+    other = places.where("kept is not null").select("file", "seq", "offset", "length", F.col("kept").alias("sha256"))
+    found = warc.audit(places, other).select("file", "seq", "status", "replica_sha256")
+    replica = F.when(F.col("status").isNull(), F.col("sha256")).otherwise(F.col("replica_sha256"))
+    met = places.join(found, ["file", "seq"], "left")
+    return met.select(F.col("id").alias("page_id"), "file", "seq", "offset", "length", "sha256", replica.alias("replica_sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
 
 
 QUERIES = {"op6_merkle_audit": op6_merkle_audit}

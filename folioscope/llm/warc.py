@@ -1,19 +1,21 @@
 """WARC records, and a fixity audit of replicas by Merkle trees.
 
-Records of an archive file stand in order of offset. A file's tree has the SHA-256 of each record as
-leaves; a node stands for a range of ``FAN`` consecutive children and is the SHA-256 of their hashes
-laid end to end. Two replicas are compared by their roots; for files whose roots differ, the
-children of differing nodes are compared, level by level, down to the records. What is read again at
-each level is only what lies below a difference.
-
-The trees are DataFrames of (file, level, node, hash); a file's records are as many as the writer put
-in it, and no step gathers more than ``FAN`` hashes. Records carry their place in the file (``seq``),
-so a file of any length needs no ordering by one task.
+Records of an archive file stand in order of offset. A leaf of a file's tree is the SHA-256 of a record's
+offset, length and own SHA-256; a node stands for a range of ``FAN`` consecutive children and is the SHA-256
+of their numbers, the ranges of bytes that they span, and their hashes. Two replicas are compared by their roots; for files whose
+roots differ, the children of differing nodes are compared, level by level, down to the records. What is read
+at each level is only what lies below a difference, and only damaged places are told of.
+
+The levels are tables in the checkpoint folder, each a ``FAN``-th of the one below; no step gathers more than
+``FAN`` hashes (and records that claim the same place). Records get their place in the file (``seq``,
+``offset``) by sums over ranges of one global order, in which a file may span many ranges, so that no task
+holds a whole file. Bodies are hashed where they are read and are not shuffled.
 """
 
 from __future__ import annotations
 
-import gzip
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +26,9 @@ from .support import cut, prepare
 
 FAN = 16
 PER_FILE = 4096
-ACTIONS = ("intact", "corrupt", "missing", "extra")
+ACTIONS = ("intact", "corrupt", "moved", "missing", "extra")
+CHUNK = 1 << 20  # bytes that are unzipped at a time
+GATHER = 16 << 20  # bytes of records in a batch of ``read``
 
 
 def record_bytes(url: Column, body: Column, at: Column) -> Column:
@@ -44,120 +48,205 @@ def record_bytes(url: Column, body: Column, at: Column) -> Column:
     )
 
 
-def archive(pages: DataFrame, files: int, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", at: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """(file, seq, offset, length, id, record): the pages as records of ``files`` archive files.
-
-    Pages are dealt to files by the MD5 of id and address (null: empty) and stand there in order of
-    id (nulls last), address and record; repeated pages make repeated records, one after another.
-    """
+def records(pages: DataFrame, files: int, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", at: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """(id, url, record, file, length, sha256): the pages as records, dealt to ``files`` archive files by the
+    MD5 of id and address. Null parts are empty ones; repeated pages make repeated records."""
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.col(body_col).alias("body"))
     rows = rows.select("id", "url", record_bytes(F.col("url"), F.col("body"), F.lit(at)).alias("record"))
     key = F.md5(F.concat_ws(" ", F.coalesce(F.col("id").cast("string"), F.lit("")), "url").cast("binary"))
     rows = rows.withColumn("file", F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % files)
-    rows = rows.withColumn("length", F.octet_length("record").cast("long")).withColumn("sha256", F.sha2("record", 256))
-    order = Window.partitionBy("file").orderBy(F.col("id").isNull(), "id", "url", "sha256")
-    placed = rows.withColumn("seq", F.row_number().over(order).cast("long") - 1)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    return rows.withColumn("length", F.octet_length("record").cast("long")).withColumn("sha256", F.sha2("record", 256))
+
+
+def laid(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``records``, with or without the records themselves, with ``seq`` and ``offset``.
+
+    In a file records stand in order of id (nulls last), address and hash; equal ones stand one after
+    another. Any file may hold most rows: they are ordered in ranges of all files' rows, and places are
+    sums over the ranges and then within a range.
+    """
+    tie = F.xxhash64(F.monotonically_increasing_id())  # equal rows can stand in any order, and in several ranges
+    ranges = cut(rows.orderBy("file", F.col("id").isNull(), "id", "url", "sha256", tie))
+    ranges = ranges.withColumns({"range": F.spark_partition_id(), "nth": F.monotonically_increasing_id()})
+    sums = ranges.groupBy("file", "range").agg(F.count("*").alias("rows"), F.sum("length").alias("bytes"))
+    earlier = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    base = sums.select("file", "range", zero(F.sum("rows").over(earlier)).alias("rows"), zero(F.sum("bytes").over(earlier)).alias("bytes"))
+    inside = Window.partitionBy("file", "range").orderBy("nth")
+    before = zero(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    placed = ranges.withColumns({"seq": F.row_number().over(inside).cast("long") - 1, "offset": before}).join(base, ["file", "range"])
+    placed = placed.withColumns({"seq": F.col("seq") + F.col("rows"), "offset": F.col("offset") + F.col("bytes")})
+    return placed.drop("range", "nth", "rows", "bytes")
+
+
+def archive(pages: DataFrame, files: int, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", at: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """(file, seq, offset, length, id, url, record, sha256): the pages as archive files, to be written.
+
+    No pages: no rows. Other columns than the three are not looked at, whatever their names.
+    """
+    return laid(records(pages, files, id_col, url_col, body_col, at))
 
 
 def files_for(n: int, per_file: int = PER_FILE) -> int:
     return max(1, -(-n // per_file))
 
 
-def tree(leaves: DataFrame, fan: int = FAN) -> DataFrame:
-    """``leaves(file, seq, hash)``; returns (file, level, node, hash) for all levels; level 0 are leaves.
+def tree(places: DataFrame, fan: int = FAN) -> list[DataFrame]:
+    """``places(file, seq, offset, length, sha256)``; returns the levels, leaves first: (file, node, hash,
+    start, stop), leaves with ``leaf``, the records that claim the place.
 
-    A file's root is its one node of the highest level, that of the longest file. Of repeated (file,
-    seq) the hashes are joined in order, so that a repeat is a difference. No leaves: no rows.
+    All files have as many levels as the longest needs, and one node on the last. Places without a file
+    or seq are left out. No places: one level without rows.
     """
-    level = leaves.groupBy("file", F.col("seq").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("hash")), "").alias("hash"))
-    level = cut(level)
-    parts = [level.select("file", F.lit(0).alias("level"), "node", "hash")]
-    last = level.agg(F.max("node")).first()[0]
-    n = 0
+    leaf = F.struct("offset", "length", "sha256")
+    own = lambda x: F.concat_ws(":", *(F.coalesce(x[c].cast("string"), F.lit("")) for c in ("offset", "length", "sha256")))
+    level = places.dropna(subset=["file", "seq"]).groupBy("file", F.col("seq").alias("node")).agg(F.array_sort(F.collect_list(leaf)).alias("leaf"))
+    level = level.select("file", "node", F.sha2(F.concat_ws(",", F.transform("leaf", own)), 256).alias("hash"), F.array_min("leaf.offset").alias("start"), F.array_max(F.transform("leaf", lambda x: x["offset"] + x["length"])).alias("stop"), "leaf")
+    levels = [cut(level)]
+    last = levels[0].agg(F.max("node")).first()[0]
+    said = lambda x: F.concat_ws(":", *(F.coalesce(x[c].cast("string"), F.lit("")) for c in ("node", "start", "stop", "hash")))
     while last:
-        n, last = n + 1, last // fan
-        child = F.struct(F.col("node").alias("n"), "hash")
-        level = level.groupBy("file", F.floor(F.col("node") / fan).alias("node")).agg(F.array_sort(F.collect_list(child)).alias("c"))
-        level = level.select("file", "node", F.sha2(F.concat_ws(",", F.transform("c", lambda x: F.concat(x["n"].cast("string"), F.lit(":"), x["hash"]))), 256).alias("hash"))
-        parts.append(level.select("file", F.lit(n).alias("level"), "node", "hash"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        last //= fan
+        child = F.array_sort(F.collect_list(F.struct("node", "start", "stop", "hash")))
+        level = levels[-1].groupBy("file", F.floor(F.col("node") / fan).alias("up")).agg(child.alias("c"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+        levels.append(cut(level.select("file", F.col("up").alias("node"), F.sha2(F.concat_ws(",", F.transform("c", said)), 256).alias("hash"), "start", "stop")))
+    return levels
 
 
-def differing(one: DataFrame, two: DataFrame, fan: int = FAN) -> DataFrame:
-    """Trees of two replicas; returns (file, seq, status) of records that are not the same in both.
+def verdicts(one: list[DataFrame], two: list[DataFrame]) -> DataFrame:
+    """(file, root, replica_root, intact) of every file of either tree."""
+    a, b = (t[-1].where("node = 0").select("file", F.col("hash").alias(n)) for t, n in ((one, "root"), (two, "replica_root")))
+    return a.join(b, "file", "full").withColumn("intact", F.coalesce(F.col("root") == F.col("replica_root"), F.lit(False)))
 
-    status: corrupt (another hash), missing (in ``one`` only) or extra (in ``two`` only).
-    """
-    top = max(x or 0 for x in (one.agg(F.max("level")).first()[0], two.agg(F.max("level")).first()[0]))
+
+def differing(one: list[DataFrame], two: list[DataFrame], fan: int = FAN) -> DataFrame:
+    """Trees of two replicas; returns (file, seq, a, b): the leaves that are not the same in both."""
     suspects = None
-    for level in range(top, -1, -1):
-        a, b = (t.where(F.col("level") == level).select("file", "node", F.col("hash").alias(n)) for t, n in ((one, "a"), (two, "b")))
+    for level in range(max(len(one), len(two)) - 1, -1, -1):
+        kept = ["file", "node", "hash", *(["leaf"] if not level else [])]
+        sides = [t[level] if level < len(t) else t[0].limit(0) for t in (one, two)]
         if suspects is not None:
-            a, b = (x.withColumn("up", F.floor(F.col("node") / fan)).join(suspects, ["file", "up"], "left_semi").drop("up") for x in (a, b))
-        apart = cut(a.join(b, ["file", "node"], "full").where(~F.col("a").eqNullSafe(F.col("b"))))
+            up = F.floor(F.col("node") / fan).alias("up")
+            sides = [x.select("*", up).join(suspects, ["file", "up"], "left_semi") for x in sides]
+        a, b = (x.select(*kept).select("file", "node", F.struct(*kept[2:]).alias(n)) for x, n in zip(sides, "ab", strict=True))
+        apart = cut(a.join(b, ["file", "node"], "full").where(~F.col("a.hash").eqNullSafe(F.col("b.hash"))))
         suspects = apart.select("file", F.col("node").alias("up"))
-    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("corrupt")
-    return apart.select("file", F.col("node").alias("seq"), status.alias("status"))
+    return apart.select("file", F.col("node").alias("seq"), F.col("a.leaf").alias("a"), F.col("b.leaf").alias("b"))
 
 
 def audit(one: DataFrame, two: DataFrame, fan: int = FAN) -> DataFrame:
-    """``one`` and ``two``: (file, seq, offset, length, sha256) of two replicas; returns every place of
-    either with ``status`` intact, corrupt, missing or extra, and the offsets and hashes of both.
+    """``one`` and ``two``: (file, seq, offset, length, sha256) of two replicas; returns the damaged places
+    with ``status`` and the offsets, lengths and hashes of both.
 
-    Trees that have another number of levels differ from the top. A null file or seq has no place
-    and is left out. Empty replicas: all missing, all extra or nothing.
+    status: corrupt (another hash), moved (the same hash at another offset), missing (in ``one`` only) or extra
+    (in ``two`` only). Of records that claim one place the first is told of, by offset, length and hash, and a
+    repeat is a difference unless the other has it, too. A null hash is an empty one. A null file or seq has no place
+    and is left out. Empty replicas: all missing, all extra or nothing. Other columns are not looked at.
     """
-    one, two = (x.select("file", "seq", "offset", "length", "sha256").dropna(subset=["file", "seq"]) for x in (one, two))
-    trees = [cut(tree(x.select("file", "seq", F.coalesce("sha256", F.lit("")).alias("hash")), fan)) for x in (one, two)]
-    found = differing(*trees, fan)
-    right = two.select("file", "seq", *(F.col(c).alias(f"replica_{c}") for c in ("offset", "length", "sha256")))
-    both = one.join(right, ["file", "seq"], "full")
-    return both.join(found, ["file", "seq"], "left").withColumn("status", F.coalesce("status", F.lit("intact")))
+    names = ["offset", "length", "sha256"]
+    trees = [tree(x.select("file", "seq", *names[:2], F.coalesce("sha256", F.lit("")).alias("sha256")), fan) for x in (one, two)]
+    return damage(*trees, fan)
+
+
+def damage(one: list[DataFrame], two: list[DataFrame], fan: int = FAN) -> DataFrame:
+    """``audit`` of trees that are made."""
+    found = differing(one, two, fan)
+    hashes = [F.transform(c, lambda x: x["sha256"]) for c in ("a", "b")]
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(hashes[0] == hashes[1], "moved").otherwise("corrupt")
+    names = ["offset", "length", "sha256"]
+    sides = [F.get(c, F.lit(0))[n].alias(p + n) for c, p in (("a", ""), ("b", "replica_")) for n in names]
+    return found.select("file", "seq", status.alias("status"), *sides)
+
+
+def _unzipped(data: bytes) -> Iterator[bytes]:
+    """Bytes of a plain file or of one in gzip members, some at a time."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), CHUNK):
+            yield data[at : at + CHUNK]
+        return
+    view, at = memoryview(data), 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            fed = view[at : at + CHUNK]
+            if not len(fed):
+                raise ValueError("a gzip member is cut short")
+            at += len(fed)
+            while len(fed):
+                yield member.decompress(fed, CHUNK)
+                fed = member.unconsumed_tail
+        at -= len(member.unused_data)
+        while at < len(data) and not data[at]:  # padding
+            at += 1
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict, bytes]]:
-    """(offset, length, headers, body) of each record of an uncompressed or per-record gzipped WARC file."""
-    at = 0
-    plain = data[:2] != b"\x1f\x8b"
-    text = data if plain else gzip.decompress(data)
-    while at < len(text):
-        if text[at : at + 2] == b"\r\n":
+    """(offset, length, headers, body) of each record of a plain WARC file or one in gzip members; offset and
+    length are those of the unzipped file. One record and a chunk are unzipped at a time."""
+    for at, headers, body, raw in _parsed(data):
+        yield at, len(raw), headers, body
+
+
+def _parsed(data: bytes) -> Iterator[tuple[int, dict, bytes, bytes]]:
+    chunks, held, at = _unzipped(data), bytearray(), 0
+
+    def more() -> bool:
+        chunk = next(chunks, None)
+        held.extend(chunk or b"")
+        return chunk is not None
+
+    while True:
+        while len(held) < 2 and more():
+            pass
+        if not held:
+            return
+        if held.startswith(b"\r\n"):
+            del held[:2]
             at += 2
             continue
-        end = text.find(b"\r\n\r\n", at)
-        if not text.startswith(b"WARC/", at) or end < 0:
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not more():
+                break
+        if not held.startswith(b"WARC/") or end < 0:
             raise ValueError(f"no record at byte {at}")
-        lines = text[at:end].split(b"\r\n")[1:]
+        lines = bytes(held[:end]).split(b"\r\n")[1:]
         headers = {k.strip().decode().lower(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines)}
-        size = int(headers.get("content-length", "0"))
-        body = text[end + 4 : end + 4 + size]
-        if len(body) < size:
+        stop = end + 4 + int(headers.get("content-length", "0"))
+        while len(held) < stop + 4 and more():
+            pass
+        if len(held) < stop:
             raise ValueError(f"a record is cut short at byte {at}")
-        stop = end + 4 + size + 4
-        yield at, min(stop, len(text)) - at, headers, body
-        at = stop
+        raw = bytes(held[: stop + 4])
+        yield at, headers, raw[end + 4 : stop], raw
+        del held[: stop + 4]
+        at += len(raw)
 
 
 def read(spark, path: str) -> DataFrame:
-    """(path, seq, offset, length, url, date, body, sha256) of every record of the files under ``path``."""
+    """(path, seq, offset, length, url, date, body, sha256) of every record of the files under ``path``.
+
+    A file is read by one task, which holds the file as stored (Spark's limit is 2 GB) and some records.
+    A file of no records: no rows; one that is cut short or holds something else fails the job.
+    """
     prepare(spark)
     rows = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         names = ["path", "seq", "offset", "length", "url", "date", "body", "sha256"]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+        out = lambda found: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
         for batch in batches:
-            for path_, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                found = [(path_, i, a, n, h.get("warc-target-uri"), h.get("warc-date"), b, hashlib.sha256(text[a : a + n]).hexdigest()) for i, (a, n, h, b) in enumerate(parse(text))]
-                columns = list(zip(*found, strict=True)) or [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            for k in range(batch.num_rows):
+                found, size = [], 0
+                for i, (a, h, body, raw) in enumerate(_parsed(batch.column(1)[k].as_py())):
+                    found.append((batch.column(0)[k].as_py(), i, a, len(raw), h.get("warc-target-uri"), h.get("warc-date"), body, hashlib.sha256(raw).hexdigest()))
+                    size += len(raw)
+                    if size >= GATHER:
+                        yield out(found)
+                        found, size = [], 0
+                if found:
+                    yield out(found)
 
     return rows.mapInArrow(run, "path string, seq bigint, offset bigint, length bigint, url string, date string, body binary, sha256 string")
