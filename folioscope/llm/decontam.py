@@ -4,21 +4,21 @@ Documents are read in shards of some megabytes. A shard's words become numbers a
 is sorted by prefix doubling, as deep as the longest item. Every suffix of every benchmark item is
 then looked up by binary search, all of them side by side: its neighbours in the order give the
 longest verbatim match, and the range of suffixes that start with the item's window gives the
-places of all occurrences.
+places of all occurrences. Items' suffixes so have their places in the order of the shard's, and a place's
+neighbours among them tell the longest match that begins there.
 
 Words that no item has share one number that matches nothing, as does the gap between documents; a
 suffix that runs into one before the shortest window is over can't hold a window and is left out of
 the array.
 
 Bounds. A task holds one shard (a document longer than a shard is a shard by itself) and one block
-of items. Items travel in blocks of at most ``BLOCK_BYTES`` of text; more than one block means
+of items; windows that several items share are looked up once. Items travel in blocks of about ``BLOCK_BYTES`` of text, one after another through the driver; more than one block means
 more than one pass over the documents, whose findings are merged. Nothing of the documents is
 shuffled but, in that case, the findings.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -65,6 +65,34 @@ class Items:
         self.starts, self.length, self.need, self.item = (np.array(x, np.int64) for x in (starts, length, need, item))
         #: suffixes that begin with a whole window
         self.windows = np.flatnonzero(self.length >= self.need)
+        self._distinct(max((len(ws) for _, ws in texts), default=0))
+
+    def _distinct(self, depth: int) -> None:
+        """Each window once, as the suffix ``first`` begins, with the items that have it; and all suffixes in order."""
+        rank, step = self.flat[: len(self.flat) - self.depth].astype(np.int64), 1
+        most = int(self.need.max(initial=1))
+        powers = {1: rank}  # by a width, names that are equal for places with so many words in common
+        while step < max(depth, 1):
+            after = np.zeros(len(rank), np.int64)
+            after[:-step] = rank[step:] if step < len(rank) else 0
+            after[rank == rank[-1]] = 0  # nothing counts beyond the gap after an item
+            _, rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + after, return_inverse=True)
+            step *= 2
+            if step <= most:
+                powers[step] = rank
+        #: place of each suffix in their order, of equal ones by item
+        self.order = np.lexsort((np.arange(len(self.starts)), rank[self.starts])) if len(self.starts) else np.zeros(0, np.int64)
+        need, start = self.need[self.windows], self.starts[self.windows]
+        one, two = np.zeros(len(need), np.int64), np.zeros(len(need), np.int64)
+        for width, names in powers.items():
+            own = np.flatnonzero((need >= width) & (need < 2 * width))
+            one[own], two[own] = names[start[own]], names[start[own] + need[own] - width]
+        key = np.stack((need, one, two), 1).reshape(-1, 3)
+        _, first, which = np.unique(key, axis=0, return_index=True, return_inverse=True)
+        self.first = self.windows[first]
+        pairs = np.unique(np.stack((which.reshape(-1), self.item[self.windows]), 1), axis=0)
+        self.owners, edges = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        self.owned = edges  # window w belongs to the items owners[owned[w]:owned[w + 1]]
 
 
 class Shard:
@@ -159,27 +187,49 @@ class Shard:
         return np.searchsorted(self.first, at, side="right") - 1
 
     def occurrences(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
-        """(item suffix, place in the shard) of every occurrence of every window."""
-        chosen = items.windows
+        """(window, place in the shard) of every occurrence of every distinct window."""
+        chosen = items.first
         low, high = self.bounds(items, chosen, items.need[chosen])
         found = high - low
-        suffix = np.repeat(chosen, found)
-        inside = np.arange(len(suffix)) - np.repeat(np.cumsum(found) - found, found)
-        return suffix, self.order[np.repeat(low, found) + inside]
+        window = np.repeat(np.arange(len(chosen)), found)
+        inside = np.arange(len(window)) - np.repeat(np.cumsum(found) - found, found)
+        return window, self.order[np.repeat(low, found) + inside]
 
     def longest(self, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item suffix, a place, words) of the longest match of every item suffix that has one of a window or more."""
+        """(item suffix, place, words): for every item suffix that has a match of a window or more, all places of its longest."""
         every = np.arange(len(items.starts))
         if not len(self.order) or not len(every):
             return every[:0], every[:0], every[:0]
         low = self._search(items, every, items.length, False)
-        best, place = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+        best = np.zeros(len(every), np.int64)
         for side in (np.clip(low - 1, 0, None), np.clip(low, None, len(self.order) - 1)):
-            same = self.common(items, self.order[side], items.starts, items.length)
-            place = np.where(same > best, self.order[side], place)
-            best = np.maximum(best, same)
+            best = np.maximum(best, self.common(items, self.order[side], items.starts, items.length))
         whole = np.flatnonzero(best >= items.need)
-        return whole, place[whole], best[whole]
+        low, high = self.bounds(items, whole, best[whole])
+        found = high - low
+        inside = np.arange(int(found.sum())) - np.repeat(np.cumsum(found) - found, found)
+        return np.repeat(whole, found), self.order[np.repeat(low, found) + inside], np.repeat(best[whole], found)
+
+    def extended(self, items: Items, window: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, words, item suffix) of the longest match that begins at each place where a window occurs."""
+        at, first = np.unique(place, return_index=True)
+        if not len(at):
+            return at, at, at
+        # the longest window there is whole in any case; of items shorter than a window none goes on
+        turn = np.lexsort((-items.need[items.first[window]], place))
+        head = turn[np.concatenate(([True], place[turn][1:] != place[turn][:-1]))]
+        suffix = items.first[window[head]]
+        words = items.need[suffix].copy()
+        low = self._search(items, items.order, items.length[items.order], False)
+        rank = np.empty(len(self.flat), np.int64)
+        rank[self.order] = np.arange(len(self.order))
+        after = np.searchsorted(low, rank[at], side="right")
+        for side in (after - 1, after):
+            near = items.order[np.clip(side, 0, len(items.order) - 1)]
+            same = self.common(items, at, items.starts[near], items.length[near])
+            more = (same >= size) & (same > words)
+            words[more], suffix[more] = same[more], near[more]
+        return at, words, suffix
 
 
 def _shards(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -200,35 +250,41 @@ def _shards(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, named: bool = True) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded size, as (id as a string, text); ``named``: only those with an id."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, named: bool = True) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of blocks of about ``block_bytes``, and the items in blocks, as (id as a string, text), each gathered when
+    it is asked for; ``named``: only those with an id."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = rows.where("id is not null") if named else rows
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = total // block_bytes + 1
-    for k in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()]
+    n = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes + 1
+    deal = F.pmod(F.xxhash64("id", "text"), F.lit(n))
+    return n, ([tuple(r) for r in rows.where(deal == k).distinct().collect()] for k in range(n))
 
 
 def _items(bc, window: int) -> Items:
     return Items(bc.value, window)
 
 
+SPANS = "n_words bigint, hits array<array<bigint>>, items array<string>, longest struct<words:bigint,at:bigint,item:string>"
+LISTED = 100_000  # ids of items that a batch of findings holds, more only for one document
+
+
 def spans(docs: DataFrame, block: list[tuple], id_col: str, text_col: str, window: int) -> DataFrame:
-    """(id, n_words, hits, items) of every row of ``docs`` for one block: hits are [start, end) runs
-    of hit words, items the ids, as strings in order, of items of which a window occurs."""
+    """(id, n_words, hits, items, longest) of every row of ``docs`` for one block: hits are [start, end) runs
+    of hit words, items the ids, as strings in order, of items of which a window occurs, longest the first
+    of the longest matches: words, place in the document, and an item."""
     prepare(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(block)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    of_match = pa.struct([("words", pa.int64()), ("at", pa.int64()), ("item", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _items(bc, window)
         for batch in _shards(batches, 1):
             shard = Shard(batch.column(1).to_pylist(), items)
-            suffix, place = shard.occurrences(items)
+            which, place = shard.occurrences(items)
             room = len(shard.flat) + 1
-            edge = np.bincount(place, minlength=room) - np.bincount(place + items.need[suffix], minlength=room)
+            edge = np.bincount(place, minlength=room) - np.bincount(place + items.need[items.first[which]], minlength=room)
             hit = np.concatenate(([0], (np.cumsum(edge) > 0).astype(np.int8), [0]))
             turns = np.diff(hit)
             begins, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
@@ -236,36 +292,55 @@ def spans(docs: DataFrame, block: list[tuple], id_col: str, text_col: str, windo
             hits: list[list] = [[] for _ in range(batch.num_rows)]
             for d, a, b in zip(of.tolist(), begins.tolist(), ends.tolist(), strict=True):
                 hits[d].append([a - int(shard.first[d]), b - int(shard.first[d])])
-            found: list[list] = [[] for _ in range(batch.num_rows)]
-            pairs = np.unique(np.stack((shard.document(place), items.item[suffix]), 1), axis=0)
-            for d, i in pairs.tolist():
-                found[d].append(items.ids[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard.sizes), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string()))], ["id", "n_words", "hits", "items"])
-
-    return rows.mapInArrow(run, f"id {kind}, n_words bigint, hits array<array<bigint>>, items array<string>")
+            longest: list[dict | None] = [None] * batch.num_rows
+            for at, n, suffix in zip(*(x.tolist() for x in shard.extended(items, which, place, window)), strict=True):
+                d = int(shard.document(np.int64(at)))
+                if longest[d] is None or n > longest[d]["words"]:
+                    longest[d] = {"words": n, "at": at - int(shard.first[d]), "item": items.ids[items.item[suffix]]}
+            pairs = np.unique(np.stack((shard.document(place), which), 1), axis=0)
+            edges = np.searchsorted(pairs[:, 0], np.arange(batch.num_rows + 1))
+            found: list[list] = []
+            listed, last = 0, 0
+            for d in range(batch.num_rows):
+                own = [items.owners[items.owned[w] : items.owned[w + 1]] for w in pairs[edges[d] : edges[d + 1], 1]]
+                found.append([items.ids[i] for i in np.unique(np.concatenate(own)).tolist()] if own else [])
+                listed += len(found[-1])
+                if listed > LISTED or d == batch.num_rows - 1:
+                    part = slice(last, d + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0)[part], pa.array(shard.sizes[part]), pa.array(hits[part], pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string())), pa.array(longest[part], of_match)],
+                        ["id", "n_words", "hits", "items", "longest"],
+                    )
+                    found, listed, last = [], 0, d + 1
+
+    return rows.mapInArrow(run, f"id {kind}, {SPANS}")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: id, n_words, hits, items, contaminated.
+    """One row per row of ``docs``: id, n_words, hits, items, longest, contaminated.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
-    window. Null texts and texts without words have no hits, items without words occur nowhere, and
+    window. longest: the longest verbatim match of a window or more (words, first place, an item), null
+    without a hit. Null texts and texts without words have no hits, items without words occur nowhere, and
     items without an id are left out, as nothing could name them. Items that share an id count as
     one. Repeated rows get a row each. An empty benchmark hits nothing; no documents: no rows. Other
     columns are not looked at, whatever their names.
     """
-    parts = [spans(docs, block, id_col, text_col, window) for block in _blocks(benchmark, item_id, item_text, block_bytes)]
-    if len(parts) == 1:
-        found = parts[0]
+    n, blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    if n == 1:
+        found = spans(docs, next(blocks), id_col, text_col, window)
     else:
         # Rows of equal id and text have equal findings, so that these name a row.
-        keyed = docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("digest")))
-        parts = [spans(keyed, block, "__key", text_col, window) for block in _blocks(benchmark, item_id, item_text, block_bytes)]
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        merged = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("n"))
-        found = merged.withColumn("again", F.explode(F.expr("sequence(1, n)"))).select("id.id", "n_words", _joined("hits").alias("hits"), "items")
+        digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+        keyed = docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), F.col(text_col).alias("said"))
+        every = None
+        for block in blocks:
+            part = spans(keyed, block, "key", "said", window)
+            every = part if every is None else every.unionByName(part)
+        first = F.max(F.struct(F.col("longest.words").alias("words"), (-F.col("longest.at")).alias("back"), F.col("longest.item").alias("item")))
+        merged = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), first.alias("l"), (F.count("*") / n).cast("int").alias("n"))
+        longest = F.when(F.col("l.words").isNotNull(), F.struct("l.words", (-F.col("l.back")).alias("at"), "l.item"))
+        found = merged.withColumn("again", F.explode(F.expr("sequence(1, n)"))).select("id.id", "n_words", _joined("hits").alias("hits"), "items", longest.alias("longest"))
     return found.withColumn("contaminated", F.size("hits") > 0)
 
 
@@ -283,12 +358,16 @@ def _joined(column: str):
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item_id, item_pos, doc_pos, length): for every item suffix and shard, the longest verbatim
-    match of a window or more and a place of it, positions and length in words."""
+    match of a window or more and all its places, positions and length in words.
+
+    Documents and items without words or with a null text match nothing, items without an id are left out,
+    repeated rows match each; other columns are not looked at. No documents or items: no rows.
+    """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     sc, out = docs.sparkSession.sparkContext, None
-    for block in _blocks(benchmark, item_id, item_text, block_bytes):
+    for block in _blocks(benchmark, item_id, item_text, block_bytes)[1]:
         bc = sc.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
@@ -316,7 +395,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     prepare(docs.sparkSession)
     sc, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_id, item_text, block_bytes, named=False):
+    for block in _blocks(benchmark, item_id, item_text, block_bytes, named=False)[1]:
         bc = sc.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
@@ -334,24 +413,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def digest_columns(found: DataFrame) -> DataFrame:
     """The columns of the query: counts, and the SHA-256 of the ids joined by commas."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
-    return found.select("id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
-
-
-def brute(texts: list[str | None], items: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """What ``report`` has to find, by looking at every window everywhere; for tests."""
-    out = []
-    for text in texts:
-        ws = words(text)
-        hit, names = set(), set()
-        for name, item in items:
-            own = words(item)
-            size = min(window, len(own))
-            for k in range(len(own) - size + 1 if own else 0):
-                for at in range(len(ws) - size + 1):
-                    if ws[at : at + size] == own[k : k + size]:
-                        hit.update(range(at, at + size))
-                        names.add(str(name))
-        joined = ",".join(sorted(names))
-        out.append((len(ws), len(hit), len(names), hashlib.sha256(joined.encode()).hexdigest(), bool(hit)))
-    return out
-
+    longest = [F.coalesce(F.col("longest.words"), F.lit(0)).alias("longest"), F.col("longest.at").alias("longest_at")]
+    return found.select("id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated", *longest)

@@ -300,6 +300,37 @@ def test_placing(spark):
 
 
 # 8
+def brute_windows(texts, items, window=decontam.WINDOW):
+    """What ``report`` has to find, by looking at every window everywhere."""
+    for text in texts:
+        ws = decontam.words(text)
+        hit, names, longest = set(), set(), (0, 0)
+        for name, item in items:
+            own = decontam.words(item)
+            size = min(window, len(own))
+            for k in range(len(own) - size + 1 if own else 0):
+                for at in range(len(ws) - size + 1):
+                    if ws[at : at + size] == own[k : k + size]:
+                        hit.update(range(at, at + size))
+                        names.add(str(name))
+                        n = size
+                        while at + n < len(ws) and k + n < len(own) and ws[at + n] == own[k + n]:
+                            n += 1
+                        longest = max(longest, (n, -at))
+        joined = ",".join(sorted(names))
+        yield len(ws), len(hit), len(names), hashlib.sha256(joined.encode()).hexdigest(), bool(hit), longest[0], -longest[1] if hit else None
+
+
+def test_items_of_one_template(spark):
+    """Windows that thousands of items share are looked up once."""
+    template = " ".join(f"t{i}" for i in range(12))
+    items = [(i, f"{template} item{i}") for i in range(4000)] + [(i, "a b") for i in range(4000, 4100)]
+    docs = frame(spark, [(i, f"x {template} item{i}", "s") for i in range(3000)] + [(5000, "a b a b " * 50, "s")])
+    got = decontam.digest_columns(decontam.report(docs, spark.createDataFrame(items, "item_id long, text string"))).collect()
+    by = {r["id"]: (r["n_hit"], r["n_items"], r["longest"], r["longest_at"]) for r in got}
+    assert by[5000] == (200, 100, 2, 0) and all(by[i] == (13, 4000, 13, 1) for i in range(3000))
+
+
 def test_windows(spark):
     rng = random.Random(8)
     word = lambda: rng.choice(["aa", "bb", "cc", "dd", "Ee", "É", "x1"])
@@ -309,9 +340,9 @@ def test_windows(spark):
     docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
     for block in (decontam.BLOCK_BYTES, 60):
         got = {r["id"]: tuple(r)[1:] for r in decontam.digest_columns(decontam.report(docs, bench, block_bytes=block)).collect()}
-        assert got == dict(enumerate(decontam.brute(texts, items)))
+        assert got == dict(enumerate(brute_windows(texts, items)))
         kept = decontam.clean(docs, bench, block_bytes=block)
-        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r[-1]}
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r[4]}
 
 
 def test_longest_matches(spark):
@@ -319,6 +350,8 @@ def test_longest_matches(spark):
     docs = frame(spark, [(1, "x y " + " ".join(f"w{i}" for i in range(5, 22)) + " z", "s"), (2, " ".join(f"w{i}" for i in range(9)), "s")])
     got = [(r["id"], r["item_id"], r["item_pos"], r["doc_pos"], r["length"]) for r in decontam.matches(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).orderBy("item_pos").collect()]
     assert got == [(1, "7", 5 + k, 2 + k, 17 - k) for k in range(8)]
+    twice = docs.where("doc_id = 1").unionByName(docs)  # all places of a longest match
+    assert decontam.matches(twice, spark.createDataFrame([(7, item)], "item_id long, text string")).count() == 16
 
 
 def test_decontamination_of_odd_rows(spark):
@@ -394,8 +427,8 @@ def test_pipeline(spark):
             assert all(i == min(x for x in first[t]) for i, t in ((r["doc_id"], r["text"]) for r in rows))
         elif name == "benchmark_decontamination":
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-            hit = decontam.brute([r["text"] for r in before], items)
-            assert ids == {r["doc_id"] for r, h in zip(before, hit, strict=True) if not h[-1]}
+            hit = brute_windows([r["text"] for r in before], items)
+            assert ids == {r["doc_id"] for r, h in zip(before, hit, strict=True) if not h[4]}
         elif name == "mix_sources":
             times = {r["id"]: r["times"] for r in mixing.mixed(docs).collect()}
             assert sorted(r["doc_id"] for r in rows) == sorted(i for i, n in times.items() for _ in range(n)) and max(times.values()) <= 3
