@@ -15,7 +15,7 @@ from .support import table
 
 
 def _entries(captures: DataFrame) -> DataFrame:
-    site = captures.select(urlfilter.host(F.col("url")).alias("host"), F.nullif(F.lower(F.regexp_extract("url", urlfilter.PATH, 1)), F.lit("")).alias("part")).where("host is not null").distinct()
+    site = captures.select(urlfilter.host(F.col("url")).alias("host"), F.get(urlfilter.parts(F.col("url")), F.lit(0)).alias("part")).where("host is not null").distinct()
     names = site.select(F.explode(F.filter(F.array("host", F.regexp_replace("host", r"^[^.]*\.", ""), F.concat("host", F.lit("/"), "part")), lambda x: x.isNotNull())).alias("pattern")).distinct()
     digit = lambda i: F.conv(F.substring(F.md5(F.col("pattern").cast("binary")), i, 1), 16, 10).cast("int")
     names = names.withColumns({"a": digit(1), "b": digit(2), "c": digit(3)}).where("a < 6")
@@ -36,7 +36,7 @@ SQL = {
     "op1_url_filter": r"""
 WITH p AS (
   SELECT row_number() OVER () AS k, page_id, url, TIMESTAMP '2024-01-01' + to_minutes(page_id) AS fetched_at,
-    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^:/?#]+)', 1)), '') AS host,
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^:/?#]+)', 1)), '\.+$', ''), '') AS host,
     nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1)), '') AS part
   FROM pages),
 n AS (SELECT DISTINCT pattern FROM (
