@@ -174,19 +174,21 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     takes the block in which it begins, not at all if never; rows without words aren't taken.
 
     Rows that agree in id, source and size stand for one another: each is taken as often as all of
-    them together are, shared out evenly to one.
+    them together are, shared out evenly to one, the first by hash of text and of all columns once more. So
+    reruns agree. A null text has no words, a null source is one of its own. No rows: no rows.
     """
     found = mixed(docs, id_col, text_col, source_col, weights, cap, block)
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    keys = ["__id", "__source", "__size"]
-    by = found.groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
-    by = cut(by.where("__times > 0"))
-    rows = docs.withColumn("__n", size)
-    met = rows.join(by, rows[id_col].eqNullSafe(by["__id"]) & rows[source_col].cast("string").eqNullSafe(by["__source"]) & (rows["__n"] == by["__size"]))
-    own = met.where("__rows = 1").withColumn("__own", F.col("__times"))
-    if not by.where("__rows > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
-        share = F.floor(F.col("__times") / F.col("__rows")) + (nth <= F.col("__times") % F.col("__rows")).cast("int")
-        own = own.unionByName(met.where("__rows > 1").withColumn("__own", share))
-    own = own.where("__own > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __own)")))
-    return own.select(*[F.col(f"`{c}`") for c in docs.columns])
+    by = found.groupBy("id", "source", "size").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    by = cut(by.where("times > 0").select(F.struct("id", "source", "size").alias("of"), "times", "rows"))
+    text = F.col(text_col).cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    key = [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")]
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map" not in t]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key, F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"), F.xxhash64(*plain).alias("all"))
+    met = rows.join(by, rows["id"].eqNullSafe(by["of.id"]) & rows["source"].eqNullSafe(by["of.source"]) & (rows["size"] == by["of.size"]))
+    own = met.where("rows = 1").select("row", "times")
+    if not by.where("rows > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("of").orderBy("digest", "all"))
+        share = F.floor(F.col("times") / F.col("rows")) + (nth <= F.col("times") % F.col("rows")).cast("int")
+        own = own.unionByName(met.where("rows > 1").select("row", share.alias("times")))
+    return own.where("times > 0").withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select("row.*")

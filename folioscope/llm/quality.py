@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 from operator import eq
@@ -210,8 +211,11 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fits on documents that ``grades(id, grade)`` rates. Documents of one id and different texts count each."""
+    """Fits on documents that ``grades(id, grade)`` rates, at most ``sample`` of them: labels without a document
+    are left out before any is taken. Documents of one id and different texts count each; null texts are
+    empty ones; null ids have no grade. If no document has a grade, the model keeps every document, and a warning says so."""
     prepare(docs.sparkSession)
+    grades = grades.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
     chosen = grades.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(sample).select(F.col("id").alias("__id"), F.col("grade").alias("__grade"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("id", "__grade", "text")
 
@@ -222,6 +226,8 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = rows.schema["id"].dataType.simpleString()
     got = rows.mapInArrow(run, f"id {kind}, grade int, places binary").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "places").limit(sample).collect()
+    if not got:
+        warnings.warn("no document has a grade: the classifier keeps every document", stacklevel=2)
     places_of, grades_of = [unpacked(r["places"]) for r in got], [r["grade"] for r in got]
     del got
     return fit_rows(places_of, grades_of)
@@ -248,7 +254,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the model keeps, columns as they were."""
+    """The rows of ``docs`` that the model keeps, columns as they were, whatever their names.
+
+    Each row is judged by its own text: null texts as empty ones, repeated rows alike. No rows: no rows.
+    """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     at = docs.columns.index(text_col)

@@ -64,12 +64,15 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
     own = [c for c in docs.columns if c.lower() not in ("slot", "shard_id", "shard")]
-    rows = docs.withColumn("__slot", slot_of(key, slots)).select(*[F.col(f"`{c}`") for c in own], F.col("__slot").alias("slot"))
-    return rows.join(F.broadcast(lookup(docs.sparkSession, shard_names(shards), slots)), "slot").select(*[F.col(f"`{c}`") for c in own], "slot", "shard_id", "shard")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), slot_of(key, slots).alias("slot"))
+    return rows.join(F.broadcast(lookup(docs.sparkSession, shard_names(shards), slots)), "slot").select("row.*", "slot", "shard_id", "shard")
 
 
-def write_sharded(docs: DataFrame, path: str, files: int = 4, **options) -> None:
-    """Parquet under ``path``, a folder for each shard, ``files`` files in each, dealt by row hash."""
+def write_sharded(docs: DataFrame, path: str, rows_per_file: int = 1_000_000, **options) -> None:
+    """Parquet under ``path``, a folder for each shard, files of about ``rows_per_file`` rows in each, dealt by
+    row hash: as many tasks as files, so that they grow with the rows."""
     rows = placed(docs, **options)
+    shards = options.get("shards", SHARDS)
+    files = max(1, -(-docs.count() // (shards * rows_per_file)))
     deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if "map" not in t]), F.lit(files))
-    rows.withColumn("__file", deal).repartition("shard_id", "__file").drop("__file").write.partitionBy("shard").parquet(path)
+    rows.repartition(shards * files, F.col("shard_id"), deal).write.partitionBy("shard").parquet(path)

@@ -300,8 +300,8 @@ KEYED = "key bigint, flipped boolean, side int, fingerprint binary"
 
 
 def links(nodes: DataFrame, width: int = 64, radius: int = 4, hot: int = HOT) -> DataFrame:
-    """``nodes(fingerprint)``, each once; returns ``(a, b)`` of which the components are those of
-    all pairs within ``radius``."""
+    """``nodes(fingerprint)``, each once and none null; returns ``(a, b)`` of which the components are those of
+    all pairs within ``radius``. No nodes, or none alike: no rows. Other columns are not looked at."""
     prepare(nodes.sparkSession)
     ring = Ring(width, radius)
 
@@ -485,6 +485,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     only where there is no other), then the smallest SHA-256 of the text; of rows that agree in
     both, any one.
 
+    Null and blank texts are alike, so that one of them stays; repeated rows are copies. Extra columns are
+    passed on, whatever their names. No rows: no rows.
+
     Links are pairs that are ``least`` alike or more in their five-word shingles. Candidates are all pairs
     that chains of fingerprints within ``radius`` join, those of ``size``-word shingles and those of
     words counted; each is held to the shingles themselves.

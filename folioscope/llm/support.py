@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -23,7 +24,7 @@ def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and make sure that checkpoint() has a folder.
 
     The folder is the one that the session names in ``spark.checkpoint.dir``; only a session
-    that names none (a test on one machine) gets one under the temporary folder.
+    that names none and runs in one process (a test) gets one under the temporary folder. A cluster has to name one.
     """
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -31,9 +32,17 @@ def prepare(spark: SparkSession) -> None:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/folioscope-checkpoints")
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from those files."""
     prepare(df.sparkSession)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioscope.llm import decontam, mixing, multiindex, quality, registry, sharding, tokencount, urlfilter, warc
+from folioscope.llm import decontam, mixing, multiindex, quality, registry, sharding, simhash, tokencount, urlfilter, warc
 
 DATA = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,29 @@ def test_dated_lists(spark):
     assert urlfilter.judge(captures, e.limit(0)).where("blocked").count() == 0 and urlfilter.judge(captures.limit(0), e).count() == 0
 
 
+def test_odd_addresses_and_deep_paths(spark):
+    e = spark.createDataFrame([("f.org", "add", 1), ("[::1]", "add", 1), ("e.org/a/b", "add", 1), ("e.org/c", "add", 1), ("e.org/c", "remove", 3), ("0.1", "add", 1)], "pattern string, action string, at int")
+    rows = [(1, "http://f.org./x", 2), (2, "http://[::1]:80/", 2), (3, "http://e.org/A/b/c", 2), (4, "http://e.org/a", 2), (5, "http://e.org/c/d?x", 2), (6, "http://e.org/c", 3), (7, "http://10.0.0.1/", 2), (8, "http://.../", 2), (9, "http://e.org//a//b", 2)]
+    captures = spark.createDataFrame(rows, "page_id int, url string, fetched_at int").selectExpr("*", "1 as __site", "2 as row", "3 as at", "4 as n")
+    got = urlfilter.judge(captures, e)
+    assert sorted(r["page_id"] for r in got.where("blocked").collect()) == [1, 2, 3, 5, 9]
+    assert urlfilter.allowed(captures, e).columns == captures.columns and got.columns[: len(captures.columns)] == captures.columns
+
+
+def test_long_history_of_a_hot_pattern(spark):
+    """As of every time, against the log read one entry after another."""
+    rng = random.Random(3)
+    log = [("hot.org", rng.choice(["add", "remove"]), t) for t in range(0, 900, 3)] + [(f"x{i}.org", "add", i) for i in range(40)]
+    rows = [(i, rng.choice(["http://a.hot.org/p", "http://hot.org", f"http://x{i % 50}.org"]), rng.randint(0, 1000)) for i in range(2000)]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id int, url string, fetched_at int").repartition(7), spark.createDataFrame(log, "pattern string, action string, at int")).collect()
+    want = {}
+    for i, u, t in rows:
+        name = "hot.org" if "hot" in u else u[7:]
+        last = max(((at, action == "add") for p, action, at in log if p == name and at <= t), default=(0, False))
+        want[i] = (last[1], last[0] if last[1] else None)
+    assert {r["page_id"]: (r["blocked"], r["listed_from"]) for r in got} == want
+
+
 # 2
 def water(sizes, weights, cap=3):
     """Targets by resharing the excess round by round."""
@@ -109,6 +132,16 @@ def test_mix_of_odd_rows(spark):
     assert all(r["target"] == 0 for r in mixing.mixed(docs.where("doc_id in (0, 2)")).collect())
 
 
+def test_columns_named_like_helpers(spark):
+    """Extra columns of any name come out as they went in, and which of equal rows is repeated stays the same."""
+    rows = [(i % 3, f"text {'w ' * 40}{i}", "s", i) for i in range(12)] + [(9, "one more " * 30, None, 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __n int").selectExpr("*", "__n as __id", "__n as __slot", "__n as row", "__n as times", "__n as of", "__n as digest", "__n as __copy")
+    for out in (mixing.repeated(docs), sharding.placed(docs).drop("slot", "shard_id", "shard"), simhash.keep_one(docs), decontam.clean(docs, spark.createDataFrame([(1, "x")], "item_id long, text string"))):
+        assert out.columns == docs.columns and all(r["__n"] == r["__id"] == r["__slot"] == r["row"] == r["digest"] for r in out.collect())
+    again = [sorted(r["__n"] for r in mixing.repeated(docs.repartition(n)).collect()) for n in (1, 5)]
+    assert again[0] == again[1]
+
+
 def test_mix_of_small_sources(spark):
     """Sources of less than a block, or few blocks, beside a large one come near their targets, too."""
     docs = [(i, "w " * 3000, "large") for i in range(20)] + [(100 + i, "w " * (5 + i % 90), f"s{i // 4:03d}") for i in range(400)]
@@ -394,6 +427,16 @@ def test_ordinal_model():
     assert quality.fit_rows([], []).tails(0.0)[-1] > 0.9
 
 
+def test_labels_without_documents(spark):
+    """They take no place in the sample."""
+    docs = frame(spark, [(i, "good words here" if i % 2 else "bad words there", "s") for i in range(0, 200)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5200)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, quality.graded(labels), sample=20)
+    assert model.weights.any()
+    with pytest.warns(UserWarning, match="keeps every document"):
+        assert quality.kept(docs, quality.fit(docs, quality.graded(labels.where("doc_id > 300")))).count() == 200
+
+
 def test_quality_of_odd_rows(spark):
     docs = odd(spark)
     labels = spark.createDataFrame([(0, 1, 0), (None, 1, 1), (4, 1, 0), (4, 1, 1), (5, None, 0), (6, 0, 0), (7, 1, 0), (7, 3, 0)], "doc_id long, quality int, toxic int")
