@@ -1,8 +1,9 @@
 """Fielded keyword search: candidates by prefix, membership by whole words, two ways of ranking.
 
 Nothing here is a global sort: each field's hits are the best ``FIELD_CAP`` by a top-k, so that
-ranks, scores and pages are worked out over some hundred rows, whatever the corpus. The documents are
-read twice: for the hits, and for the columns of the documents that were hit.
+ranks, scores and pages are worked out over some hundred rows, whatever the corpus. A scan reads the documents
+twice: for the hits, and for the columns of the documents that were hit. An engine that keeps an index
+(see ``engine``) reads neither.
 """
 
 from __future__ import annotations
@@ -65,8 +66,13 @@ def field_hits(docs: DataFrame, parsed: ParsedQuery, cap: int = FIELD_CAP) -> Da
     rows = rows.select("slug", "h.field", "h.at").where("at is not null")
     hit = F.exists("at", lambda x: x > 0) if parsed.any_term else F.forall("at", lambda x: x > 0)
     first = F.array_min(F.filter("at", lambda x: x > 0))
+    return best_of_fields(rows.where(hit).select("field", "slug", first.alias("first")), cap)
+
+
+def best_of_fields(rows: DataFrame, cap: int = FIELD_CAP) -> DataFrame:
+    """``rows(field, slug, first)``: the earliest ``cap`` of each field, ties by slug, with rank0."""
     rank = F.row_number().over(Window.partitionBy("field").orderBy("first", "slug"))
-    best = rows.where(hit).select("field", "slug", first.alias("first")).withColumn("rank", rank).where(F.col("rank") <= cap)
+    best = rows.withColumn("rank", rank).where(F.col("rank") <= cap)
     return best.select("field", "slug", (F.col("rank") - 1).alias("rank0"))
 
 
@@ -81,9 +87,8 @@ def _all(parts: list[Column], test) -> Column:
     return out
 
 
-def candidates(docs: DataFrame, parsed: ParsedQuery, mode: str) -> DataFrame:
+def field_scores(hits: DataFrame, mode: str) -> DataFrame:
     """(slug, a column of score for each field): null where the field has no hit."""
-    hits = field_hits(docs, parsed)
     score = lambda w: F.lit(float(w)) if mode == "weighted" else F.lit(float(w)) / (RRF_K + F.col("rank0") + 1)
     return hits.groupBy("slug").agg(*(F.max(F.when(F.col("field") == f, score(w))).alias(f"{f}_score") for f, w in WEIGHTS.items()))
 
@@ -97,28 +102,27 @@ def word_pattern(term: str) -> str:
     return r"(?<![\p{L}\p{N}])" + re.escape(term) + r"(?![\p{L}\p{N}])"
 
 
-def membership(parsed: ParsedQuery) -> Column:
-    """Every phrase as a substring of the searchable text; every term (any, under OR) as a whole word.
+def membership(parsed: ParsedQuery, terms: bool = True) -> Column:
+    """Every phrase as a substring of the searchable text; with ``terms`` every term (any, under OR) as a whole word.
     A term with anything but letters and digits in it is no word of any text."""
     fields = field_texts()
     text = T.searchable(*(fields[f] for f in ("title", "guest", "keywords", "transcript")))
     test = F.lit(True)
     for p in parsed.phrases:
         test = test & text.contains(p.lower())
-    if parsed.terms:
+    if parsed.terms and terms:
         each = [text.rlike(word_pattern(t.lower())) if re.fullmatch(r"[^\W_]+", t) else F.lit(False) for t in parsed.terms]
         test = test & _all(each, (lambda a, b: a | b) if parsed.any_term else (lambda a, b: a & b))
     return test
 
 
-def matches(docs: DataFrame, search: Search, categories: DataFrame | None = None) -> DataFrame:
-    """All results of a search, unordered: the document's columns, field scores, raw and score (raw by the largest raw)."""
-    parsed = parse_query(search.query)
-    if parsed.empty or not parsed.index_terms():
-        nothing = docs.where(F.lit(False))
-        return nothing.select(*docs.columns, *(F.lit(None).cast("double").alias(f"{f}_score") for f in WEIGHTS), F.lit(None).cast("double").alias("raw"), F.lit(None).cast("double").alias("score"))
-    found = candidates(docs, parsed, search.mode)
-    rows = docs
+def nothing(docs: DataFrame) -> DataFrame:
+    """No results, with the columns of some."""
+    return docs.where(F.lit(False)).select(*docs.columns, *(F.lit(None).cast("double").alias(c) for c in (*(f"{f}_score" for f in WEIGHTS), "raw", "score")))
+
+
+def filtered(rows: DataFrame, search: Search, categories: DataFrame | None) -> DataFrame:
+    """Documents by guest, dates (none passes) and category."""
     if search.guest:
         rows = rows.where(F.lower("guest").contains(search.guest.lower()))
     dated = F.coalesce("publish_date", F.lit(""))
@@ -129,10 +133,36 @@ def matches(docs: DataFrame, search: Search, categories: DataFrame | None = None
     if search.category:
         named = categories.where(F.lower("category_slug").contains(search.category.lower())).select("slug").distinct()
         rows = rows.join(named, "slug", "left_semi")
+    return rows
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``score``: raw by the largest raw, to two places. There are at most FIELD_CAP rows a field."""
+    rows = rows.withColumn("top", F.max("raw").over(Window.partitionBy()))
+    return rows.withColumn("score", F.when(F.col("top") > 0, T.round2(F.col("raw") / F.col("top"))).otherwise(F.col("raw"))).drop("top")
+
+
+def matches(docs: DataFrame, search: Search, categories: DataFrame | None = None) -> DataFrame:
+    """All results of a search by a scan, unordered: the document's columns, field scores, raw and score."""
+    parsed = parse_query(search.query)
+    if parsed.empty or not parsed.index_terms():
+        return nothing(docs)
+    found = field_scores(field_hits(docs, parsed), search.mode)
+    rows = filtered(docs, search, categories)
     rows = rows.join(F.broadcast(found), "slug").withColumn("raw", raw_score())  # FIELD_CAP rows a field at most
     rows = rows.where(F.when(F.col("raw") >= 0, membership(parsed)))  # by the score too, so that only hits are looked into
-    rows = rows.withColumn("top", F.max("raw").over(Window.partitionBy()))  # at most FIELD_CAP rows a field
-    return rows.withColumn("score", F.when(F.col("top") > 0, T.round2(F.col("raw") / F.col("top"))).otherwise(F.col("raw"))).drop("top")
+    return scored(rows)
+
+
+def results(source, search: Search, categories: DataFrame | None = None) -> DataFrame:
+    """``matches`` of documents or of an engine."""
+    return matches(source, search, categories) if isinstance(source, DataFrame) else source.matches(search, categories)
+
+
+def results_page(source, search: Search, categories: DataFrame | None = None) -> DataFrame:
+    """A page's rows with their texts."""
+    rows = page(results(source, search, categories), search)
+    return rows if isinstance(source, DataFrame) else source.whole(rows)
 
 
 def page(found: DataFrame, search: Search) -> DataFrame:
@@ -143,23 +173,62 @@ def page(found: DataFrame, search: Search) -> DataFrame:
     return ranked.where(F.col("rank") > offset)
 
 
-def search(docs: DataFrame, wanted: Search, categories: DataFrame | None = None) -> DataFrame:
-    """rank, slug, title, guest, publish_date, score, source_type, source_id, ranking_mode, snippet."""
-    rows = with_snippet(page(matches(docs, wanted, categories), wanted), "transcript", wanted.query)
+def search(source, wanted: Search, categories: DataFrame | None = None, reranker=None) -> DataFrame:
+    """rank, slug, title, guest, publish_date, score, source_type, source_id, ranking_mode, snippet.
+
+    ``source``: documents, or an engine over them. ``reranker``: a function of (slug, score) that gives (slug, score, reranked, rank); see
+    ``reranked_page``, which adds how it went as rerank_attempted, rerank_applied and rerank_reason.
+    """
+    said = []
+    if reranker is None:
+        rows = results_page(source, wanted, categories)
+    else:
+        rows = reranked_page(source, wanted, categories, reranker)
+        said = ["rerank_attempted", "rerank_applied", "rerank_reason"]
+    rows = with_snippet(rows, "transcript", wanted.query)
     return rows.select(
         "rank", "slug", "title", "guest", "publish_date", "score", F.lit("author").alias("source_type"),
         T.source_id(F.col("author_id"), F.col("slug")).alias("source_id"), F.lit(wanted.mode).alias("ranking_mode"),
-        "snippet",
+        "snippet", *said,
     )
 
 
-def total(docs: DataFrame, wanted: Search, categories: DataFrame | None = None) -> DataFrame:
-    return matches(docs, wanted, categories).agg(F.count("*").alias("total"))
-
+def reranked_page(source, wanted: Search, categories: DataFrame | None, reranker) -> DataFrame:
+    """The page by the order that ``reranker`` gives all results; if it fails, by keywords, and the rows say why.
 
-def explain(docs: DataFrame, wanted: Search, categories: DataFrame | None = None) -> DataFrame:
+    The results are at most FIELD_CAP a field; their scores are gathered, so that an error of a provider shows here
+    and not in the middle of a job of the caller's.
+    """
+    rows = results(source, wanted, categories)
+    names, kind = ["slug", "score"], "slug string, score double, reranked boolean, rank int"
+    scores = rows.sparkSession.createDataFrame(rows.select(*names).collect(), "slug string, score double")
+    try:
+        order = reranker(scores).select("slug", "score", "reranked", F.col("rank").cast("int").alias("rank")).collect()
+        applied, reason = True, None
+    except Exception as e:  # whatever a provider raises leaves the order of the keywords
+        window = Window.orderBy(F.desc("score"), "slug")
+        order = scores.select(*names, F.lit(False), F.row_number().over(window)).collect()
+        applied, reason = False, type(e).__name__
+    offset, limit = wanted.window()
+    chosen = rows.sparkSession.createDataFrame([r for r in order if offset < r[3] <= offset + limit], kind).drop("reranked")
+    rows = rows.drop("score").join(F.broadcast(chosen), "slug")
+    rows = rows if isinstance(source, DataFrame) else source.whole(rows)
+    return rows.withColumns({"rerank_attempted": F.lit(True), "rerank_applied": F.lit(applied), "rerank_reason": F.lit(reason).cast("string")})
+
+
+def reported_paging(wanted: Search) -> dict:
+    """What a response says of its page: the values that the page was made by, also where a page number was given."""
+    offset, limit = wanted.window()
+    return {"offset": offset, "limit": limit, "page": offset // limit + 1}
+
+
+def total(source, wanted: Search, categories: DataFrame | None = None) -> DataFrame:
+    return results(source, wanted, categories).agg(F.count("*").alias("total"))
+
+
+def explain(source, wanted: Search, categories: DataFrame | None = None) -> DataFrame:
     """A row for each matched field of each result of the page: raw score, share of the total, evidence."""
-    rows = with_snippet(page(matches(docs, wanted, categories), wanted), "transcript", wanted.query)
+    rows = with_snippet(results_page(source, wanted, categories), "transcript", wanted.query)
     evidence = field_texts() | {"transcript": F.col("snippet")}
     parts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_score").alias("field_score"), evidence[f].alias("evidence")) for f in sorted(WEIGHTS)))
     each = rows.select("rank", "slug", "raw", F.explode(F.filter(parts, lambda x: x["field_score"].isNotNull())).alias("p"))
@@ -167,12 +236,12 @@ def explain(docs: DataFrame, wanted: Search, categories: DataFrame | None = None
     return each.select("rank", "slug", F.col("p.field").alias("field"), F.col("p.field_score").alias("field_score"), share.alias("share"), F.col("raw").alias("raw_score"), F.col("p.evidence").alias("evidence"))
 
 
-def compare(docs: DataFrame, wanted: Search, categories: DataFrame | None = None) -> DataFrame:
+def compare(source, wanted: Search, categories: DataFrame | None = None) -> DataFrame:
     """The two rankings side by side: ranks, their difference, and whether both have the row."""
     sides = []
     for mode, name in (("weighted", "weighted_rank"), ("rrf", "rrf_rank")):
         of = Search(**{**wanted.__dict__, "mode": mode, "limit": 10 if wanted.limit is None else wanted.limit})
-        sides.append(page(matches(docs, of, categories), of).select("slug", F.col("rank").alias(name)))
+        sides.append(page(results(source, of, categories), of).select("slug", F.col("rank").alias(name)))
     both = sides[0].join(sides[1], "slug", "full")
     return both.select("slug", "weighted_rank", "rrf_rank", (F.col("rrf_rank") - F.col("weighted_rank")).alias("rank_delta"), (F.col("rrf_rank").isNotNull() & F.col("weighted_rank").isNotNull()).alias("in_both"))
 
