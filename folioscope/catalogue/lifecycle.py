@@ -138,5 +138,10 @@ SELECT sid AS source_id, 0::BIGINT AS part, '' AS ord, sha256(concat_ws(chr(10),
 SELECT sid, 1, slug, sha256('- ' || slug || ': ' || sha256(content)) FROM d UNION ALL SELECT sid, 2, slug, sha256(chr(10) || '## ' || slug || chr(10) || chr(10) || content || chr(10)) FROM d""",
     "q39_request_histogram": "SELECT bound, requests FROM (" + " UNION ALL ".join(f"SELECT '{b}' AS bound, count(*) FILTER (value / 1000 <= {b}::DOUBLE) AS requests FROM events" for b in O.BOUNDS) + " UNION ALL SELECT '+Inf', count(value) FROM events)",
     "q39_request_counts": "SELECT CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1",
+    "q40_rate_limit_exact": """WITH RECURSIVE q AS (SELECT event_id AS id, user_id::VARCHAR AS client, epoch_us(ts) AS micros, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+s AS (SELECT DISTINCT client, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS micros, []::BIGINT[] AS times, true AS allowed, 0::BIGINT AS retry_after FROM q UNION ALL
+  SELECT client, n, id, micros, CASE WHEN len(live) < 2 THEN list_append(live, micros) ELSE live END, len(live) < 2, CASE WHEN len(live) < 2 THEN 0 ELSE ceil((live[1] + 86400000000 - micros) / 1000000::DOUBLE)::BIGINT END
+  FROM (SELECT q.client, q.n, q.id, q.micros, list_filter(s.times, lambda t: q.micros - t < 86400000000) AS live FROM s JOIN q ON q.client = s.client AND q.n = s.n + 1))
+SELECT id, client, micros, allowed, retry_after FROM s WHERE n > 0""",
     "q40_rate_limit_recent": "SELECT event_id AS id, user_id AS client, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS recent FROM events",
 }

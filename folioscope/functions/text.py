@@ -93,6 +93,14 @@ def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("\n\n...(truncated)"))).otherwise(c)
 
 
+def marked_snippet(c: Column, around: int = 160) -> Column:
+    """What stands near the first ``<mark>`` of a text that a search server marked; without one its beginning."""
+    at = F.instr(c, "<mark>") - 1
+    start = F.greatest(F.lit(0), at - around // 2)
+    end = F.least(F.length(c), at + around // 2 + len("<mark>") + 50)
+    return F.trim(F.when(at < 0, F.left(c, F.lit(around))).otherwise(F.substring(c, start + 1, end - start)))
+
+
 def category_links(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\]\(\.\./documents/([^/)]+)/transcript\.md\)"), F.lit(1))))
 
@@ -120,8 +128,7 @@ def bounded(term: str) -> str:
     return before + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", term) + after
 
 
-# Names whose values are secret, and the forms in which secrets appear.
-SECRET_NAMES = "OPENAI_API_KEY|KIMI_API_KEY|CODEX_AUTH|CLAUDE_CODE_OAUTH"
+# The forms in which secrets appear, what is put in their place, and paths that may not be tracked.
 SECRET_FORMS = {
     "key": r"sk-[A-Za-z0-9_-]{20,}",
     "header": r"(?i)Authorization:\s*Bearer\s+\S+",
@@ -135,11 +142,15 @@ REDACTIONS = [
     (r"(?i)Authorization:\s*Bearer\s+\S+", "Authorization: Bearer <redacted>"),
     (r"sk-[A-Za-z0-9_-]{8,}", "<redacted>"),
     (r"(?i)(access_token|refresh_token)=([^\s]+)", "$1=<redacted>"),
-    (rf"({SECRET_NAMES})\s*=\s*([^\s]+)", "$1=<redacted>"),
+    (r"(OPENAI_API_KEY|KIMI_API_KEY|CODEX_AUTH|CLAUDE_CODE_OAUTH)\s*=\s*([^\s]+)", "$1=<redacted>"),
     (r"//([^:\s]+):([^@\s]+)@", "//<redacted>:<redacted>@"),
 ]
 
 
+FORBIDDEN_PATHS = r"^(evidence/(?!\.gitkeep)|normalized/|raw/|chunks/|generated-personas/|debate-transcripts/|eval4sim-reports/|model-cache/|\.env)"
+UNSCANNED = (".png", ".lock")
+
+
 def redact(c: Column) -> Column:
     for form, put in REDACTIONS:
         c = F.regexp_replace(c, form, put)
@@ -151,6 +162,13 @@ def secret_kinds(c: Column) -> Column:
     return F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(k)) for k, p in SECRET_FORMS.items())))
 
 
+def audit_files(rows):
+    """(path, problem) of ``rows(path, value)``: paths that may not be tracked, and texts with secrets in them."""
+    skipped = F.col("path").endswith(UNSCANNED[0]) | F.col("path").endswith(UNSCANNED[1])
+    found = F.concat(F.when(F.col("path").rlike(FORBIDDEN_PATHS), F.array(F.lit("forbidden path"))).otherwise(F.array().cast("array<string>")), F.when(~skipped, secret_kinds(F.col("value"))).otherwise(F.array().cast("array<string>")))
+    return rows.select("path", F.explode(found).alias("problem"))
+
+
 def safe_category(c: Column) -> Column:
     """A category as a slug; null if it could leave its folder or is empty."""
     bad = c.rlike(r"\.\.|[/\\\p{Cc}]")

@@ -47,6 +47,56 @@ def manifest(documents: DataFrame, hidden: str = "blog:") -> DataFrame:
     return rows.agg(F.count("*").alias("document_count"), F.coalesce(F.sum("b"), F.lit(0)).alias("content_bytes"), F.coalesce(F.sum("w"), F.lit(0)).alias("content_words"), F.count_if(listed).alias("hashed_count"), F.countDistinct("h").alias("distinct_hashes"), F.min("slug").alias("first_slug"), F.max("slug").alias("last_slug"))
 
 
+TOTALS = "document_count bigint, content_bytes bigint, content_words bigint"
+
+
+def totals(documents: DataFrame) -> DataFrame:
+    """What a manifest counts of ``documents(content, ...)``: one row."""
+    return documents.agg(F.count("*").alias("document_count"), F.coalesce(F.sum(T.byte_length(F.col("content"))), F.lit(0)).alias("content_bytes"), F.coalesce(F.sum(T.word_count(F.col("content"))), F.lit(0)).alias("content_words"))
+
+
+def with_changes(before: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """Totals after documents ``gone`` (removed, or as they were before an update) and ``come`` (added, or as they
+    are now): only these are read."""
+    names = [x.split()[0] for x in TOTALS.split(", ")]
+    signed = lambda df, sign: df.select(*((sign * F.col(n)).alias(n) for n in names))
+    parts = signed(before, F.lit(1)).unionByName(signed(totals(gone), F.lit(-1))).unionByName(signed(totals(come), F.lit(1)))
+    return parts.agg(*(F.sum(n).alias(n) for n in names))
+
+
+def digest(documents: DataFrame) -> DataFrame:
+    """(digest): 16 digits over all slugs and content hashes, so that any change of a text is one.
+
+    Slugs are dealt to 4,096 buckets by hash; a bucket's rows are hashed in order, then the buckets' hashes.
+    """
+    rows = documents.select("slug", T.short_hash(F.coalesce("content", F.lit(""))).alias("hash"), F.left(F.md5("slug"), F.lit(3)).alias("bucket"))
+    said = F.array_sort(F.collect_list(F.concat_ws(" ", "slug", "hash")))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(said, "\n"), 256).alias("h"))
+    whole = F.array_sort(F.collect_list(F.concat_ws(" ", "bucket", F.col("n").cast("string"), "h")))  # 4,096 at most
+    return buckets.agg(F.left(F.sha2(F.array_join(whole, "\n"), 256), F.lit(16)).alias("digest"))
+
+
+def with_hashes(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """(slug, content_hash) of every document: its own hash, else that of its file in ``files(slug, hash)``, else none ("")."""
+    rows = documents.select("slug", F.nullif("content_hash", F.lit("")).alias("own")).join(files.select("slug", "hash"), "slug", "left")
+    return rows.select("slug", F.coalesce("own", "hash", F.lit("")).alias("content_hash"))
+
+
+def incremental_update(stored: DataFrame, current: DataFrame, changes: DataFrame) -> DataFrame:
+    """The stored documents after ``changes`` of ``diff``: removed and changed ones out, added and changed ones in.
+    Documents that didn't change are not written anew by a store that keeps them by author."""
+    gone = changes.where("change in ('removed', 'changed')")
+    new = changes.where("change in ('added', 'changed')")
+    return remove(stored, gone).unionByName(current.join(new.select("slug"), "slug", "left_semi").select(*stored.columns))
+
+
+def by_guest(documents: DataFrame, guest: str, order: str = "slug") -> DataFrame:
+    """The first document whose guest holds the name, or whose slug holds it with dashes for blanks; the letter case of the name doesn't count."""
+    name = guest.lower()
+    dashed = "-".join(name.split())
+    return documents.where(F.lower(F.coalesce("guest", F.lit(""))).contains(name) | F.col("slug").contains(dashed)).orderBy(order).limit(1)
+
+
 def manifest_rows(documents: DataFrame, hidden: str = "blog:") -> DataFrame:
     """(slug, content_hash): the listed documents. A table, not a map in one row."""
     return documents.where(~F.col("slug").startswith(hidden)).select("slug", T.short_hash(F.coalesce("content", F.lit(""))).alias("content_hash"))
@@ -90,7 +140,7 @@ def counters(changes: DataFrame) -> DataFrame:
 def upsert(stored: DataFrame, incoming: DataFrame, order: str = "ord") -> DataFrame:
     """The stored rows with those that came in, the last of each slug; what didn't come in stays."""
     last = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc(order)))
-    new = incoming.withColumn("__n", last).where("__n = 1").select(*stored.columns)
+    new = incoming.select(*stored.columns, last.alias("nth_of_slug")).where("nth_of_slug = 1").drop("nth_of_slug")
     return stored.join(new.select("slug"), "slug", "left_anti").unionByName(new)
 
 
@@ -105,6 +155,39 @@ def update_plan(document_changes: DataFrame, category_changes: DataFrame) -> Dat
     return d.crossJoin(F.broadcast(c)).select(F.when(F.col("c") > 0, "full").when((F.col("r") + F.col("a")) > 0, "incremental").otherwise("none").alias("mode"), F.col("r").alias("remove"), F.col("a").alias("add"))
 
 
+class InvalidCollection(ValueError):
+    """A collection with errors."""
+
+
+def require_valid(issues: DataFrame) -> DataFrame:
+    """Issues that are warnings; any error raises, and says how many of which there are."""
+    found = issues.where("level = 'error'").groupBy("rule").count().orderBy("rule").collect()
+    if found:
+        raise InvalidCollection(", ".join(f"{r['rule']}: {r['count']}" for r in found))
+    return issues
+
+
+def validate_collection(documents: DataFrame, categories: DataFrame, manifest: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(level, rule, name): documents without slug, without title and guest, or without content (a warning), category
+    entries of no document, totals that the manifest has otherwise, documents that the index ``indexed(slug)`` lacks."""
+    row = lambda df, level, rule, name: df.select(F.lit(level).alias("level"), F.lit(rule).alias("rule"), name.alias("name"))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    entries = categories.select(F.col("slug").alias("category"), F.explode("documentSlugs").alias("slug"))
+    unknown = entries.join(documents.select("slug"), "slug", "left_anti")
+    n = documents.agg(F.count("*").alias("n")).crossJoin(F.broadcast(categories.agg(F.count("*").alias("c"))))  # one row each
+    counted = n.crossJoin(F.broadcast(manifest.select("document_count", "category_count")))
+    counted = counted.select(F.explode(F.array_compact(F.array(F.when(F.col("n") != F.col("document_count"), F.lit("documents")), F.when(F.col("c") != F.col("category_count"), F.lit("categories"))))).alias("of"))
+    parts = [
+        row(documents.where(blank("slug")), "error", "missing-slug", F.lit("")), row(documents.where(blank("title") & blank("guest")), "error", "missing-title-and-guest", F.col("slug")),
+        row(documents.where(blank("content")), "warning", "empty-content", F.col("slug")), row(unknown, "error", "unknown-document", F.concat_ws(" ", "category", "slug")),
+        row(counted, "error", "manifest-count", F.col("of")), row(documents.join(indexed.select("slug"), "slug", "left_anti"), "error", "not-indexed", F.col("slug")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def validate(documents: DataFrame, bridge: DataFrame) -> DataFrame:
     """(level, rule, slug): what is wrong with the collection."""
     rule = lambda df, level, name: df.select(F.lit(level).alias("level"), F.lit(name).alias("rule"), "slug")

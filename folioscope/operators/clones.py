@@ -72,6 +72,23 @@ def parse(rows: DataFrame) -> DataFrame:
     return out.withColumn("problem", problem).drop("shaped", "ordered", "declared")
 
 
+def score(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """(name, schema, quality, knowledge): which tests the persona ``files(name, value)`` pass, and whether all of their
+    knowledge ``entries(name, entry)`` are named as they have to be. An empty file passes none."""
+    field = lambda k: F.trim(F.regexp_extract("value", rf"(?m)^{k}:(.*)$", 1))
+    listed = F.filter(F.transform(F.split(field("categories"), ","), lambda x: F.trim(x)), lambda x: x != "")
+    known = F.size(F.array_except(listed, F.array(*map(F.lit, CATEGORIES)))) == 0
+    value = F.coalesce("value", F.lit(""))
+    schema = value.contains("not_real_person: true") & known & F.array_contains(listed, field("primary_category")) & (field("voice_traits") != "")
+    for name in SECTIONS:
+        schema = schema & value.contains(f"## {name}")
+    quality = value.rlike("[가-힣]") & value.rlike(DISCLAIMED)
+    named = entries.groupBy(F.col("name").alias("n")).agg(F.bool_and(F.col("entry").rlike(KNOWLEDGE_NAME)).alias("good"))
+    rows = files.join(named, F.col("name") == F.col("n"), "left")
+    there = value != ""
+    return rows.select("name", (there & schema).alias("schema"), (there & quality).alias("quality"), (there & F.coalesce("good", F.lit(True))).alias("knowledge"))
+
+
 def knowledge(docs: DataFrame, label: str, category: str | None = None, source_type: str | None = None, published_at: str | None = None) -> DataFrame:
     """Rows for the register of knowledge sources: ``docs(doc_id, source)`` with what is said of them."""
     if source_type is not None and source_type not in SOURCE_TYPES:

@@ -130,7 +130,9 @@ def chunks(rows: DataFrame, *order: str, bucket: Column | None = None) -> DataFr
     """
     kept = rows.where(F.trim("text") != "")
     inner = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    counts = kept.withColumn("b", F.lit(0) if bucket is None else bucket).groupBy("b", F.col("doc_id").alias("d")).agg(F.count("*").alias("n"))
+    if bucket is None:
+        kept, bucket = kept.withColumn("bucket_of_all", F.lit(0)), F.col("bucket_of_all")
+    counts = kept.withColumn("b", bucket).groupBy("b", F.col("doc_id").alias("d")).agg(F.count("*").alias("n"))
     within = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     buckets = counts.groupBy(F.col("b").alias("bb")).agg(F.sum("n").alias("m"))
     earlier = F.coalesce(F.sum("m").over(Window.orderBy("bb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -140,6 +142,8 @@ def chunks(rows: DataFrame, *order: str, bucket: Column | None = None) -> DataFr
 
 
 def author_jsonl(rows: DataFrame, author_id: str) -> DataFrame:
-    """Elements as lines of an author import."""
+    """Elements as lines of an author import; no elements are an error."""
+    if rows.isEmpty():
+        raise ValueError("no elements to import")
     meta = F.struct("element_id", "kind", "line_start", "line_end")
     return rows.select(F.to_json(F.struct(F.lit(author_id).alias("authorId"), F.col("doc_id").alias("tocKey"), F.col("source_file").alias("title"), F.col("text").alias("content"), meta.alias("metadata"))).alias("value"))

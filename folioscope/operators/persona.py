@@ -13,6 +13,13 @@ THRESHOLDS = {"retrieval_adherence": (0.85, 0.9, True), "consistency": (0.8, 0.8
 FACTORS = {"consistency": (6.0, 4.5), "completeness": (6.0, 3.5), "credibility": (6.0, 4.0), "clarity": (6.0, 6.0), "willingness_to_use": (6.0, 4.0), "empathy": (6.0, 6.0)}
 PPS_AVERAGE, PPS_LEAST = 5.5, 4.0
 MOST_PERSONAS = MOST_ROUNDS = 5
+# What a folder of personas has to declare, and the dimensions of its report.
+PROVIDERS = ("openai-compatible", "codex", "claude-code", "ollama", "fake")
+COMMANDS = ("chat", "room", "panel", "list", "status", "history")
+DIMENSIONS = (
+    "personaSchema", "personaQuality", "personaChatReadiness", "categoryPanelReadiness", "groupRoomReadiness",
+    "standaloneCliReadiness", "providerParity", "migrationReadiness", "securityReadiness", "overall",
+)
 EVIDENCE = ("quote", "chunk_id", "element_id", "doc_id", "source_file")
 
 
@@ -100,6 +107,31 @@ def benchmark(checks: DataFrame) -> DataFrame:
     return checks.groupBy("dimension").agg(F.bool_and("ok").alias("pass"), (F.count_if("ok") / F.count("*")).alias("score"))
 
 
+def persona_benchmark(scores: DataFrame, expected: dict, denied: tuple = ()) -> DataFrame:
+    """(dimension, pass, score): ``scores(name, schema, quality, knowledge)`` of a folder's personas, see ``clones.score``, rolled up with what
+    ``expected`` declares (categories, providers, commands, dimensions). A name of ``denied`` is an error."""
+    from .clones import CATEGORIES
+
+    if denied and (found := scores.where(F.col("name").isin(*denied)).limit(1).collect()):
+        raise ValueError(f"a persona that may not be: {found[0]['name']}")
+    has = {k: F.lit(set(need) <= set(expected.get(k) or ())) for k, need in (("categories", CATEGORIES), ("providers", PROVIDERS), ("commands", COMMANDS), ("dimensions", DIMENSIONS))}
+    every = lambda c: F.coalesce(F.bool_and(c), F.lit(True)).alias(c)
+    one = scores.agg((F.count("*") > 0).alias("any"), every("schema"), every("quality"), every("knowledge"))
+    schema, quality, knowledge = (F.col(c) for c in ("schema", "quality", "knowledge"))
+    sound = F.col("any") & has["dimensions"] & schema & quality & knowledge
+    tests = (
+        schema, quality, has["commands"], has["categories"] & schema, has["commands"], has["commands"], has["providers"], schema & knowledge,
+        sound & has["providers"], has["categories"] & sound & has["providers"] & has["commands"],
+    )
+    rows = F.array(*(F.struct(F.lit(n).alias("dimension"), t.alias("pass")) for n, t in zip(DIMENSIONS, tests, strict=True)))
+    return one.select(F.explode(rows).alias("r")).select("r.dimension", "r.pass", F.col("r.pass").cast("double").alias("score"))
+
+
+def moderator_summary(persona_rows: DataFrame) -> DataFrame:
+    """(ord, caveat): the caveats of a debate's personas, in order of the personas and of each one's own. At most five personas."""
+    return persona_rows.select("author_id", F.posexplode("caveats").alias("nth", "caveat")).select((F.row_number().over(Window.orderBy("author_id", "nth"))).alias("ord"), "caveat")
+
+
 def render_benchmark(dimensions: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- "), "dimension", F.lit(": "), F.when(F.col("pass"), "PASS").otherwise("FAIL"), F.lit(" ("), F.format_number("score", 2), F.lit(")"))
     return dimensions.select("dimension", line.alias("text"))

@@ -1,11 +1,12 @@
-"""Files of the document store as DataFrames. All reads go through Spark's readers, so that any
-store that Spark reaches will do; one file is one row until it is parsed."""
+"""Files of the document store as DataFrames, and back. All reads go through Spark's readers, so that any
+store that Spark reaches will do. Files of one document each are rows of (path, value) until they are parsed, and
+every parser takes such rows from wherever they come; files of lines are split like any text."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,14 +28,34 @@ def whole(spark: SparkSession, pattern: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, line, value) of each line of each file, the line numbers those of the file."""
-    rows = whole(spark, pattern)
-    each = rows.select("path", F.posexplode(F.split("value", "\n")).alias("p", "value"))
-    return each.select("path", (F.col("p") + 1).cast("long").alias("line"), "value")
+    # A file may be read in many splits: a line's number is its place in the split, and the lines of those before.
+    try:
+        rows = spark.read.option("lineSep", "\n").text(pattern)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "path string, line long, value string")
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    splits = rows.groupBy("path", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))  # a row for each split
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "block", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return rows.join(splits, ["path", "block"]).select("path", (F.col("n") + F.col("shift")).alias("line"), "value")
+
+
+def write_lines(rows: DataFrame, path: str, by: str | None = None) -> None:
+    """``rows(value)`` as text, a line each and a line end after the last; with ``by`` a folder for each of its values,
+    lines in the order in which the rows stand."""
+    rows = rows.select(*([by] if by else []), "value").write.mode("overwrite")
+    (rows.partitionBy(by) if by else rows).text(path)
 
 
 def read_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Posts under ``folder/<author>/posts/<slug>/post.md``; what can't be parsed is left out."""
-    rows = whole(spark, f"{folder}/*/posts/*/post.md")
+    return parse_posts(whole(spark, f"{folder}/*/posts/*/post.md"))
+
+
+def parse_posts(rows: DataFrame) -> DataFrame:
+    """Posts of ``rows(value)``; what can't be parsed is left out."""
     end = F.instr("value", "\n---\n")
     head = F.try_parse_json(F.substring("value", F.lit(5), end - 5))
     body = F.regexp_replace(F.substring("value", end + 5, F.length("value")), r"^\s+|\s+$", "")
@@ -67,11 +88,19 @@ def front_matter(value):
 
 
 def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of ``folder/<slug>/transcript.md``: flat ``key: value`` front matter and a body, of which the
-    transcript begins after ``## Transcript``."""
-    rows = whole(spark, f"{folder}/*/transcript.md")
+    """Records of ``folder/<slug>/transcript.md``."""
+    return parse_transcripts(whole(spark, f"{folder}/*/transcript.md"))
+
+
+def parse_transcripts(rows: DataFrame) -> DataFrame:
+    """Records of ``rows(path, value)``, slug that of the file's folder: flat ``key: value`` front matter and a body, of which the
+    transcript begins after ``## Transcript``. Times become dates, texts of digits numbers; a file whose front matter
+    doesn't end is an error that names its slug."""
     head, body = front_matter(F.col("value"))
-    rows = rows.select(F.element_at(F.split("path", "/"), -2).alias("slug"), head.alias("head"), body.alias("content"))
+    slug = F.element_at(F.split("path", "/"), -2)
+    broken = F.col("value").rlike(r"^---\r?\n") & ~F.col("value").rlike(r"^---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|$)")
+    slug = F.when(broken, F.raise_error(F.concat(F.lit("Failed to load document "), slug)).cast("string")).otherwise(slug)
+    rows = rows.select(slug.alias("slug"), head.alias("head"), body.alias("content"))
     field = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("head", rf"(?m)^{k}:[ \t]*(.*)$", 1), "^[\"']|[\"']\\s*$", "")), F.lit(""))
     block = F.regexp_extract("head", r"(?m)^keywords:[ \t]*\n((?:[ \t]*-[ \t]+.*(?:\n|$))+)", 1)
     inline = F.regexp_extract("head", r"(?m)^keywords:[ \t]*\[(.*)\]", 1)
@@ -81,7 +110,8 @@ def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     transcript = F.regexp_replace(F.when(at > 0, F.substring("content", at + 13, F.length("content"))).otherwise(F.col("content")), r"^\s+|\s+$", "")
     texts = ("guest", "title", "youtube_url", "video_id", "publish_date", "description", "duration", "channel")
     numbers = ("duration_seconds", "view_count")
-    out = rows.select("slug", *(field(k).alias(k) for k in texts), *(field(k).try_cast("double").alias(k) for k in numbers), F.nullif(words, F.array().cast("array<string>")).alias("keywords"), "content", transcript.alias("transcript"))
+    dated = F.regexp_replace(field("publish_date"), r"^(\d{4}-\d{2}-\d{2})[T ].*$", "$1")
+    out = rows.select("slug", *((dated if k == "publish_date" else field(k)).alias(k) for k in texts), *(field(k).try_cast("double").alias(k) for k in numbers), F.nullif(words, F.array().cast("array<string>")).alias("keywords"), "content", transcript.alias("transcript"))
     return out.withColumn("word_count", T.word_count(F.col("transcript")))
 
 
@@ -110,7 +140,11 @@ def read_category_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def read_categories(spark: SparkSession, folder: str) -> DataFrame:
     """Categories of ``folder/*.md``, but for README.md and documents.md."""
-    rows = whole(spark, f"{folder}/*.md")
+    return parse_categories(whole(spark, f"{folder}/*.md"))
+
+
+def parse_categories(rows: DataFrame) -> DataFrame:
+    """Categories of ``rows(path, value)``, named by their first heading, else by their file."""
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
     rows = rows.select(name.alias("slug"), "value").where("slug not in ('README', 'documents')")
     heading = F.nullif(F.trim(F.regexp_extract("value", r"(?m)^#\s+(.+)$", 1)), F.lit(""))
@@ -138,17 +172,78 @@ def current_hashes(spark: SparkSession, transcripts: str, documents: str, posts:
     return latest_wins(own, lines, read_posts(spark, posts).select("slug", F.col("content_hash").alias("hash")))
 
 
+def category_hashes(markdown: DataFrame, lines: DataFrame) -> DataFrame:
+    """(slug, hash) of category files ``markdown(path, value)``, README and documents too, and of JSON ``lines(value)``;
+    lines that aren't JSON are passed over, and of a slug in both the line counts."""
+    from ..operators.catalog import latest_wins
+
+    own = markdown.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "").alias("slug"), T.short_hash(F.col("value")).alias("hash"))
+    said = lines.select(F.trim("value").alias("raw")).where("raw <> ''").withColumn("v", F.try_parse_json("raw")).where("v is not null")
+    return latest_wins(own, said.select(F.try_variant_get("v", "$.slug", "string").alias("slug"), T.short_hash(F.col("raw")).alias("hash")))
+
+
+def write_manifest(totals: DataFrame, path: str) -> None:
+    """One row as JSON."""
+    totals.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The totals of a manifest; none if it isn't there, isn't JSON or lacks a total: it has to be made again."""
+    from ..operators.catalog import TOTALS
+
+    try:
+        rows = spark.read.schema(TOTALS).option("mode", "FAILFAST").json(path).collect()
+    except Exception as e:
+        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "MALFORMED_RECORD", "FAILED_READ_FILE")):
+            raise
+        return None
+    if len(rows) != 1 or any(x is None for x in rows[0]):
+        return None
+    return spark.createDataFrame(rows, TOTALS)
+
+
+def write_elements(rows: DataFrame, path: str) -> None:
+    """Normalised elements as a table, a folder for each of 256 ranges of hashes of documents, in order of lines."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(256)).cast("int")
+    rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "line_start").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_elements(spark: SparkSession, path: str, doc_id=None) -> DataFrame:
+    """Elements of all documents, or of one: its folder alone is read."""
+    rows = spark.read.parquet(path)
+    if doc_id is not None:
+        bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(doc_id).cast(rows.schema["doc_id"].dataType)), F.lit(256)).cast("int")).first()[0]
+        rows = rows.where((F.col("bucket") == bucket) & (F.col("doc_id") == doc_id))
+    return rows.drop("bucket")
+
+
+def write_vectors(rows: DataFrame, path: str) -> None:
+    """``rows`` of the key of ``rerank.KEY`` and ``vector``, a folder for each first two characters of the slug's hash."""
+    rows.withColumn("prefix", F.left(F.md5("slug"), F.lit(2))).repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Stored vectors, of a key that was stored more than once any one of them."""
+    from ..operators.rerank import KEY
+
+    return spark.read.parquet(path).drop("prefix").dropDuplicates(KEY)
+
+
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, element rows) of the ``.md`` and ``.json`` files right in a folder; bad JSON is an error."""
+    return parse_folder(whole(spark, f"{folder}/*.md"), whole(spark, f"{folder}/*.json"))
+
+
+def parse_folder(markdown: DataFrame, documents: DataFrame) -> DataFrame:
+    """Elements of ``(path, value)`` rows of Markdown and of JSON files."""
     from ..functions.jsontext import flatten
 
-    def identified(pattern: str) -> DataFrame:
-        rows = whole(spark, pattern)
+    def identified(rows: DataFrame) -> DataFrame:
         name = F.element_at(F.split("path", "/"), -1)
         return rows.withColumn("name", name).withColumn("doc_id", T.ingest_id(name, name, F.col("value")))
 
-    md = I.elements(identified(f"{folder}/*.md"), "doc_id", "value", "name").withColumn("path", F.lit(None).cast("string"))
-    raw = identified(f"{folder}/*.json")
+    md = I.elements(identified(markdown), "doc_id", "value", "name").withColumn("path", F.lit(None).cast("string"))
+    raw = identified(documents)
     wrong = F.raise_error(F.concat(F.lit("Invalid JSON: "), "name")).cast("string")
     raw = raw.withColumn("value", F.when(F.try_parse_json("value").isNull(), wrong).otherwise(F.col("value")))
     flat = flatten(raw.withColumn("key", F.concat_ws("\n", "doc_id", "name")), "key", "value")
