@@ -265,10 +265,11 @@ def event_line(source: str, action: str, at: str, documents: int) -> str:
     return json.dumps({"sourceId": source, "action": action, "documentCount": documents, "at": at}, separators=(",", ":"))
 
 
-def inline(spark: SparkSession, text: str, name: str = "inline.md", toc_key: str | None = None) -> DataFrame:
+def inline(spark: SparkSession, text: str, name: str = "inline.md", toc_key: str | None = None, split_by: str | None = None) -> DataFrame:
     """Sections (id, ord, title, body) of a text that is handed over; of JSON lines by ``toc_key``."""
     if not name.endswith(".jsonl"):
-        rows = I.sections(spark.createDataFrame([(name, text)], "id string, text string"), "id", "text")
+        rows = spark.createDataFrame([(name, text)], "id string, text string")
+        rows = I.sections_by(rows, "id", "text", split_by) if split_by else I.sections(rows, "id", "text")
         return I.distinct_titles(I.oversize(rows), "id", "ord", "part")
     if not toc_key:
         raise ValueError("JSON lines need the key that names their sections")
@@ -281,9 +282,9 @@ def inline(spark: SparkSession, text: str, name: str = "inline.md", toc_key: str
     return I.distinct_titles(I.oversize(found), "id", "ord", "part")
 
 
-def import_author(spark: SparkSession, author: str, text: str, name: str = "inline.md", toc_key: str | None = None) -> DataFrame:
+def import_author(spark: SparkSession, author: str, text: str, name: str = "inline.md", toc_key: str | None = None, split_by: str | None = None) -> DataFrame:
     """The posts of an author's text."""
     from .paths import author_id
 
     author_id(author)
-    return I.posts(inline(spark, text, name, toc_key).withColumn("author_id", F.lit(author)), name)
+    return I.posts(inline(spark, text, name, toc_key, split_by).withColumn("author_id", F.lit(author)), name)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,29 @@ def fingerprint(rows: DataFrame) -> str:
         status = fs.getFileStatus(where)
         said.append(f"{name} {status.getLen()} {status.getModificationTime()}")
     return hashlib.sha256("\n".join(said).encode()).hexdigest()[:16]
+
+
+LOCK_WAIT_S, LOCK_STALE_S, LOCK_RETRY_S = 5.0, 30.0, 0.025
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str, wait_s: float = LOCK_WAIT_S, stale_s: float = LOCK_STALE_S):
+    """Holds the file ``path`` while the block runs. Another holder is waited for; a file that is older than
+    ``stale_s`` was left by one that died, and is taken over."""
+    fs, where = _path(spark, path)
+    ends = time.monotonic() + wait_s
+    while not fs.createNewFile(where):
+        try:
+            age = time.time() - fs.getFileStatus(where).getModificationTime() / 1000
+        except Exception:  # given back in the meantime
+            continue
+        if age > stale_s:
+            fs.delete(where, False)
+        elif time.monotonic() > ends:
+            raise TimeoutError(f"another writer holds {path}")
+        else:
+            time.sleep(LOCK_RETRY_S)
+    try:
+        yield
+    finally:
+        fs.delete(where, False)
