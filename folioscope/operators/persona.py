@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -163,3 +166,45 @@ def answer(persona_rows: DataFrame, claim_rows: DataFrame) -> DataFrame:
     """What a persona says in a chat: its name and its first claim."""
     first = claim_rows.where("claim_id = 'claim-1'").select("author_id", F.col("text").alias("t"))
     return persona_rows.join(first, "author_id", "left").select("author_id", F.concat_ws(": ", "author_id", F.coalesce("t", F.lit(NO_EVIDENCE))).alias("answer"))
+
+
+CHAT = "session_id string, turn bigint, author_id string, prompt string, answer string"
+
+
+def chat(spark: SparkSession, persona_rows: DataFrame, claim_rows: DataFrame, author: str, prompt: str, folder: str | None = None, resume: str | None = None) -> DataFrame:
+    """One turn of a chat with a persona: its answer, appended to the session's history under ``folder``.
+
+    A session is named after the persona unless it is ``resume``d by name; names of other signs than letters, digits, _ and - are an error.
+    """
+    session = resume or f"session-{author}"
+    if not prompt or not re.fullmatch(r"[A-Za-z0-9_-]+", session):
+        raise ValueError(f"a chat needs a prompt and a session with a plain name: {session}")
+    said = answer(persona_rows.where(F.col("author_id") == author), claim_rows).first()
+    if said is None:
+        raise ValueError(f"no such persona: {author}")
+    row = spark.createDataFrame([(session, time.time_ns(), author, prompt, said["answer"])], CHAT)
+    if folder:
+        row.coalesce(1).write.mode("append").partitionBy("session_id").parquet(folder)
+    return row
+
+
+def chat_history(spark: SparkSession, folder: str) -> DataFrame:
+    """(session_id, turns) of the sessions kept under ``folder``."""
+    return spark.read.schema(CHAT).parquet(folder).groupBy("session_id").agg(F.count("*").alias("turns"))
+
+
+def exported_texts(exported: DataFrame) -> DataFrame:
+    """(source_id, content) of an export's documents, as the quality gate takes them: the source from the provenance
+    where the document has none, blank values as missing."""
+    named = lambda c: F.nullif(F.trim(c), F.lit(""))
+    source = named(F.col("source_id"))
+    if "provenance" in exported.columns:
+        source = F.coalesce(source, named(F.col("provenance.sourceId")))
+    return exported.select(source.alias("source_id"), named(F.col("content")).alias("content"))
+
+
+def export_chunks(exported: DataFrame, most: int = CLAIMS) -> DataFrame:
+    """The first documents with text of an author's export as chunks, to make claims of."""
+    rows = exported.where(F.trim("content") != "").orderBy("slug").limit(most)
+    text = F.trim(F.regexp_replace("content", r"\s+", " "))
+    return rows.select(F.col("slug").alias("doc_id"), F.concat("slug", F.lit(":e1")).alias("element_id"), F.concat("slug", F.lit(":e1:c1")).alias("chunk_id"), text.alias("text"), F.col("slug").alias("source_file"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))

@@ -44,8 +44,12 @@ def now() -> str:
 
 
 class DocumentMemory:
-    def __init__(self, spark: SparkSession, root: str, authors: str | None = None) -> None:
-        self.spark, self.root, self.authors = spark, root.rstrip("/"), authors
+    def __init__(self, spark: SparkSession, root: str, authors: str | None = None, imports: str | None = None) -> None:
+        self.spark, self.root, self.authors, self.imports = spark, root.rstrip("/"), authors, imports
+        #: from a query to a function that reranks its results, see ``search.search``; none: by keywords
+        self.reranker = None
+        #: how the provider of vectors has fared
+        self.diagnostics = None
 
     # tables
     def _versions(self) -> DataFrame:
