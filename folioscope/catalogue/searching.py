@@ -108,7 +108,7 @@ def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.results(engine(spark, sf_dir), S.Search("the and")).select("slug", "score")
+    found = S.gathered(S.results(engine(spark, sf_dir), S.Search("the and")))
     rows = R.rerank(found, _vectors(spark, sf_dir).select("slug", "vector"), _query_vector(spark, sf_dir))
     return rows.select("slug", (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"), "reranked", F.col("rank").cast("long").alias("rank"))
 

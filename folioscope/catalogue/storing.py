@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..functions import jsontext as J
 from ..functions import text as T
 from ..operators import catalog as K
 from ..operators import clones as L
@@ -291,11 +292,27 @@ def q79(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.persona_benchmark(L.score(found, notes), expected)
 
 
+def q80(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has changed in documents and categories together, and what that means for the index."""
+    stored, now = _halves(spark, sf_dir)
+    hashed = lambda df: df.select("slug", T.short_hash(F.col("content")).alias("hash"))
+    sizes = C.bridge(spark, sf_dir).groupBy("category_slug").agg(F.count("*").cast("string").alias("hash")).withColumnRenamed("category_slug", "slug")
+    changed = K.collection_diff((hashed(stored), sizes.where("slug <> 'toxic-1'")), (hashed(now), sizes.where("slug <> 'toxic-0'")))
+    plan = K.update_plan(changed.where("kind = 'document'"), changed.where("kind = 'category'"))
+    return changed.unionByName(plan.select(F.lit("plan").alias("kind"), F.lit("").alias("slug"), F.col("mode").alias("change"), F.lit(None).cast("string").alias("previous_hash"), F.lit(None).cast("string").alias("next_hash")))
+
+
+def q81(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested JSON with its keys in order at every depth."""
+    rows = C.table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.lit(1).alias("z"), F.array(F.struct(F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("c"))).alias("a")).alias("y"), F.col("o_orderpriority").alias("b"), F.lit(None).cast("string").alias("n"))
+    return rows.select("o_orderkey", J.stable_text(rows, "y", "b", "n").alias("text"))
+
+
 QUERIES = {
     "q60_posts_table": q60, "q61_post_files": q61, "q62_transcript_files": q62, "q63_document_jsonl": q63, "q64_category_files": q64, "q64_category_hashes": q64b, "q65_event_log_files": q65,
     "q66_elements_and_chunks": q66, "q66_elements_of_one": q66b, "q67_author_jsonl": q67, "q68_folder_ingest": q68, "q69_manifest_upkeep": q69, "q69_incremental_update": q69b, "q69_collection_digest": q69c,
     "q69_hash_fallback": q69d, "q70_stored_vectors": q70, "q71_persona_files": q71, "q72_knowledge_register": q72, "q73_panel_lens": q73, "q74_guest_lookup": q74, "q75_file_audit": q75,
-    "q76_collection_rules": q76, "q77_marked_snippet": q77, "q78_public_views": q78, "q79_persona_benchmark": q79,
+    "q76_collection_rules": q76, "q77_marked_snippet": q77, "q78_public_views": q78, "q79_persona_benchmark": q79, "q80_changes_of_both": q80, "q81_stable_json": q81,
 }
 
 _WORDS = "len(list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> ''))::BIGINT"
@@ -356,6 +373,11 @@ SELECT 'error', 'unknown-document', category_slug || '-' || left(md5(slug), 2) |
     "q77_marked_snippet": f"""WITH {REC}, m AS (SELECT slug, regexp_replace(transcript, '(the)', '<mark>\\1</mark>', 'gi') AS t FROM rec), a AS (SELECT *, strpos(t, '<mark>') - 1 AS at_ FROM m)
 SELECT slug, trim(CASE WHEN at_ < 0 THEN left(t, 160) ELSE substr(t, greatest(0, at_ - 80) + 1, least(length(t), at_ + 136) - greatest(0, at_ - 80)) END) AS snippet FROM a""",
     "q78_public_views": f"WITH {REC}, {EVENTS} SELECT 'document' AS kind, slug AS name FROM rec WHERE author_id = 'src02' UNION ALL SELECT DISTINCT 'backup', source_id || '.bak' FROM good",
+    "q80_changes_of_both": f"""WITH {HALVES}, {BRIDGE}, x AS (SELECT slug, left(sha256(content), 16) AS h FROM st), y AS (SELECT slug, left(sha256(content), 16) AS h FROM nw)
+SELECT 'document' AS kind, coalesce(x.slug, y.slug) AS slug, CASE WHEN x.slug IS NULL THEN 'added' WHEN y.slug IS NULL THEN 'removed' ELSE 'changed' END AS change, x.h AS previous_hash, y.h AS next_hash FROM x FULL JOIN y ON x.slug = y.slug WHERE x.h IS DISTINCT FROM y.h UNION ALL
+SELECT 'category', category_slug, CASE WHEN category_slug = 'toxic-1' THEN 'added' ELSE 'removed' END, CASE WHEN category_slug = 'toxic-0' THEN count(*)::VARCHAR END, CASE WHEN category_slug = 'toxic-1' THEN count(*)::VARCHAR END FROM bridge WHERE category_slug IN ('toxic-0', 'toxic-1') GROUP BY category_slug UNION ALL
+SELECT 'plan', '', 'full', NULL, NULL""",
+    "q81_stable_json": """SELECT o_orderkey, '{"b":"' || o_orderpriority || '","y":{"a":[{"c":' || o_custkey || ',"s":"' || o_orderstatus || '"}],"z":1}}' AS text FROM orders""",
     "q79_persona_benchmark": f"""WITH {REC}, a AS (SELECT count(*) FILTER (author_id = 'src05') = 0 AS q, count(*) FILTER (author_id = 'src04') = 0 AS k FROM rec), r AS (SELECT unnest([
   {{'dimension': 'personaSchema', 'pass': true}}, {{'dimension': 'personaQuality', 'pass': q}}, {{'dimension': 'personaChatReadiness', 'pass': true}}, {{'dimension': 'categoryPanelReadiness', 'pass': true}},
   {{'dimension': 'groupRoomReadiness', 'pass': true}}, {{'dimension': 'standaloneCliReadiness', 'pass': true}}, {{'dimension': 'providerParity', 'pass': true}}, {{'dimension': 'migrationReadiness', 'pass': k}},

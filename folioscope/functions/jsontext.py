@@ -20,6 +20,23 @@ def stable_struct(**fields: Column) -> Column:
     return F.struct(*(fields[k].alias(k) for k in sorted(fields)))
 
 
+def ordered(c: Column, kind: T.DataType) -> Column:
+    """A value with the keys of its objects in order, however deep; arrays stay as they are."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*(ordered(c[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: ordered(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), ordered(e["value"], kind.valueType).alias("value")))))
+    return c
+
+
+def stable_text(df: DataFrame, *columns: str) -> Column:
+    """The named columns of ``df`` as one JSON object with keys in order at every depth, null ones left out."""
+    return F.to_json(F.struct(*(ordered(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(columns))))
+
+
 LEAF = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])
 
 

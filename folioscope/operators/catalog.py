@@ -121,6 +121,12 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("slug", change.alias("change"), "previous_hash", "next_hash").where("change is not null")
 
 
+def collection_diff(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``diff`` of the documents and of the categories of two states, each (documents, categories), with ``kind``."""
+    parts = [diff(a, b).select(F.lit(kind).alias("kind"), "*") for kind, a, b in zip(("document", "category"), before, after, strict=True)]
+    return parts[0].unionByName(parts[1])
+
+
 def changeset(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """(slug, title, action, previous_hash, next_hash) for each incoming row (slug, title, hash, ord).
 

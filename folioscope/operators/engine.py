@@ -60,9 +60,10 @@ class IndexEngine:
     def open(cls, spark: SparkSession, root: str, key: str | None = None) -> IndexEngine | None:
         """The index under ``root``; none if there is none, or one of another format or key."""
         root = root.rstrip("/")
-        if not storage.exists(spark, f"{root}/state"):
+        last = storage.last_version(spark, f"{root}/state")
+        if not last:
             return None
-        state = json.loads(spark.read.schema("version long, value string").parquet(f"{root}/state").orderBy(F.desc("version")).first()["value"])
+        state = json.loads(storage.read_text(spark, f"{root}/state/{last:08d}"))
         return cls(spark, root, state) if state["format"] == FORMAT and key in (None, state["key"]) else None
 
     def _segment(self, docs: DataFrame) -> str:
@@ -79,11 +80,7 @@ class IndexEngine:
     def _with(self, segment: str, key: str, only: bool = False) -> IndexEngine:
         kept = [] if only else self.state["segments"]
         state = self.state | {"key": key, "segments": [*kept, segment]}
-        rows = self.spark.createDataFrame([(len(state["segments"]) if not only else 1, json.dumps(state))], "version long, value string")
-        version = 0
-        if storage.exists(self.spark, f"{self.root}/state"):
-            version = self.spark.read.schema("version long, value string").parquet(f"{self.root}/state").agg(F.max("version")).first()[0]
-        rows.withColumn("version", F.lit(version + 1).cast("long")).coalesce(1).write.mode("append").parquet(f"{self.root}/state")
+        storage.write_text(self.spark, f"{self.root}/state/{storage.last_version(self.spark, f'{self.root}/state') + 1:08d}", json.dumps(state))
         engine = IndexEngine(self.spark, self.root, state)
         return engine.merge(key) if len(state["segments"]) > MOST_SEGMENTS else engine
 

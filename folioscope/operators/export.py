@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsontext as J
 from ..functions import text as T
+from ..workers import importable
 
 
 def export_documents(documents: DataFrame) -> DataFrame:
@@ -22,28 +28,66 @@ def export_documents(documents: DataFrame) -> DataFrame:
 def export_manifest(exported: DataFrame, events: DataFrame | None = None, generated_at: str | None = None) -> DataFrame:
     """Per source the counts and the four checksums.
 
-    What is gathered per source is checksums and titles, not texts. The bundle's checksum is over the
+    A checksum is over the documents' entries one after another, so a source's entries pass through one task in
+    order and are hashed as they pass: nothing is gathered. The bundle's checksum is over the
     other three, and the time of the export is in none of them.
     """
     entry = J.stable_struct(slug=F.col("slug"), checksum=F.col("checksum"), contentBytes=F.col("content_bytes"))
     origin = J.stable_struct(slug=F.col("slug"), title=F.col("title"), sourceId=F.col("source_id"), sourceType=F.col("source_type"), checksum=F.col("checksum"), originalUrl=F.col("original_url"))
-    rows = exported.groupBy("source_id", "source_type").agg(
-        F.count("*").alias("document_count"), F.sum("content_bytes").alias("content_bytes"),
-        F.array_sort(F.collect_list(F.struct("slug", entry.alias("x")))).alias("entries"), F.array_sort(F.collect_list(F.struct("slug", origin.alias("x")))).alias("origins"),
-    )
-    plain = lambda c: F.transform(c, lambda e: e["x"])
-    rows = rows.withColumn("document_set_checksum", F.sha2(J.stable_json(sourceId=F.col("source_id"), documentChecksums=plain("entries"), contentBytes=F.col("content_bytes")), 256))
-    rows = rows.withColumn("provenance_checksum", F.sha2(J.stable_json(sourceId=F.col("source_id"), sourceType=F.col("source_type"), manifestGeneratedAt=F.lit(generated_at).cast("string"), documents=plain("origins")), 256))
-    if events is None:
-        rows = rows.withColumn("history_checksum", F.lit(None).cast("string")).withColumn("history_included", F.lit(False))
-    else:
+    rows = exported.groupBy("source_id", "source_type").agg(F.count("*").alias("document_count"), F.sum("content_bytes").alias("content_bytes"))
+    text = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    part = lambda df, which, pos, order, piece: df.select("source_id", F.lit(which).alias("which"), F.lit(pos).alias("pos"), order.alias("ord"), piece.alias("piece"))
+    none, source = F.array().cast("array<string>"), F.concat(F.lit('"sourceId":'), text(F.col("source_id")))
+    made = F.lit("" if generated_at is None else f'"manifestGeneratedAt":{json.dumps(generated_at)},')
+    parts = [
+        part(rows, "set", 0, none, F.concat(F.lit('{"contentBytes":'), F.col("content_bytes").cast("string"), F.lit(',"documentChecksums":['))),
+        part(exported, "set", 1, F.array("slug", F.to_json(entry)), F.to_json(entry)), part(rows, "set", 2, none, F.concat(F.lit("],"), source, F.lit("}"))),
+        part(rows, "origin", 0, none, F.lit('{"documents":[')), part(exported, "origin", 1, F.array("slug", F.to_json(origin)), F.to_json(origin)),
+        part(rows, "origin", 2, none, F.concat(F.lit("],"), made, source, F.lit(',"sourceType":'), text(F.col("source_type")), F.lit("}"))),
+    ]
+    sums = {"set": "document_set_checksum", "origin": "provenance_checksum"}
+    if events is not None:
         said = J.stable_struct(sourceId=F.col("source_id"), action=F.col("action"), at=F.col("at"), documentCount=F.col("document_count").cast("long"))
-        logs = events.groupBy(F.col("source_id").alias("s")).agg(F.array_sort(F.collect_list(F.struct("at", "action", F.col("document_count").alias("n"), said.alias("x")))).alias("log"))
-        rows = rows.join(logs, F.col("source_id") == F.col("s"), "left").drop("s")
-        none = F.array().cast(dict(rows.dtypes)["log"])
-        rows = rows.withColumn("history_checksum", F.sha2(J.stable_json(events=plain(F.coalesce("log", none))), 256)).withColumn("history_included", F.lit(True)).drop("log")
+        own = events.join(rows.select("source_id"), "source_id", "left_semi")
+        parts += [part(rows, "log", 0, none, F.lit('{"events":[')), part(own, "log", 1, F.array("at", "action", F.format_string("%020.3f", F.col("document_count").cast("double"))), F.to_json(said)), part(rows, "log", 2, none, F.lit("]}"))]
+        sums["log"] = "history_checksum"
+    pieces = parts[0]
+    for more in parts[1:]:
+        pieces = pieces.unionByName(more)
+    found = _digests(pieces).groupBy("source_id").pivot("which", list(sums)).agg(F.first("sha256"))
+    rows = rows.join(found.select("source_id", *(F.col(k).alias(v) for k, v in sums.items())), "source_id")
+    rows = rows.withColumn("history_included", F.lit(events is not None))
+    if events is None:
+        rows = rows.withColumn("history_checksum", F.lit(None).cast("string"))
     bundle = J.stable_json(sourceId=F.col("source_id"), documentSetChecksum=F.col("document_set_checksum"), historyIncluded=F.col("history_included"), historyChecksum=F.col("history_checksum"), provenanceChecksum=F.col("provenance_checksum"))
-    return rows.withColumn("bundle_checksum", F.sha2(bundle, 256)).drop("entries", "origins")
+    return rows.withColumn("bundle_checksum", F.sha2(bundle, 256))
+
+
+def _digests(pieces: DataFrame) -> DataFrame:
+    """(source_id, which, sha256) of the pieces (source_id, which, pos, ord, piece) of each text, in order, with commas between those at 1."""
+    importable(pieces.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, last = None, None, 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (*own, state.hexdigest())], ["source_id", "which", "sha256"])
+
+        for batch in batches:
+            for source, which, pos, piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (source, which) != own:
+                    if own is not None:
+                        yield out()
+                    own, state, last = (source, which), hashlib.sha256(), 0
+                if last == pos == 1:
+                    state.update(b",")
+                state.update((piece or "").encode())
+                last = pos
+        if own is not None:
+            yield out()
+
+    ordered = pieces.repartition("source_id", "which").sortWithinPartitions("source_id", "which", "pos", "ord")
+    return ordered.select("source_id", "which", "pos", "piece").mapInArrow(run, "source_id string, which string, sha256 string")
 
 
 def export_markdown(exported: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -108,16 +108,19 @@ def elements(df: DataFrame, id_col: str, text_col: str, file_col: str | None = N
 
     A fence turns code on or off and is code itself; then headings, list items, table rows and
     paragraphs. Blank lines, also in code, are no elements; elements are numbered without them. All of
-    it happens inside the row, so a text's lines need no window.
+    it happens inside the row, so a text's lines need no window: what lies between fences is a string of marks, one a
+    line, and every second string stands for code.
     """
     raw = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n")
     numbered = F.filter(F.transform(raw, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("bare"))), lambda x: x["bare"] != "")
     rows = df.select(F.col(id_col).alias("doc_id"), (F.col(file_col) if file_col else F.lit(None).cast("string")).alias("source_file"), numbered.alias("rows"))
-    rows = rows.withColumn("fences", F.filter(F.transform("rows", lambda x, i: F.when(x["bare"].startswith("```"), i)), lambda x: x.isNotNull()))
-    each = rows.select("doc_id", "source_file", "fences", F.posexplode("rows").alias("i", "r"))
-    inside = F.size(F.filter("fences", lambda f: f <= F.col("i"))) % 2 == 1
+    marks = F.array_join(F.transform("rows", lambda x: F.when(x["bare"].startswith("```"), "f").otherwise("-")), "")
+    between = F.transform(F.split(marks, "f"), lambda x, k: F.when(k % 2 == 1, F.translate(x, "-", "c")).otherwise(x))
+    rows = rows.withColumn("marks", F.split(F.array_join(between, "f"), ""))
+    marked = F.transform("rows", lambda x, i: F.struct(F.get("marks", i).alias("mark"), x["line"].alias("line"), x["text"].alias("text"), x["bare"].alias("bare")))
+    each = rows.select("doc_id", "source_file", F.posexplode(marked).alias("i", "r"))
     bare = F.col("r.bare")
-    kind = F.when(inside | bare.startswith("```"), "code").when(bare.startswith("#"), "heading").when(bare.rlike(r"^[-*]\s+"), "list").when(bare.contains("|"), "table").otherwise("paragraph")
+    kind = F.when(F.col("r.mark") != "-", "code").when(bare.startswith("#"), "heading").when(bare.rlike(r"^[-*]\s+"), "list").when(bare.contains("|"), "table").otherwise("paragraph")
     return each.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":e"), F.col("i") + 1).alias("element_id"), kind.alias("kind"), F.col("r.text").alias("text"), "source_file", F.col("r.line").alias("line_start"), F.col("r.line").alias("line_end"))
 
 

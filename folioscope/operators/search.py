@@ -159,6 +159,11 @@ def results(source, search: Search, categories: DataFrame | None = None) -> Data
     return matches(source, search, categories) if isinstance(source, DataFrame) else source.matches(search, categories)
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """(slug, score) of all results, which are at most FIELD_CAP a field, worked out once."""
+    return rows.sparkSession.createDataFrame(rows.select("slug", "score").collect(), "slug string, score double")
+
+
 def results_page(source, search: Search, categories: DataFrame | None = None) -> DataFrame:
     """A page's rows with their texts."""
     rows = page(results(source, search, categories), search)
@@ -200,14 +205,13 @@ def reranked_page(source, wanted: Search, categories: DataFrame | None, reranker
     and not in the middle of a job of the caller's.
     """
     rows = results(source, wanted, categories)
-    names, kind = ["slug", "score"], "slug string, score double, reranked boolean, rank int"
-    scores = rows.sparkSession.createDataFrame(rows.select(*names).collect(), "slug string, score double")
+    kind, scores = "slug string, score double, reranked boolean, rank int", gathered(rows)
     try:
         order = reranker(scores).select("slug", "score", "reranked", F.col("rank").cast("int").alias("rank")).collect()
         applied, reason = True, None
     except Exception as e:  # whatever a provider raises leaves the order of the keywords
         window = Window.orderBy(F.desc("score"), "slug")
-        order = scores.select(*names, F.lit(False), F.row_number().over(window)).collect()
+        order = scores.select("slug", "score", F.lit(False), F.row_number().over(window)).collect()
         applied, reason = False, type(e).__name__
     offset, limit = wanted.window()
     chosen = rows.sparkSession.createDataFrame([r for r in order if offset < r[3] <= offset + limit], kind).drop("reranked")

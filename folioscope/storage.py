@@ -40,6 +40,37 @@ def rename(spark: SparkSession, path: str, to: str) -> bool:
     return fs.rename(where, _path(spark, to)[1])
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, read by the driver."""
+    fs, where = _path(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all; one of that name is an error."""
+    fs, where = _path(spark, path)
+    part = _path(spark, f"{path}.part")[1]
+    stream = fs.create(part, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    if fs.exists(where) or not fs.rename(part, where):
+        raise FileExistsError(path)
+
+
+def last_version(spark: SparkSession, folder: str) -> int:
+    """The greatest of the files under ``folder`` that are named by eight digits, 0 if there is none."""
+    fs, where = _path(spark, folder)
+    if not fs.exists(where):
+        return 0
+    return max((int(n) for f in fs.listStatus(where) if re.fullmatch(r"\d{8}", n := f.getPath().getName())), default=0)
+
+
 def fingerprint(rows: DataFrame) -> str:
     """A digest of the files that a DataFrame reads: names, sizes and times of change."""
     spark = rows.sparkSession
