@@ -10,8 +10,8 @@ A source of fewer than ``SMALL`` blocks would get far less than its target so, o
 block is short, and its slots are few. It is taken word by word: as many turns of one word as its
 target has words, in order and again from the first, spread evenly over the schedule.
 
-Bounds. A source may hold most rows: places within a source are sums over 4,096 ranges of the
-shuffled order, and then within a range; ranks of slots are counts over stretches of slots, and
+Bounds. A source may hold most rows: places within a source are sums over ranges of the
+shuffled order, as many as sorting all rows takes, and then within a range; ranks of slots are counts over stretches of slots, and
 then within a stretch. No window holds a whole source. One row per source (and range or stretch) is
 all that is ever ordered in one place.
 """
@@ -77,15 +77,21 @@ def targets(rows: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFr
 
 
 def places(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``start``: the words before the row in its source's shuffled order."""
-    rows = rows.withColumn("range", F.substring("place", 1, 3))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    """``rows`` with ``start``: the words before the row in its source's shuffled order.
+
+    All rows are ordered by source and place in ranges, which grow in number with the rows; a source's places are sums
+    over its ranges, and then within a range. Rows of one place (null or repeated ids) stand in order of size, and may be in several ranges.
+    """
+    tie = F.xxhash64(F.monotonically_increasing_id())  # equal rows can stand in any order
+    ranges = cut(rows.orderBy(F.col("source").isNull(), "source", "place", F.col("id").isNull(), "id", "size", tie))
+    ranges = ranges.withColumns({"range": F.spark_partition_id(), "nth": F.monotonically_increasing_id()})
+    sums = ranges.groupBy("source", "range").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "range").orderBy("place", F.col("id").isNull(), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["range"] == sums["r"]))
-    return joined.withColumn("start", F.col("base") + F.col("inner")).drop("s", "r", "base", "inner", "range")
+    inside = Window.partitionBy("source", "range").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    joined = placed.join(sums, placed["source"].eqNullSafe(sums["s"]) & (placed["range"] == sums["r"]))
+    return joined.withColumn("start", F.col("base") + F.col("inner")).drop("s", "r", "base", "inner", "range", "nth")
 
 
 def schedule(shares: DataFrame, block: int = BLOCK, cap: int = CAP) -> DataFrame:
