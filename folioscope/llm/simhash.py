@@ -13,7 +13,8 @@ Bounds. Equal fingerprints are one node, so copies cost one row. A key's rows ar
 order. Groups of more than ``SMALL`` rows link by a search that takes each node out once (links no
 more than nodes, never all pairs); rows that stand there by a bit set are linked among each other
 under their own key, so that one link joins each tree of them. Groups of more than ``HOT`` rows are
-passed on and dealt out as pairs of blocks of ``HOT`` rows, of which each gives what joins the two.
+passed on and met again on keys of three segments, of which there are 256 times as many or more; what is
+crowded even then, near copies by the thousand, is dealt out as pairs of blocks of ``HOT`` rows, of which each gives what joins the two.
 No link is lost in either way, and all pairs are held to the chains before the whole distance.
 
 ``keep_one`` takes the components of such links for groups of candidates only, and looks at the
@@ -137,6 +138,31 @@ class Ring:
                 rows.append(zero)
         return np.concatenate(keys).astype(np.int64), np.concatenate(flipped), np.concatenate(rows)
 
+    def deeper(self, keys: np.ndarray, flipped: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of crowded keys under keys that have the third segment, too: key, whether a bit was set, row.
+
+        Pairs that agree in the first two segments may differ in two bits of the third, and meet where each stands
+        with none or one of its bits turned; pairs that differ in one bit already may differ in one more, which the
+        side with the bit set turns.
+        """
+        keys_, flips, rows = [], [], []
+        start = (keys >> 56).astype(np.int64)
+        for i in range(self.segments):
+            own = np.flatnonzero(start == i)
+            if not len(own):
+                continue
+            third, bits, turned = self.value(prints[own], i + 2), self.parts[(i + 2) % self.segments][2], flipped[own]
+            for b in range(-1, bits):
+                value = third ^ np.uint64(1 << b) if b >= 0 else third
+                for kind, at in ((0, np.flatnonzero(~turned)), (1, np.flatnonzero(turned | (b < 0)))):
+                    if len(at):
+                        x = keys[own[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (value[at] << np.uint64(1)) + np.uint64(kind)
+                        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                        keys_.append((np.uint64(i) << np.uint64(56)) | ((x ^ (x >> np.uint64(27))) >> np.uint64(8)))
+                        flips.append(turned[at])
+                        rows.append(own[at])
+        return np.concatenate(keys_).astype(np.int64), np.concatenate(flips), np.concatenate(rows)
+
     def linked(self, a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Which pairs keep to the budgets of runs from the segment in the key, then to the radius."""
         apart = a ^ b
@@ -313,13 +339,26 @@ def links(nodes: DataFrame, width: int = 64, radius: int = 4, hot: int = HOT) ->
                 raw = pa.array(_bytes(prints), pa.binary()).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(flipped), pa.array(np.zeros(len(keys), np.int32)), raw], ["key", "flipped", "side", "fingerprint"])
 
+    def deepen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                raw = part.column(2)
+                prints = np.frombuffer(b"".join(raw.to_pylist()), ">u8").astype(np.uint64).reshape(-1, width // 64)
+                keys, flipped, rows = ring.deeper(part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False), prints)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(flipped), pa.array(np.zeros(len(keys), np.int32)), raw.take(pa.array(rows))], ["key", "flipped", "side", "fingerprint"])
+
     named = [F.lower(F.hex(c)).alias(c) for c in ("a", "b")]
-    met = nodes.select("fingerprint").mapInArrow(spread, KEYED).repartition("key").sortWithinPartitions("key", "flipped")
-    found = cut(met.mapInArrow(_linker(ring, hot), LINKS))
-    edges = found.where("b is not null").select(*named)
-    passed = found.where("b is null").select("key", "flipped", F.col("a").alias("fingerprint"))
-    if passed.isEmpty():
-        return edges
+    keyed, edges = nodes.select("fingerprint").mapInArrow(spread, KEYED), None
+    for _ in range(2):
+        met = keyed.repartition("key").sortWithinPartitions("key", "flipped")
+        found = cut(met.mapInArrow(_linker(ring, hot), LINKS))
+        more = found.where("b is not null").select(*named)
+        edges = more if edges is None else edges.unionByName(more)
+        passed = found.where("b is null").select("key", "flipped", F.col("a").alias("fingerprint"))
+        if passed.isEmpty():
+            return edges
+        keyed = passed.mapInArrow(deepen, KEYED)
     blocks = passed.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
     dealt = passed.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))

@@ -78,11 +78,12 @@ def test_links(spark, hot):
     assert len(set(zip(want, named, strict=True))) == len(set(want)) == len(set(named))
 
 
-def test_wide_links(spark):
+@pytest.mark.parametrize("hot", [4, 4096])
+def test_wide_links(spark, hot):
     rng = random.Random(6)
     prints = sorted({c ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 15))) for c in [rng.getrandbits(128) for _ in range(30)] for _ in range(5)})
     nodes = spark.createDataFrame([(f"{p:032x}",) for p in prints], "fingerprint string")
-    roots = {r["node"]: r["root"] for r in components.connected_components(simhash.links(nodes, 128, 15)).collect()}
+    roots = {r["node"]: r["root"] for r in components.connected_components(simhash.links(nodes, 128, 15, hot)).collect()}
     named = [roots.get(f"{p:032x}", f"{p:032x}") for p in prints]
     want = groups(prints, 15)
     assert len(set(zip(want, named, strict=True))) == len(set(want)) == len(set(named))
