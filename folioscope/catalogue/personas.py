@@ -19,7 +19,7 @@ QUESTION = "What matters?"
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", F.concat("source", F.lit(".md")).alias("file"))
     rows = I.elements(docs, "doc_id", "text", "file")
-    return I.chunks(rows, "line_start", bucket=F.floor(F.col("doc_id") / 256))
+    return I.chunks(rows, "line_start")
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:

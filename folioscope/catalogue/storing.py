@@ -124,8 +124,7 @@ def q66(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "elements")
     files.write_elements(_elements(spark, sf_dir), f"{path}/elements")
     rows = files.read_elements(spark, f"{path}/elements")
-    bucket = F.floor(F.col("doc_id") / 256)
-    I.chunks(rows, "line_start", bucket=bucket).write.parquet(f"{path}/chunks")
+    I.chunks(rows, "line_start").write.parquet(f"{path}/chunks")
     return spark.read.parquet(f"{path}/chunks").select("doc_id", "chunk_id", T.short_hash(F.col("text")).alias("text_hash"))
 
 
@@ -213,7 +212,7 @@ def q71(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     people = authors.select("author_id", F.upper("author_id").alias("display_name"), F.lit("Speaks plainly").alias("tagline"), F.array(F.lit("vc")).alias("categories"), none.alias("primary_category"), F.array(F.lit("calm"), F.lit("brief")).alias("voice_traits"), F.array().cast("array<string>").alias("caveats"))
     people = P.tag(people, ["tech", "vc"], list(L.CATEGORIES), "tech")
-    chunks = I.chunks(_elements(spark, sf_dir), "line_start", bucket=F.floor(F.col("doc_id") / 256))
+    chunks = I.chunks(_elements(spark, sf_dir), "line_start")
     docs = C.records(spark, sf_dir).select("doc_id", "author_id")
     claims = P.claims(chunks.join(docs, "doc_id"), "author_id", "doc_id", "line_start")
     text = L.render(people, claims)

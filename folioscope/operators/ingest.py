@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..workers import importable
+from .ranges import with_sum_before
 
 OVERSIZE = 8000
 SECTION = "ord int, title string, body string"
@@ -124,23 +125,17 @@ def elements(df: DataFrame, id_col: str, text_col: str, file_col: str | None = N
     return each.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":e"), F.col("i") + 1).alias("element_id"), kind.alias("kind"), F.col("r.text").alias("text"), "source_file", F.col("r.line").alias("line_start"), F.col("r.line").alias("line_end"))
 
 
-def chunks(rows: DataFrame, *order: str, bucket: Column | None = None) -> DataFrame:
+def chunks(rows: DataFrame, *order: str) -> DataFrame:
     """Elements with text as chunks, numbered over all documents in order of ``doc_id``.
 
-    The number is made of sums: documents before within a bucket, and buckets before. ``bucket`` has to
-    rise with ``doc_id`` (a number divided and floored, a prefix); without one all documents' counts, though
-    not their elements, are ordered in one place.
+    The number is an element's place in its document and the elements of the documents before, which are summed
+    over the documents' counts; the elements themselves are only ordered within their document.
     """
     kept = rows.where(F.trim("text") != "")
     inner = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    if bucket is None:
-        kept, bucket = kept.withColumn("bucket_of_all", F.lit(0)), F.col("bucket_of_all")
-    counts = kept.withColumn("b", bucket).groupBy("b", F.col("doc_id").alias("d")).agg(F.count("*").alias("n"))
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    buckets = counts.groupBy(F.col("b").alias("bb")).agg(F.sum("n").alias("m"))
-    earlier = F.coalesce(F.sum("m").over(Window.orderBy("bb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("b", "d", within.alias("within")).join(buckets.select("bb", earlier.alias("earlier")), F.col("b") == F.col("bb"))
-    numbered = kept.withColumn("inner", inner).join(starts.select("d", (F.col("within") + F.col("earlier")).alias("before")), F.col("doc_id") == F.col("d"))
+    counts = kept.groupBy(F.col("doc_id").alias("d")).agg(F.count("*").alias("n"))
+    starts = with_sum_before(counts, [F.col("d")], "n")
+    numbered = kept.withColumn("inner", inner).join(starts.select("d", "before"), F.col("doc_id") == F.col("d"))
     return numbered.select("doc_id", "element_id", F.concat("element_id", F.lit(":c"), (F.col("before") + F.col("inner")).cast("string")).alias("chunk_id"), "text", "source_file", "line_start", "line_end")
 
 

@@ -6,8 +6,11 @@ import os
 import re
 from pathlib import Path
 
+# What may be imported, and what ids are.
 LARGEST_IMPORT = 20 << 20
 IMPORT_KINDS = (".md", ".jsonl")
+SOURCE_ID = r"author:[A-Za-z0-9][A-Za-z0-9._-]{0,127}"
+AUTHOR_ID = r"[a-z0-9]+(-[a-z0-9]+)*"
 
 
 def inside(root: str, candidate: str, must_exist: bool = True) -> Path:
@@ -32,12 +35,12 @@ def import_file(root: str, name: str) -> Path:
 
 def source_id(text: str) -> str:
     """``author:`` and a name of letters, digits, dots, underscores and hyphens, at most 128."""
-    if not re.fullmatch(r"author:[A-Za-z0-9][A-Za-z0-9._-]{0,127}", text):
+    if not re.fullmatch(SOURCE_ID, text):
         raise ValueError(f"no source id: {text}")
     return text
 
 
 def author_id(text: str) -> str:
-    if not re.fullmatch(r"[a-z0-9]+(-[a-z0-9]+)*", text):
+    if not re.fullmatch(AUTHOR_ID, text):
         raise ValueError(f"author ids are lower-case words joined by hyphens: {text}")
     return text
