@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality
-from .support import table
+from .support import spread, table
 
 
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, scored by a model fitted on the table of labels."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")))
     return quality.scored(docs, model).withColumnRenamed("id", "doc_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .support import table
+from .support import spread, table
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n_passages: runs of more than 50 words that strings of 256 bytes cover in the same way; these stay.
     """
-    found = repeats.cleaned(table(spark, sf_dir, "documents"))
+    found = repeats.cleaned(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", F.size("passages").cast("long").alias("n_passages"))
 

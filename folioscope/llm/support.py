@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in as many parts as there are cores, if it has fewer: what Python does to a table of one row group is
+    else one task's. Tables of any size have more parts than that and aren't shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and make sure that checkpoint() has a folder.
 
