@@ -38,7 +38,7 @@ from .support import LOWER_TABLE, cut, prepare
 HOT = 4096  # rows of one key that a task holds; more are dealt out in blocks
 SMALL = 32  # up to so many rows of a key, all pairs are looked at in one vector step
 CHUNK = 1 << 15  # shingles hashed at a time, so that a very long text needs no more memory
-HELD = 256  # texts of a block whose shingles are compared; larger groups are dealt out in pairs of blocks
+HELD = 256  # texts of a block whose shingles are compared; larger groups are dealt out in blocks
 SHINGLE = 5  # words
 ALIKE = 0.8
 FLUSH = 200_000  # nodes that a task's union-find holds before it hands out its stars
@@ -471,24 +471,34 @@ def _alike(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
 
 
 def _confirmer(least: float):
-    """Streams rows (key, digest, shingles) in key order; gives stars of the links of each key."""
+    """Streams rows (key, digest, hub, shingles) in key order; gives stars of the links of each key, and (text, null)
+    of texts in the tree of the largest tree of the key's hub, which is the same for all keys of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, key, held = Forest(), None, {}
+        forest, key, held, hub, main = Forest(), None, {}, [], []
 
         def close() -> None:
-            names = list(held)
-            for x, y in _alike(list(held.values()), least) if len(held) > 1 else ():
+            names, sets = list(held), list(held.values())
+            for x, y in _alike(sets, least) if len(held) > 1 else ():
                 forest.join(names[x], names[y])
+            if hub:
+                own = Forest()
+                for x, y in _alike([held[n] for n in hub], least):
+                    own.join(hub[x], hub[y])
+                sizes = Counter(map(own.find, hub))
+                tree = forest.find(min(sizes, key=lambda x: (-sizes[x], x)))
+                main.extend(n for n in names if forest.find(n) == tree)
 
         for batch in batches:
-            for k, digest, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for k, digest, own, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if k != key:
                     close()
-                    key, held = k, {}
+                    key, held, hub = k, {}, []
                 held[digest] = np.frombuffer(raw, np.uint64)
+                if own:
+                    hub.append(digest)
         close()
-        stars = forest.stars()
+        stars = forest.stars() + [(n, None) for n in main]
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in stars], pa.string()), pa.array([b for _, b in stars], pa.string())], ["a", "b"])
 
     return run
@@ -497,7 +507,12 @@ def _confirmer(least: float):
 def confirmed(texts: DataFrame, groups: DataFrame, least: float = ALIKE, size: int = SHINGLE, held: int = HELD) -> DataFrame:
     """``texts(id, digest, text)``, ``groups(id, node, root)`` with each digest once, as node, and one of its
     ids, which tells its copies apart; returns ``(a, b)`` of which the components are those of all pairs of one group that are ``least`` alike or more in their
-    ``size``-word shingles. Groups of more than ``held`` texts are dealt out as pairs of blocks."""
+    ``size``-word shingles.
+
+    Groups of more than ``held`` texts are dealt out in blocks. First each block meets block 0. Texts that are
+    then in the tree of block 0's largest tree are joined already; only the others meet all blocks, so that rows
+    grow with the texts of a group times the blocks of those others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -512,11 +527,31 @@ def confirmed(texts: DataFrame, groups: DataFrame, least: float = ALIKE, size: i
     met = texts.join(groups, texts["id"].eqNullSafe(groups["of"]) & (texts["digest"] == groups["node"]))
     met = met.groupBy("root", "digest").agg(F.first("text").alias("text"))
     sets = cut(met.mapInArrow(run, "root string, digest string, shingles binary"))
-    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    dealt = sets.join(blocks, "root").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    key = F.concat_ws("/", "root", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(key.alias("key"), "digest", "shingles").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_confirmer(least), "a string, b string")
+    hash_ = F.xxhash64("digest")
+    own = F.pmod(hash_, F.col("blocks")).cast("int")
+    ends = F.expr("if(own = 0, sequence(least(1, blocks - 1), blocks - 1), array(own))")  # block 0 is in every task
+    dealt = sets.join(blocks, "root").withColumn("own", own).withColumn("end", F.explode(ends)).withColumn("hub", F.expr("own = 0 and blocks > 2"))
+    found = cut(_compared(dealt.select(F.concat_ws("/", "root", "end").alias("key"), "digest", "hub", "shingles"), least))
+    first = found.where("b is not null")
+    wide = blocks.where("blocks > 2")
+    if wide.isEmpty():
+        return first
+    main = found.where("b is null").select(F.col("a").alias("digest")).distinct().withColumn("main", F.lit(True))
+    rows = cut(sets.select("root", "digest").join(wide.select("root"), "root").join(main, "digest", "left"))
+    sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.count_if(F.col("main").isNull()).alias("loose")).where("loose > 0")
+    several = cut(sizes.select("root", *(F.ceil(F.col(n) / held).cast("int").alias(name) for n, name in (("n", "blocks"), ("loose", "rests")))))
+    if several.isEmpty():
+        return first
+    rows = sets.join(rows, ["root", "digest"]).join(several, "root").withColumn("hub", F.lit(False))
+    rest = F.pmod(hash_, F.col("rests")).cast("int")
+    every = rows.withColumn("block", own).withColumn("rest", F.explode(F.expr("sequence(0, rests - 1)")))
+    loose = rows.where("main is null").withColumn("rest", rest).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = every.unionByName(loose).select(F.concat_ws("/", "root", "rest", "block").alias("key"), "digest", "hub", "shingles")
+    return first.unionByName(_compared(dealt, least).where("b is not null"))
+
+
+def _compared(dealt: DataFrame, least: float) -> DataFrame:
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_confirmer(least), "a string, b string")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1, width: int = 128, radius: int = 15, least: float = ALIKE, held: int = HELD) -> DataFrame:
@@ -537,14 +572,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     prints = cut(both)
     none = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     nodes = cut(prints.groupBy("digest").agg(F.min("fingerprint").alias("plain"), F.min("counted").alias("counted"), F.min(none).alias("first")))
-    joined = nodes
-    for kind in ("plain", "counted"):
-        met = connected_components(links(nodes.select(F.col(kind).alias("fingerprint")).distinct(), width, radius))
-        joined = joined.join(met.select(F.col("node").alias(kind), F.col("root").alias(f"{kind}_root")), kind, "left")
     # a text joins its group by the one fingerprint and its group by the other
-    ends = [F.concat(F.lit(f"{kind} "), F.coalesce(f"{kind}_root", kind)) for kind in ("plain", "counted")]
-    joined = cut(joined.select("digest", F.col("first.id").alias("id"), ends[0].alias("a"), ends[1].alias("b")))
-    roots = connected_components(joined.select("a", "b")).withColumnRenamed("node", "a")
+    joined = cut(nodes.select("digest", F.col("first.id").alias("id"), *(F.concat(F.lit(f"{kind} "), kind).alias(end) for kind, end in (("plain", "a"), ("counted", "b")))))
+    edges = joined.select("a", "b")
+    for kind in ("plain", "counted"):
+        met = links(nodes.select(F.col(kind).alias("fingerprint")).distinct(), width, radius)
+        edges = edges.unionByName(met.select(*(F.concat(F.lit(f"{kind} "), end).alias(end) for end in ("a", "b"))))
+    roots = connected_components(edges).withColumnRenamed("node", "a")
     groups = cut(joined.join(roots, "a").select("id", F.col("digest").alias("node"), "root"))
     exact = confirmed(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), text.alias("text")), groups, least, held=held)
     roots = connected_components(exact).withColumnRenamed("node", "digest")

@@ -177,6 +177,36 @@ def test_only_copies_of_eight_tenths_go(spark, held):
     assert got == want and {32, 33, 34, 35} <= want and 36 not in want
 
 
+@pytest.mark.parametrize("held", [2, 5, 256])
+def test_groups_of_many_blocks(spark, held):
+    """One group of candidates, made by hand, of one large tree, smaller ones, chains and texts by themselves."""
+    rng = random.Random(held)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+
+    def near(own):
+        out = list(own)
+        out[rng.randrange(len(out))] = word()
+        return out
+
+    texts = []
+    for n in (40, 7, 2, 1, 1):
+        own = [word() for _ in range(120)]
+        texts += [near(own) for _ in range(n)]
+    chain = [word() for _ in range(120)]
+    for _ in range(12):  # neighbours are alike, ends aren't
+        chain = near(chain)
+        texts.append(chain)
+    texts = [" ".join(t) for t in texts]
+    digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    rows = spark.createDataFrame(list(zip(range(len(texts)), digests, texts, strict=True)), "id long, digest string, text string")
+    group = rows.selectExpr("id", "digest AS node", "if(id = 50, 'other', 'all') AS root")
+    links = simhash.confirmed(rows, group, held=held)
+    root = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
+    found = [root.get(d, d) for d in digests]
+    want = jaccard_kept(texts)
+    assert len(set(found)) == len(want) and len({found[i] for i in want}) == len(want)
+
+
 def passages(seed):
     rng = random.Random(seed)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(n))
