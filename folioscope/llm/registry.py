@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_urlfilter", "q_mixing", "q_multiindex", "q_repeats", "q_sharding", "q_quality", "q_tokencount", "q_warc", "q_decontam", "q_simhash", "q_fim", "q_filteraudit"]
+MODULES = ["q_urlfilter", "q_mixing", "q_multiindex", "q_repeats", "q_sharding", "q_quality", "q_tokencount", "q_warc", "q_decontam", "q_simhash", "q_pages", "q_fim", "q_filteraudit"]
 
 
 def _modules():
