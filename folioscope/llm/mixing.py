@@ -1,14 +1,14 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
 Documents of a source stand in a shuffled order (MD5 of their id), are laid end to end and cut into
-blocks of ``block`` words. Slot i of the schedule is the golden-ratio point frac((i + 1/2) / phi),
-mapped through the cumulative targets to a source; the slots of a source are ranked, and slot
-number r takes the source's block r modulo its number of blocks. Any stretch of the schedule is
-near the target weights, and a source's blocks are taken equally often, to one.
+equal blocks, of ``block`` words in a source of many words and of fewer in others, so that each has
+``LEAST`` blocks or blocks of one word. Slot i of the schedule is the golden-ratio point i * ``STEP`` modulo
+2^60, an integer, so that points stay distinct and even at any number of slots; cumulative targets, in blocks, map it
+to a source. The slots of a source are ranked, and slot number r takes the source's block r modulo its
+number of blocks, until the target is reached: sources of all sizes come to within half a block of theirs.
+Any stretch of the schedule is near the target weights, and a source's blocks are taken equally often, to one.
 
-A source of fewer than ``SMALL`` blocks would get far less than its target so, or nothing: its last
-block is short, and its slots are few. It is taken word by word: as many turns of one word as its
-target has words, in order and again from the first, spread evenly over the schedule.
+Each source has ``SPARE`` slots more than it needs, for the schedule's discrepancy; what is over stays empty.
 
 Bounds. A source may hold most rows: places within a source are sums over ranges of the
 shuffled order, as many as sorting all rows takes, and then within a range; ranks of slots are counts over stretches of slots, and
@@ -18,17 +18,20 @@ all that is ever ordered in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .support import cut
 
-BLOCK = 64  # words in a block
-SMALL = 32  # a source of fewer blocks is taken word by word
+BLOCK = 64  # words in a block, at most
+LEAST = 1024  # blocks that a source has at least, if it has as many words
+SPARE = 16
 WEIGHTS = (1, 2, 3)
 CAP = 3  # a source gives at most so many times its words
-GOLDEN = 0.6180339887498949
-CELLS = 1024  # cells of the unit interval, for an equality join of points and shares
+BITS = 60  # points are below 2 to this power
+STEP = 712544676207699905  # the golden ratio's share of 2^60
+LIMB = (1 << 20) - 1
+CELL_BITS = 10  # cells of the points' range, for an equality join of points and shares; more for more sources
 STRETCH = 1 << 14  # slots ranked together
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,8 +43,9 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return rows.withColumn("place", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
 
 
-def targets(rows: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``rows(source, size)``; returns a row per source: source, weight, source_size, target, lo, hi.
+def targets(rows: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK) -> DataFrame:
+    """``rows(source, size)``; returns a row per source: source, weight, source_size, target; blocks, and
+    turns, the number of blocks that make the target; lo and hi, the source's share of the schedule; low and past, the same as points.
 
     Sources by code point, null last, take the weights in turn. Together they share the words of
     all rows; a source stops at ``cap`` times its own words and the excess goes to the others by
@@ -67,13 +71,39 @@ def targets(rows: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFr
     open_ = F.coalesce(F.col("n") >= F.col("first.n"), F.lit(False))
     shared = F.col("first.left").cast("double") * F.col("weight") / F.col("first.share")
     by = by.withColumn("target", F.when(open_, shared).otherwise((cap * F.col("source_size")).cast("double")))
+    size = F.col("source_size")
+    by = by.withColumn("blocks", F.greatest(F.ceil(size / block), F.least(size, F.lit(LEAST))))
+    by = by.withColumn("turns", F.coalesce(F.floor(F.col("target") * F.col("blocks") / F.nullif(size, F.lit(0)) + F.lit(0.5)), F.lit(0)))
+    by = by.withColumn("slots", F.when(F.col("turns") > 0, F.col("turns") + SPARE).otherwise(0).cast("long"))
     upto = named.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hi = F.sum("target").over(upto)
-    by = by.withColumn("hi", F.when(F.col("total") > 0, hi / F.col("total")).otherwise(0.0))
-    lo = F.coalesce(F.lag("hi").over(named), F.lit(0.0))
-    last = F.row_number().over(named) == F.count("*").over(whole)
-    by = by.withColumn("lo", lo).withColumn("hi", F.when(last, F.lit(1.0)).otherwise(F.col("hi")))
-    return by.select("source", "weight", "source_size", "target", "lo", "hi")
+    by = by.withColumns({"upto": F.sum("slots").over(upto), "every": F.sum("slots").over(whole)})
+    point = lambda n: F.when(F.col("every") > 0, F.expr(f"cast({n} as decimal(19, 0)) * {1 << BITS} div every")).otherwise(0)
+    by = by.withColumns({"low": point("(upto - slots)"), "past": point("upto")})
+    shares = [(F.col(c) / F.lit(1 << BITS)).alias(d) for c, d in (("low", "lo"), ("past", "hi"))]
+    return by.select("source", "weight", "source_size", "target", "blocks", "turns", "slots", "low", "past", *shares)
+
+
+def point(slot: Column) -> Column:
+    """``slot * STEP`` modulo 2^60, in three limbs of 20 bits, so that no product leaves 64 bits."""
+    i = [F.shiftright(slot, k).bitwiseAND(LIMB) for k in (0, 20, 40)]
+    k = [STEP >> n & LIMB for n in (0, 20, 40)]
+    middle = (i[0] * k[1] + i[1] * k[0]).bitwiseAND((1 << 40) - 1)
+    high = (i[0] * k[2] + i[1] * k[1] + i[2] * k[0]).bitwiseAND(LIMB)
+    return (i[0] * k[0] + F.shiftleft(middle, 20) + F.shiftleft(high, 40)).bitwiseAND((1 << BITS) - 1)
+
+
+def block_of(word: Column) -> Column:
+    """The block that a source's word lies in; block k begins at word ``k * source_size / blocks``, rounded down."""
+    return F.call_function("div", _wide(word + 1) * F.col("blocks") - 1, F.col("source_size"))
+
+
+def begin_of(part: Column) -> Column:
+    return F.call_function("div", _wide(part) * F.col("source_size"), F.col("blocks"))
+
+
+def _wide(number: Column) -> Column:
+    """Products of words and blocks of 100 TB need more than 64 bits."""
+    return number.cast("decimal(19, 0)")
 
 
 def places(rows: DataFrame) -> DataFrame:
@@ -94,72 +124,46 @@ def places(rows: DataFrame) -> DataFrame:
     return joined.withColumn("start", F.col("base") + F.col("inner")).drop("s", "r", "base", "inner", "range", "nth")
 
 
-def schedule(shares: DataFrame, block: int = BLOCK, cap: int = CAP) -> DataFrame:
-    """The mix itself: (slot, source, turn, part), a row for each turn of a source, to be taken in order of ``slot``.
+def schedule(shares: DataFrame) -> DataFrame:
+    """The mix itself: (slot, source, turn, part), a row for each block that is taken, to be taken in order of ``slot``.
 
-    turn: the row's rank among its source's; part: the block it takes, of a small source the word. A
-    slot beyond ``cap`` times the source's blocks stays empty and has no row; a slot may hold words of
-    several small sources. No words: no rows.
+    turn: the row's rank among its source's; part: the block it takes. Slots that a source doesn't need any more have
+    no row. No words: no rows.
     """
-    slots = F.ceil(F.sum("source_size").over(Window.partitionBy()) / block)
-    words = shares.withColumn("slots", slots).where(_small(block)).withColumn("turns", _turns()).where("turns > 0")
-    words = words.withColumn("turn", F.explode(F.expr("sequence(0, turns - 1)")))
-    slot = F.floor((F.col("turn") + 0.5) * F.col("slots") / F.col("turns"))
-    return _blocks(shares, block, cap).unionByName(words.select(slot.alias("slot"), "source", "turn", (F.col("turn") % F.col("source_size")).alias("part")))
-
-
-def _small(block: int):
-    return F.col("source_size") < SMALL * block
-
-
-def _turns():
-    """Words that a small source gives."""
-    return F.round("target").cast("long")
-
-
-def _blocks(shares: DataFrame, block: int, cap: int) -> DataFrame:
-    """``schedule`` of the sources that aren't small."""
     spark = shares.sparkSession
-    total = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    scaled = (F.col("id") + F.lit(0.5)) * F.lit(GOLDEN)
-    points = spark.range((total + block - 1) // block).select(F.col("id").alias("slot"), (scaled - F.floor(scaled)).alias("x"))
-    points = points.withColumn("cell", F.floor(F.col("x") * CELLS))
-    blocks = F.ceil(F.col("source_size") / block)
-    cells = shares.where(F.expr("hi > lo") & ~_small(block)).select("source", "lo", "hi", blocks.alias("blocks"), F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1).cast("long")))).alias("cell"))
-    slots = points.join(cells, "cell").where("x >= lo and x < hi").select("slot", "source", "blocks", F.floor(F.col("slot") / STRETCH).alias("stretch"))
+    n, sources = shares.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count("*")).first()
+    bits = max(CELL_BITS, sources.bit_length())
+    points = spark.range(n).select(F.col("id").alias("slot"), point(F.col("id")).alias("x"))
+    points = points.withColumn("cell", F.shiftright("x", BITS - bits))
+    cells = shares.where("past > low").select("source", "low", "past", "blocks", "turns", F.explode(F.sequence(F.shiftright("low", BITS - bits), F.shiftright(F.col("past") - 1, BITS - bits))).alias("cell"))
+    slots = points.join(cells, "cell").where("x >= low and x < past").select("slot", "source", "blocks", "turns", F.floor(F.col("slot") / STRETCH).alias("stretch"))
     counts = slots.groupBy("source", "stretch").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(F.col("source").alias("s"), F.col("stretch").alias("t"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "stretch").orderBy("slot")
     ranked = slots.withColumn("inner", F.row_number().over(inside) - 1)
     ranked = ranked.join(base, ranked["source"].eqNullSafe(base["s"]) & (ranked["stretch"] == base["t"]))
-    ranked = ranked.withColumn("turn", F.col("base") + F.col("inner")).where(F.col("turn") < cap * F.col("blocks"))
+    ranked = ranked.withColumn("turn", F.col("base") + F.col("inner")).where("turn < turns")
     return ranked.select("slot", "source", "turn", (F.col("turn") % F.col("blocks")).alias("part"))
 
 
-def mix(rows: DataFrame, shares: DataFrame, block: int = BLOCK, cap: int = CAP) -> DataFrame:
+def mix(rows: DataFrame, shares: DataFrame) -> DataFrame:
     """``rows`` of ``sized`` with ``taken`` (words that the schedule takes, repeats counted),
-    ``times`` (how often it takes the block, of a small source the word, in which the row begins) and the source's columns."""
-    laid = cut(places(rows))
-    times = _blocks(shares, block, cap).groupBy("source", "part").agg(F.count("*").alias("times"))
+    ``times`` (how often it takes the block in which the row begins) and the source's columns."""
+    times = schedule(shares).groupBy("source", "part").agg(F.count("*").alias("times"))
     times = times.withColumnRenamed("source", "s").withColumnRenamed("part", "p")
-    parts = laid.where("size > 0").select("id", "source", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("part"))
+    of = shares.select(F.col("source").alias("s"), "weight", "source_size", "target", "blocks")
+    laid = places(rows)
+    laid = cut(laid.join(of, laid["source"].eqNullSafe(of["s"])).drop("s"))
+    end = F.col("start") + F.col("size")
+    parts = laid.where("size > 0").select("source", "size", "start", "source_size", "blocks", F.explode(F.sequence(block_of(F.col("start")), block_of(end - 1))).alias("part"))
     met = parts.join(times, parts["source"].eqNullSafe(times["s"]) & (parts["part"] == times["p"]))
-    words = F.least(F.col("start") + F.col("size"), (F.col("part") + 1) * block) - F.greatest(F.col("start"), F.col("part") * block)
-    begins = F.when(F.col("part") == F.floor(F.col("start") / block), F.col("times"))
+    words = F.least(end, begin_of(F.col("part") + 1)) - F.greatest(F.col("start"), begin_of(F.col("part")))
+    begins = F.when(F.col("part") == block_of(F.col("start")), F.col("times"))
     taken = met.groupBy("source", "start").agg(F.sum(F.col("times") * words).alias("taken"), F.max(begins).alias("times"))
     taken = taken.select(F.col("source").alias("s"), F.col("start").alias("a"), "taken", "times")
     out = laid.join(taken, laid["source"].eqNullSafe(taken["s"]) & (laid["start"] == taken["a"]) & (laid["size"] > 0), "left").drop("s", "a")
-    of = shares.select(F.col("source").alias("s"), "weight", "source_size", "target")
-    out = out.join(of, out["source"].eqNullSafe(of["s"])).drop("s")
-    # of a small source, all words are taken `whole` times and the first `more` once again
-    words = F.nullif(F.col("source_size"), F.lit(0))
-    whole, more = F.floor(_turns() / words), _turns() % words
-    again = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), more) - F.col("start"))
-    by_word = _small(block) & (F.col("size") > 0)
-    taken = F.when(by_word, whole * F.col("size") + again).otherwise(F.coalesce("taken", F.lit(0)))
-    times = F.when(by_word, whole + (F.col("start") < more).cast("int")).otherwise(F.coalesce("times", F.lit(0)))
-    return out.withColumn("taken", taken.cast("long")).withColumn("times", times.cast("long"))
+    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("taken", "times")})
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK) -> DataFrame:
@@ -171,8 +175,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     No rows: no rows.
     """
     rows = cut(sized(docs, id_col, text_col, source_col))
-    shares = cut(targets(rows, weights, cap))
-    return mix(rows, shares, block, cap).select("id", "source", "size", "source_size", "weight", "target", "taken", "times")
+    shares = cut(targets(rows, weights, cap, block))
+    return mix(rows, shares).select("id", "source", "size", "source_size", "weight", "target", "taken", "times")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK) -> DataFrame:

@@ -36,24 +36,27 @@ t AS (
     CASE WHEN l.n >= f.n THEN f.rest::DOUBLE * l.weight / f.share ELSE (3 * l.source_size)::DOUBLE END AS target
   FROM l LEFT JOIN f ON true),
 h AS (
-  SELECT *, CASE WHEN total > 0 THEN sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / total ELSE 0 END AS upto,
-         row_number() OVER (ORDER BY source DESC NULLS FIRST) AS fromlast FROM t),
+  SELECT *, greatest((source_size + 63) // 64, least(source_size, 1024)) AS blocks FROM t),
+h2 AS (SELECT *, coalesce(floor(target * blocks / nullif(source_size, 0) + 0.5), 0)::BIGINT AS turns FROM h),
+h3 AS (SELECT *, CASE WHEN turns > 0 THEN turns + 16 ELSE 0 END AS slots FROM h2),
+h4 AS (SELECT *, (sum(slots) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING))::HUGEINT AS upto, (sum(slots) OVER ())::HUGEINT AS every FROM h3),
 b AS (
-  SELECT *, (source_size + 63) // 64 AS blocks,
-    coalesce(lag(upto) OVER (ORDER BY source NULLS LAST), 0) AS lo, CASE WHEN fromlast = 1 THEN 1.0::DOUBLE ELSE upto END AS hi FROM h),
-i AS (SELECT slot, x - floor(x) AS x FROM (
-  SELECT slot, (slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE AS x
-  FROM (SELECT unnest(range(0, coalesce((SELECT (max(total) + 63) // 64 FROM t), 0)::BIGINT)) AS slot))),
-r AS (SELECT source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS turn FROM i JOIN b ON x >= lo AND x < hi),
-m AS (SELECT source, turn % blocks AS part, count(*) AS times FROM r WHERE turn < 3 * blocks GROUP BY ALL),
+  SELECT source, source_size, blocks, turns,
+    (upto - slots) * 1152921504606846976::HUGEINT // nullif(every, 0) AS low, upto * 1152921504606846976::HUGEINT // nullif(every, 0) AS past FROM h4),
+i AS (SELECT slot, (slot::HUGEINT * 712544676207699905::HUGEINT) % 1152921504606846976::HUGEINT AS x
+      FROM (SELECT unnest(range(0, coalesce((SELECT max(every) FROM h4), 0)::BIGINT)) AS slot)),
+r AS (SELECT source, blocks, turns, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS turn FROM i JOIN b ON x >= low AND x < past),
+m AS (SELECT source, turn % blocks AS part, count(*) AS times FROM r WHERE turn < turns GROUP BY ALL),
 p AS (
   SELECT *, row_number() OVER () AS k,
     coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d),
-e AS (SELECT k, source, size, start, unnest(range(start // 64, (start + size - 1) // 64 + 1)) AS part FROM p WHERE size > 0),
+c AS (SELECT p.k, p.source, p.size, p.start, b.blocks::HUGEINT AS n, b.source_size::HUGEINT AS s FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source WHERE p.size > 0),
+f2 AS (SELECT *, (((start + 1) * n - 1) // s)::BIGINT AS one, (((start + size) * n - 1) // s)::BIGINT AS two FROM c),
+e AS (SELECT *, unnest(range(one, two + 1)) AS part FROM f2),
 g AS (
-  SELECT e.k, sum(m.times * (least(start + size, (e.part + 1) * 64) - greatest(start, e.part * 64))) AS taken,
-         max(CASE WHEN e.part = start // 64 THEN m.times END) AS times
+  SELECT e.k, sum(m.times * (least(start + size, (e.part + 1) * s // n) - greatest(start, e.part * s // n))) AS taken,
+         max(CASE WHEN e.part = one THEN m.times END) AS times
   FROM e JOIN m ON e.source IS NOT DISTINCT FROM m.source AND e.part = m.part GROUP BY e.k)
 SELECT p.doc_id, p.size, t.source_size, t.target, coalesce(g.taken, 0)::BIGINT AS taken, p.source, coalesce(g.times, 0)::BIGINT AS times
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN g USING (k)

@@ -160,6 +160,33 @@ def test_mix_of_small_sources(spark):
     assert len(laid) == 100 and all(abs(n - target[s]) <= 0.5 for s, n in laid.items())
 
 
+def test_schedule_at_any_slot(spark):
+    """Points are exact, distinct and even at slots far beyond what doubles can tell apart."""
+    for start in (0, 10**9, 10**11, 250_000_000_000, 10**15):
+        x = [r[0] for r in spark.range(start, start + 100_000).select(mixing.point(F.col("id"))).collect()]
+        assert x == [i * mixing.STEP % (1 << mixing.BITS) for i in range(start, start + 100_000)]
+        assert len(set(x)) == 100_000 and all(abs(sum(a <= v / (1 << mixing.BITS) < b for v in x) - 100_000 * (b - a)) < 6 for a, b in ((0, 0.1), (0.37, 0.371), (0.99999, 1)))
+
+
+def test_mix_against_sql_at_all_sizes(spark):
+    """Sources of 1 to 70,000 words, some empty, by the query's own SQL."""
+    from folioscope.llm.q_mixing import SQL
+
+    rng = random.Random(9)
+    docs = [(i, f"s{i:03d}", n) for i, n in enumerate([1, 2, 10, 63, 64, 65, 1023, 1024, 1025, 2048, 10_000, 70_000, 0, *(rng.randint(1, 10_000) for _ in range(60))])]
+    rows = [(k * 1000 + j, "w " * min(700, n - j * 700), s if k else None) for k, s, n in docs for j in range(max(1, -(-n // 700)))]
+    found = mixing.mixed(frame(spark, rows)).collect()
+    for s in {r["source"] for r in found}:
+        own = [r for r in found if r["source"] == s]
+        block = own[0]["source_size"] / max(1, min(own[0]["source_size"], 1024), -(-own[0]["source_size"] // 64))
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= block / 2 + 1 and all(r["taken"] <= 3 * r["size"] for r in own), s
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    c.executemany("insert into documents values (?, ?, ?)", rows)
+    want = c.execute(f"select doc_id, size, source_size, target, taken, times from ({SQL['op2_mix_sources']})").fetchall()
+    assert sorted(want) == sorted((r["id"], r["size"], r["source_size"], r["target"], r["taken"], r["times"]) for r in found)
+
+
 # 3
 def test_recall(spark):
     for name in ("sf0.01", "sf0.1"):
