@@ -45,7 +45,7 @@ class Items:
     """A block of benchmark items as numbers, and its suffixes."""
 
     def __init__(self, rows: list[tuple], window: int) -> None:
-        self.ids = sorted({r[0] for r in rows})
+        self.ids = sorted({r[0] for r in rows}, key=lambda x: (x is None, x))  # None, of items without an id, last
         at = {x: i for i, x in enumerate(self.ids)}
         texts = [(at[i], w) for i, t in rows if (w := words(t))]
         self.vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in texts for w in ws}), 2)}
@@ -250,11 +250,10 @@ def _shards(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, named: bool = True) -> tuple[int, Iterator[list[tuple]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
     """The number of blocks of about ``block_bytes``, and the items in blocks, as (id as a string, text), each gathered when
-    it is asked for; ``named``: only those with an id."""
+    it is asked for."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = rows.where("id is not null") if named else rows
     n = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes + 1
     deal = F.pmod(F.xxhash64("id", "text"), F.lit(n))
     return n, ([tuple(r) for r in rows.where(deal == k).distinct().collect()] for k in range(n))
@@ -270,7 +269,7 @@ LISTED = 100_000  # ids of items that a batch of findings holds, more only for o
 
 def spans(docs: DataFrame, block: list[tuple], id_col: str, text_col: str, window: int) -> DataFrame:
     """(id, n_words, hits, items, longest) of every row of ``docs`` for one block: hits are [start, end) runs
-    of hit words, items the ids, as strings in order, of items of which a window occurs, longest the first
+    of hit words, items the ids, as strings in order, of items with an id of which a window occurs, longest the first
     of the longest matches: words, place in the document, and an item."""
     prepare(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(block)
@@ -303,7 +302,7 @@ def spans(docs: DataFrame, block: list[tuple], id_col: str, text_col: str, windo
             listed, last = 0, 0
             for d in range(batch.num_rows):
                 own = [items.owners[items.owned[w] : items.owned[w + 1]] for w in pairs[edges[d] : edges[d + 1], 1]]
-                found.append([items.ids[i] for i in np.unique(np.concatenate(own)).tolist()] if own else [])
+                found.append([items.ids[i] for i in np.unique(np.concatenate(own)).tolist() if items.ids[i] is not None] if own else [])
                 listed += len(found[-1])
                 if listed > LISTED or d == batch.num_rows - 1:
                     part = slice(last, d + 1)
@@ -321,8 +320,8 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
     window. longest: the longest verbatim match of a window or more (words, first place, an item), null
-    without a hit. Null texts and texts without words have no hits, items without words occur nowhere, and
-    items without an id are left out, as nothing could name them. Items that share an id count as
+    without a hit. Null texts and texts without words have no hits, items without words occur nowhere. The windows of
+    items without an id hit like others', but such items are in no list of items, as nothing could name them. Items that share an id count as
     one. Repeated rows get a row each. An empty benchmark hits nothing; no documents: no rows. Other
     columns are not looked at, whatever their names.
     """
@@ -360,7 +359,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(id, item_id, item_pos, doc_pos, length): for every item suffix and shard, the longest verbatim
     match of a window or more and all its places, positions and length in words.
 
-    Documents and items without words or with a null text match nothing, items without an id are left out,
+    Documents and items without words or with a null text match nothing, items without an id match with a null one,
     repeated rows match each; other columns are not looked at. No documents or items: no rows.
     """
     prepare(docs.sparkSession)
@@ -395,7 +394,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     prepare(docs.sparkSession)
     sc, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_id, item_text, block_bytes, named=False)[1]:
+    for block in _blocks(benchmark, item_id, item_text, block_bytes)[1]:
         bc = sc.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:

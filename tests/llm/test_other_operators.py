@@ -418,10 +418,31 @@ def test_decontamination_of_odd_rows(spark):
     docs = odd(spark)
     bench = spark.createDataFrame([(1, "tie"), (None, "w"), (2, None), (3, "àé"), (1, "null")], "item_id long, text string")
     got = decontam.report(docs, bench).collect()
-    assert len(got) == 9 and sorted(str(r["id"]) for r in got if r["contaminated"]) == ["4", "4", "None"]
+    assert len(got) == 9 and sorted(str(r["id"]) for r in got if r["contaminated"]) == ["4", "4", "5", "None"]
+    nameless = next(r for r in decontam.digest_columns(decontam.report(docs, bench)).collect() if r["id"] == 5)
+    assert (nameless["n_hit"], nameless["n_items"], nameless["items_sha256"]) == (50_000, 0, hashlib.sha256(b"").hexdigest())
     assert decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0 and decontam.report(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_by_the_query_s_sql(spark, tmp_path):
+    """Their windows hit, in the query and in its SQL; they are in no list of items."""
+    from folioscope.llm import q_decontam
+
+    ten = " ".join(f"k{i}" for i in range(10))
+    docs = [(1, f"x {ten} y"), (2, "one two"), (3, f"{ten} one two"), (None, ten), (4, None)]
+    items = [(None, ten), (7, "one two"), (None, "two"), (8, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = q_decontam.op8_benchmark_decontamination(spark, str(tmp_path))
+    c = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        c.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = c.execute(f"select {', '.join(sorted(got.columns))} from ({q_decontam.SQL['op8_benchmark_decontamination']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(*sorted(got.columns)).collect())
+    by = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in got.collect()}
+    assert by == {1: (10, 0, True), 2: (2, 1, True), 3: (12, 1, True), None: (10, 0, True), 4: (0, 0, False)}
+
+
 def test_items_without_an_id_are_cleaned_of(spark):
     docs = frame(spark, [(1, "a passage of an item", "s"), (2, "another", "s"), (3, None, "s")])
     bench = spark.createDataFrame([(None, "passage of"), (4, None)], "item_id long, text string")
