@@ -3,8 +3,14 @@
 An engine has ``matches``, all results of a search without their texts' being read for more than has to
 be, and ``whole``, the rows of one page with all columns of their documents.
 
-The index is two tables for each of its segments: postings, a folder for each field and sorted by token, so
-that a prefix is a range of the files, and documents, sorted by slug, so that a page of them is a few ranges.
+The index is two tables for each of its segments. Postings lie in a folder for each field and shard, a shard being a hash of
+a token's first two letters, and are sorted by token, so that a prefix is a range of the files of one folder a field. Documents lie in
+folders by a hash of their slug, some thousands in each, and are sorted by slug: the documents of given slugs are read from their
+folders alone. No other folder is listed, opened or read.
+
+A search takes two steps: one scan of the postings of its prefixes gives the hits, at most ``FIELD_CAP`` a field, which come to the driver;
+their documents are then read by slug.
+
 Added documents are a segment more; a document counts in the last segment that names it, and removed slugs are a
 segment that names them and has no documents. What a search joins for that is the slugs of later segments
 alone. ``merge`` makes one segment of all.
@@ -17,16 +23,20 @@ import re
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .. import storage
 from ..functions.query import parse_query
 from . import search as S
 
-FORMAT = 2  # of the tables; an index of another is not read
+FORMAT = 3  # of the tables; an index of another is not read
 MOST_SEGMENTS = 16  # more are merged
-POSTINGS = "token string, slug string, first_pos int, field string"
+POSTINGS = "token string, slug string, first_pos int, field string, shard int"
+SHARDS = 256  # folders of a field's postings, at most
+HEAD = 2  # letters of a token that name its shard
+DOCUMENTS_A_PART = 20_000
 
 
 class ScanEngine:
@@ -43,7 +53,7 @@ class ScanEngine:
 
 
 class IndexEngine:
-    """Reads postings, and texts only where phrases ask for them and for the page."""
+    """Reads the postings of a query's prefixes, the documents of its hits, and texts of a hit for phrases and of the page."""
 
     def __init__(self, spark: SparkSession, root: str, state: dict) -> None:
         self.spark, self.root, self.state = spark, root, state
@@ -69,12 +79,15 @@ class IndexEngine:
     def _segment(self, docs: DataFrame) -> str:
         name = uuid.uuid4().hex[:12]
         folder = f"{self.root}/{name}"
-        docs.repartitionByRange("slug").sortWithinPartitions("slug").write.parquet(f"{folder}/documents")
-        rows = S.postings(self.spark.read.schema(docs.schema).parquet(f"{folder}/documents"))
-        rows = rows.select("token", "slug", F.col("first_pos").cast("int").alias("first_pos"), "field")
-        rows.repartitionByRange("field", "token", "slug").sortWithinPartitions("field", "token", "slug").write.partitionBy("field").parquet(f"{folder}/postings")
-        rows = self.spark.read.schema(docs.schema).parquet(f"{folder}/documents").select("slug")
-        rows.write.parquet(f"{folder}/slugs")
+        parts = max(1, docs.count() // DOCUMENTS_A_PART)
+        dealt = docs.withColumn("part", F.pmod(F.xxhash64("slug"), F.lit(parts)).cast("int"))
+        dealt.repartition(parts, "part").sortWithinPartitions("part", "slug").write.partitionBy("part").parquet(f"{folder}/documents")
+        kept = self.spark.read.schema(dealt.schema).parquet(f"{folder}/documents")
+        rows = S.postings(kept).select("token", "slug", F.col("first_pos").cast("int").alias("first_pos"), "field", shard_of(F.col("token")).alias("shard"))
+        order = ["field", "shard", "token", "slug"]
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("field", "shard").parquet(f"{folder}/postings")
+        kept.select("slug").write.parquet(f"{folder}/slugs")
+        self.state["parts"] = self.state.get("parts", {}) | {name: parts}
         return name
 
     def _with(self, segment: str, key: str, only: bool = False) -> IndexEngine:
@@ -104,69 +117,93 @@ class IndexEngine:
         return StructType.fromJson(json.loads(self.state["schema"]))
 
     # tables
-    def _live(self, kind: str, schema) -> DataFrame:
+    def _live(self, kind: str, schema, folders=None) -> DataFrame:
+        """Rows of all segments that later ones don't take the place of; ``folders``: for a segment, those of its folders that are read."""
         segments, parts = self.state["segments"], []
         for i, name in enumerate(segments):
             if name.startswith("-"):
                 continue
-            rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{kind}")
+            base = f"{self.root}/{name}/{kind}"
+            paths = [base] if folders is None else [p for f in folders(name) if storage.exists(self.spark, p := f"{base}/{f}")]
+            if not paths:
+                continue
+            rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
             later = [f"{self.root}/{x.lstrip('-')}/slugs" for x in segments[i + 1 :]]
             parts.append(rows.join(self.spark.read.schema("slug string").parquet(*later), "slug", "left_anti") if later else rows)
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
     def documents(self) -> DataFrame:
-        return self._live("documents", self._schema()).select(*self._schema().names)
+        return self._live("documents", self._schema().add("part", IntegerType())).select(*self._schema().names)
+
+    def documents_of(self, slugs: list[str]) -> DataFrame:
+        """The documents of some slugs, at most some thousands, out of their folders."""
+        if not slugs:
+            return self.spark.createDataFrame([], self._schema())
+        hashed = dict(self.spark.createDataFrame([(x,) for x in slugs], "slug string").select("slug", F.xxhash64("slug")).collect())
+        folders = lambda name: [f"part={k}" for k in sorted({hashed[x] % self.state["parts"][name] for x in slugs})]
+        rows = self._live("documents", self._schema().add("part", IntegerType()), folders)
+        return rows.where(F.col("slug").isin(slugs)).select(*self._schema().names)
 
     def postings(self) -> DataFrame:
         return self._live("postings", POSTINGS)
 
+    def _postings_of(self, words: list[str]) -> DataFrame:
+        """Postings of the shards in which the tokens that ``words`` begin can be; those of a letter are in any."""
+        if any(len(w) < HEAD for w in words):
+            return self.postings()
+        shards = sorted({r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(shard_of(F.col("w"))).collect()})
+        return self._live("postings", POSTINGS, lambda _: [f"field={f}/shard={k}" for f in S.WEIGHTS for k in shards])
+
     # questions
     def matches(self, wanted: S.Search, categories: DataFrame | None = None) -> DataFrame:
         """As ``search.matches``, the documents without transcript and content."""
         parsed = parse_query(wanted.query)
-        docs = self.documents()
-        light = docs.drop("transcript", "content")
-        words = parsed.index_terms()
-        if parsed.empty or not words:
-            return S.nothing(light)
-        found = S.field_scores(self._hits(parsed), wanted.mode)
-        rows = S.filtered(light, wanted, categories).join(F.broadcast(found), "slug")  # FIELD_CAP rows a field at most
-        if parsed.terms:
-            rows = rows.join(self._whole_words(parsed, found), "slug", "left_semi")
+        light = [n for n in self._schema().names if n not in ("transcript", "content")]
+        if parsed.empty or not parsed.index_terms():
+            return S.nothing(self.documents().select(*light))
+        found = self._found(parsed, wanted.mode)
+        docs = self.documents_of([r["slug"] for r in found])
         if parsed.phrases:
-            text = docs.join(F.broadcast(found.select("slug")), "slug", "left_semi").where(S.membership(parsed, terms=False)).select("slug")
-            rows = rows.join(text, "slug", "left_semi")
+            docs = docs.where(S.membership(parsed, terms=False))
+        scores = self.spark.createDataFrame(found, ", ".join(["slug string", *(f"{f}_score double" for f in S.WEIGHTS)]))
+        rows = S.filtered(docs.select(*light), wanted, categories).join(F.broadcast(scores), "slug")  # FIELD_CAP rows a field at most
         return S.scored(rows.withColumn("raw", S.raw_score()))
 
-    def _hits(self, parsed) -> DataFrame:
-        """(field, slug, rank0) as ``search.field_hits`` gives them, from prefixes of tokens."""
+    def _found(self, parsed, mode: str) -> list:
+        """The hits with their scores of fields, but for those that lack a term as a whole word: one scan of the postings.
+
+        A hit of a field is a document in which all words of the query begin tokens of the field (any, under OR), as
+        in ``search.field_hits``; whole words may stand in any field.
+        """
         words = parsed.index_terms()
+        terms = list(dict.fromkeys(t.lower() for t in parsed.terms if re.fullmatch(r"[^\W_]+", t)))
+        if parsed.terms and (not terms or (len(terms) < len({t.lower() for t in parsed.terms}) and not parsed.any_term)):
+            return []  # a term of other signs is no word of any text
         begins = [F.col("token").startswith(w) for w in words]
-        rows = self.postings().where(reduce(lambda a, b: a | b, begins))
-        firsts = [f"p{i}" for i in range(len(words))]
-        rows = rows.groupBy("field", "slug").agg(*(F.min(F.when(b, F.col("first_pos"))).alias(p) for b, p in zip(begins, firsts, strict=True)))
-        if not parsed.any_term:
-            rows = rows.dropna(subset=firsts)
-        return S.best_of_fields(rows.select("field", "slug", F.array_min(F.array(*firsts)).alias("first")))
-
-    def _whole_words(self, parsed, found: DataFrame) -> DataFrame:
-        """Slugs of ``found`` that have the terms as whole words in any field (one of them, under OR)."""
-        terms = [t.lower() for t in parsed.terms if re.fullmatch(r"[^\W_]+", t)]
-        if not terms or (len(terms) < len(parsed.terms) and not parsed.any_term):
-            return found.where(F.lit(False)).select("slug")  # a term of other signs is no word of any text
-        rows = self.postings().where(F.col("token").isin(*terms)).join(F.broadcast(found.select("slug")), "slug", "left_semi")
-        named = rows.groupBy("slug").agg(F.count_distinct("token").alias("n"))
-        return named.where(F.col("n") >= (1 if parsed.any_term else len(set(terms)))).select("slug")
+        rows = self._postings_of(words).where(reduce(lambda a, b: a | b, begins))
+        firsts = {f: [F.min(F.when(b & (F.col("field") == f), F.col("first_pos"))) for b in begins] for f in S.WEIGHTS}
+        told = [F.max(F.col("token") == t) for t in terms]
+        rows = rows.groupBy("slug").agg(F.array(*(F.struct(F.lit(f).alias("field"), F.array(*p).alias("at")) for f, p in firsts.items())).alias("fields"), F.array(*told, F.lit(True)).alias("told"))
+        test = F.exists if parsed.any_term else F.forall
+        member = F.exists(F.slice("told", 1, len(terms)), lambda x: x) if parsed.any_term and terms else F.forall("told", lambda x: x)
+        hits = rows.select("slug", member.alias("member"), F.explode("fields").alias("h")).where(test("h.at", lambda x: x.isNotNull()))
+        best = S.best_of_fields(hits.select("slug", F.struct("slug", "member").alias("of"), "h.field", F.array_min("h.at").alias("first")), named="of")
+        scores = S.field_scores(best.select(F.col("of").alias("slug"), "field", "rank0"), mode)
+        return scores.where("slug.member").select("slug.slug", *(f"{f}_score" for f in S.WEIGHTS)).collect()
 
     def whole(self, rows: DataFrame) -> DataFrame:
         """The rows of a page, at most ``search.PAGE_CAP``, with their texts; read by their slugs."""
         page = rows.collect()
         names = [n for n in ("transcript", "content") if n in self._schema().names]
         kept = self.spark.createDataFrame(page, rows.schema)
-        texts = self.documents().where(F.col("slug").isin([r["slug"] for r in page])).select("slug", *names)
+        texts = self.documents_of([r["slug"] for r in page]).select("slug", *names)
         return kept.join(texts, "slug", "left").select(*rows.columns, *names)
 
 
+def shard_of(token: Column) -> Column:
+    return F.pmod(F.xxhash64(F.left(token, F.lit(HEAD))), F.lit(SHARDS)).cast("int")
+
+
 def overlap(one, two, queries: list[str], k: int = 5) -> DataFrame:
     """(query, shared, of): how many of their first ``k`` results two engines share, for a stated list of queries."""
     parts = []

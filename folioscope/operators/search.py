@@ -69,11 +69,11 @@ def field_hits(docs: DataFrame, parsed: ParsedQuery, cap: int = FIELD_CAP) -> Da
     return best_of_fields(rows.where(hit).select("field", "slug", first.alias("first")), cap)
 
 
-def best_of_fields(rows: DataFrame, cap: int = FIELD_CAP) -> DataFrame:
-    """``rows(field, slug, first)``: the earliest ``cap`` of each field, ties by slug, with rank0."""
+def best_of_fields(rows: DataFrame, cap: int = FIELD_CAP, named: str = "slug") -> DataFrame:
+    """``rows(field, slug, first)``: the earliest ``cap`` of each field, ties by slug, with rank0; ``named``: the column that is kept of a document."""
     rank = F.row_number().over(Window.partitionBy("field").orderBy("first", "slug"))
     best = rows.withColumn("rank", rank).where(F.col("rank") <= cap)
-    return best.select("field", "slug", (F.col("rank") - 1).alias("rank0"))
+    return best.select("field", named, (F.col("rank") - 1).alias("rank0"))
 
 
 def _begins(word: str):

@@ -72,14 +72,19 @@ def last_version(spark: SparkSession, folder: str) -> int:
 
 
 def fingerprint(rows: DataFrame) -> str:
-    """A digest of the files that a DataFrame reads: names, sizes and times of change."""
+    """A digest of the files that a DataFrame reads: names, sizes and times of change, by one listing of each folder."""
     spark = rows.sparkSession
+    wanted: dict[str, set[str]] = {}
+    for name in rows.inputFiles():
+        wanted.setdefault(name.rpartition("/")[0], set()).add(name.rpartition("/")[2])
     said = []
-    for name in sorted(rows.inputFiles()):
-        fs, where = _path(spark, name)
-        status = fs.getFileStatus(where)
-        said.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:16]
+    for folder in sorted(wanted):
+        fs, where = _path(spark, folder)
+        for status in fs.listStatus(where):
+            name = status.getPath().toUri().getRawPath().rpartition("/")[2]
+            if name in wanted[folder]:
+                said.append(f"{folder}/{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(said)).encode()).hexdigest()[:16]
 
 
 LOCK_WAIT_S, LOCK_STALE_S, LOCK_RETRY_S = 5.0, 30.0, 0.025
