@@ -59,7 +59,7 @@ def survivors(flags: DataFrame) -> DataFrame:
     for f in FILTERS:
         passed = passed & ~F.coalesce(F.col(f), F.lit(False))
     found = cells.where((F.col("whole") == 0) & passed).select("part", (31 - F.col("left_out")).cast("int").alias("subset"), "n", "good", "toxic")
-    everywhere = few.select("part").distinct().crossJoin(F.broadcast(flags.sparkSession.range(32).select(F.col("id").cast("int").alias("subset"))))
+    everywhere = few.select("part").distinct().select("part", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("subset"))
     zero = F.lit(0).cast("long")
     return everywhere.join(found, ["part", "subset"], "left").select("part", "subset", *[F.coalesce(c, zero).alias(c) for c in ("n", "good", "toxic")])
 
@@ -85,8 +85,9 @@ def audit(flags: DataFrame) -> DataFrame:
     counts = cut(survivors(flags))  # 32 rows a part, read five times
     side = lambda name, *more: counts.select("part", F.col("subset").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", *more)])
     every = counts.where("subset = 0").select("part", F.col("n").alias("n_all")).join(counts.where("subset = 31").select("part", F.col("n").alias("n_none")), "part")
-    rows = every.crossJoin(F.broadcast(steps(flags.sparkSession))).withColumn("others", 31 - F.col("alone"))
-    for name, more in (("before", ("good", "toxic")), ("after", ("good", "toxic")), ("alone", ()), ("others", ())):
+    # The table of steps has 600 rows, whatever the data.
+    rows = side("before", "good", "toxic").join(F.broadcast(steps(flags.sparkSession)), "before").join(every, "part").withColumn("others", 31 - F.col("alone"))
+    for name, more in (("after", ("good", "toxic")), ("alone", ()), ("others", ())):
         rows = rows.join(side(name, *more), ["part", name])
     n = F.col("n_before") - F.col("n_after")
     rows = rows.select(
