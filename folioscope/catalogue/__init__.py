@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["searching", "texts", "collection", "lifecycle", "personas", "storing"]
+MODULES = ["searching", "retrieval", "texts", "collection", "lifecycle", "personas", "storing"]
 
 
 def _modules():

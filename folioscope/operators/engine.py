@@ -34,7 +34,8 @@ from . import search as S
 FORMAT = 3  # of the tables; an index of another is not read
 MOST_SEGMENTS = 16  # more are merged
 POSTINGS = "token string, slug string, first_pos int, field string, shard int"
-SHARDS = 256  # folders of a field's postings, at most
+SHARDS = 256  # folders of a field's postings, at most; SHARDS_A_PART for each folder of documents
+SHARDS_A_PART = 8
 HEAD = 2  # letters of a token that name its shard
 DOCUMENTS_A_PART = 20_000
 
@@ -83,7 +84,7 @@ class IndexEngine:
         dealt = docs.withColumn("part", F.pmod(F.xxhash64("slug"), F.lit(parts)).cast("int"))
         dealt.repartition(parts, "part").sortWithinPartitions("part", "slug").write.partitionBy("part").parquet(f"{folder}/documents")
         kept = self.spark.read.schema(dealt.schema).parquet(f"{folder}/documents")
-        rows = S.postings(kept).select("token", "slug", F.col("first_pos").cast("int").alias("first_pos"), "field", shard_of(F.col("token")).alias("shard"))
+        rows = S.postings(kept).select("token", "slug", F.col("first_pos").cast("int").alias("first_pos"), "field", F.pmod(head_of(F.col("token")), F.lit(_shards(parts))).cast("int").alias("shard"))
         order = ["field", "shard", "token", "slug"]
         rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("field", "shard").parquet(f"{folder}/postings")
         kept.select("slug").write.parquet(f"{folder}/slugs")
@@ -151,8 +152,9 @@ class IndexEngine:
         """Postings of the shards in which the tokens that ``words`` begin can be; those of a letter are in any."""
         if any(len(w) < HEAD for w in words):
             return self.postings()
-        shards = sorted({r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(shard_of(F.col("w"))).collect()})
-        return self._live("postings", POSTINGS, lambda _: [f"field={f}/shard={k}" for f in S.WEIGHTS for k in shards])
+        heads = {r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(head_of(F.col("w"))).collect()}
+        shards = lambda name: sorted({h % _shards(self.state["parts"][name]) for h in heads})
+        return self._live("postings", POSTINGS, lambda name: [f"field={f}/shard={k}" for f in S.WEIGHTS for k in shards(name)])
 
     # questions
     def matches(self, wanted: S.Search, categories: DataFrame | None = None) -> DataFrame:
@@ -200,8 +202,12 @@ class IndexEngine:
         return kept.join(texts, "slug", "left").select(*rows.columns, *names)
 
 
-def shard_of(token: Column) -> Column:
-    return F.pmod(F.xxhash64(F.left(token, F.lit(HEAD))), F.lit(SHARDS)).cast("int")
+def head_of(token: Column) -> Column:
+    return F.xxhash64(F.left(token, F.lit(HEAD)))
+
+
+def _shards(parts: int) -> int:
+    return min(SHARDS, SHARDS_A_PART * parts)
 
 
 def overlap(one, two, queries: list[str], k: int = 5) -> DataFrame:
