@@ -46,9 +46,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif command == "index":
             memory.reindex()
         elif command == "audit":
-            found = T.audit_files(files.whole(spark, given["pattern"])).orderBy("path", "problem").limit(1000).collect()
-            print("\n".join(f"{r['path']}: {r['problem']}" for r in found) or "nothing found")
-            return int(bool(found))
+            n = 0
+            for n, r in enumerate(T.audit_files(files.whole(spark, given["pattern"])).orderBy("path", "problem").toLocalIterator(), 1):
+                print(f"{r['path']}: {r['problem']}")
+            if not n:
+                print("nothing found")
+            return int(n > 0)
         else:
             name = command.replace("-", "_")
             out = TOOLS[name].call(memory, **{k: v for k, v in given.items() if v is not None})

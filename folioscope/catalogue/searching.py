@@ -82,9 +82,16 @@ def q53(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rank", "slug", "score", "rerank_attempted", "rerank_applied", "rerank_reason")
 
 
+def q56(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rerank whose provider never ends: the order of the keywords at the deadline."""
+    endless = lambda rows: rows.select("slug", "score", F.lit(True).alias("reranked"), F.expr("int(coalesce(reflect('java.lang.Thread', 'sleep', 3600000L), '1'))").alias("rank"))
+    rows = S.search(engine(spark, sf_dir), AND, reranker=endless, deadline_s=2)
+    return rows.select("rank", "slug", "score", "rerank_attempted", "rerank_applied", "rerank_reason")
+
+
 def q54(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir).select("slug", "vector")
-    rows = S.search(engine(spark, sf_dir), RERANKED, reranker=lambda x: R.rerank(x, vectors, _query_vector(spark, sf_dir)))
+    rows = S.search(engine(spark, sf_dir), RERANKED, reranker=lambda x: R.rerank(x, vectors, _query_vector(spark, sf_dir)), deadline_s=600)
     return rows.select("rank", "slug", (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"), "rerank_applied", "rerank_reason")
 
 
@@ -132,7 +139,7 @@ def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "q01_search_weighted_and": _search(AND), "q02_search_or": _search(OR), "q03_search_phrase": _search(PHRASE), "q04_search_rrf": _search(RRF),
     "q05_search_filters": _search(FILTERED, True), "q06_search_explain": q06, "q07_compare_modes": q07, "q08_snippet": q08, "q09_cosine_topk": q09,
-    "q10_rerank": q10, "q11_paging_offset": _search(PAGED), "q01_search_scan": q01b, "q51_index_upkeep": q51, "q52_engine_overlap": q52, "q53_rerank_fallback": q53, "q54_search_reranked": q54, "q55_search_empty": _search(EMPTY), "q48_embedding_cache_misses": q48, "q49_postings": q49, "q50_search_total": q50,
+    "q10_rerank": q10, "q11_paging_offset": _search(PAGED), "q01_search_scan": q01b, "q51_index_upkeep": q51, "q52_engine_overlap": q52, "q53_rerank_fallback": q53, "q54_search_reranked": q54, "q56_rerank_deadline": q56, "q55_search_empty": _search(EMPTY), "q48_embedding_cache_misses": q48, "q49_postings": q49, "q50_search_total": q50,
 }
 
 TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
@@ -242,3 +249,4 @@ SELECT field, count(*) AS postings, count(DISTINCT token) AS tokens, sum(first_p
     "q50_search_total": f"WITH {REC}, {_fields(OR, 'r')} SELECT count(*) AS total FROM r",
 }
 SQL["q54_search_reranked"] = f"SELECT rank::INT AS rank, slug, score, true AS rerank_applied, NULL::VARCHAR AS rerank_reason FROM ({SQL['q10_rerank']}) WHERE rank <= 50"
+SQL["q56_rerank_deadline"] = SQL["q53_rerank_fallback"]

@@ -77,9 +77,11 @@ class IndexEngine:
         state = json.loads(storage.read_text(spark, f"{root}/state/{last:08d}"))
         return cls(spark, root, state) if state["format"] == FORMAT and key in (None, state["key"]) else None
 
-    def _segment(self, docs: DataFrame) -> str:
-        name = uuid.uuid4().hex[:12]
+    def _segment(self, docs: DataFrame, name: str | None = None) -> str:
+        """Writes a segment; one that has a name may have been begun before, and is written anew."""
+        name = name or uuid.uuid4().hex[:12]
         folder = f"{self.root}/{name}"
+        storage.remove(self.spark, folder)
         parts = max(1, docs.count() // DOCUMENTS_A_PART)
         dealt = docs.withColumn("part", F.pmod(F.xxhash64("slug"), F.lit(parts)).cast("int"))
         dealt.repartition(parts, "part").sortWithinPartitions("part", "slug").write.partitionBy("part").parquet(f"{folder}/documents")
@@ -102,6 +104,16 @@ class IndexEngine:
         """With documents that are new or take the place of those of their slugs."""
         return self._with(self._segment(docs.select(*self._schema().names)), key)
 
+    def add_batch(self, docs: DataFrame, stream: str, batch: int) -> IndexEngine:
+        """``add`` for a batch of a stream: its number names the segment, and the state tells which number was the last, so that a batch
+        that comes again, after a failure anywhere in it, changes nothing or is done anew."""
+        applied = self.state.get("applied", {})
+        if batch <= applied.get(stream, -1):
+            return self
+        name = self._segment(docs.select(*self._schema().names), f"{stream}-{batch:08d}")
+        self.state["applied"] = applied | {stream: batch}
+        return self._with(name, self.state["key"])
+
     def remove(self, slugs: DataFrame, key: str) -> IndexEngine:
         """Without the documents of ``slugs(slug)``; categories and other tables are not touched."""
         name = uuid.uuid4().hex[:12]

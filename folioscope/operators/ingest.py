@@ -33,6 +33,17 @@ def sections(df: DataFrame, id_col: str, text_col: str, heading: str = r"^#{1,3}
     return rows.select("id", "s.ord", "s.title", "s.body")
 
 
+def cut_by(text: str | None, rule: re.Pattern) -> list[tuple]:
+    """(ord, title, body) of one text, cut where ``rule`` matches."""
+    text = text or ""
+    found = list(rule.finditer(text))
+    if not found:
+        return [(1, "Untitled", text.strip())]
+    ends = [m.start() for m in found[1:]] + [len(text)]
+    title = lambda m: re.sub(r"^#{1,6}\s+", "", (m.group(1) if rule.groups and m.group(1) is not None else m.group(0)) or "").strip()
+    return [(i, title(m), text[m.start() : e].strip()) for i, (m, e) in enumerate(zip(found, ends, strict=True), 1)]
+
+
 def sections_by(df: DataFrame, id_col: str, text_col: str, split_by: str) -> DataFrame:
     """``sections`` for a pattern of the caller's: the title is its first group, else the match."""
     rule = re.compile(split_by, re.MULTILINE)
@@ -40,18 +51,9 @@ def sections_by(df: DataFrame, id_col: str, text_col: str, split_by: str) -> Dat
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def cut(text: str | None) -> list[tuple]:
-        text = text or ""
-        found = list(rule.finditer(text))
-        if not found:
-            return [(1, "Untitled", text.strip())]
-        ends = [m.start() for m in found[1:]] + [len(text)]
-        title = lambda m: re.sub(r"^#{1,6}\s+", "", (m.group(1) if rule.groups and m.group(1) is not None else m.group(0)) or "").strip()
-        return [(i, title(m), text[m.start() : e].strip()) for i, (m, e) in enumerate(zip(found, ends, strict=True), 1)]
-
     def run(batches):
         for batch in batches:
-            got = [cut(t) for t in batch.column(1).to_pylist()]
+            got = [cut_by(t, rule) for t in batch.column(1).to_pylist()]
             at = pa.array([i for i, g in enumerate(got) for _ in g], pa.int64())
             flat = [s for g in got for s in g]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([s[0] for s in flat], pa.int32()), pa.array([s[1] for s in flat], pa.string()), pa.array([s[2] for s in flat], pa.string())], ["id", "ord", "title", "body"])

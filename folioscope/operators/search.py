@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.query import ParsedQuery, parse_query
+from .deadline import within
 from .snippet import with_snippet
 
 # What a hit in a field weighs, and the constant of reciprocal ranks.
@@ -23,6 +24,7 @@ WEIGHTS = {"title": 4, "guest": 3, "transcript": 1, "keywords": 3}
 RRF_K = 60
 FIELD_CAP = 500
 PAGE_CAP, PAGE_DEFAULT = 50, 20
+DEADLINE_S = 2.0  # a provider of a rerank is waited for so long
 
 
 @dataclass(frozen=True)
@@ -178,17 +180,17 @@ def page(found: DataFrame, search: Search) -> DataFrame:
     return ranked.where(F.col("rank") > offset)
 
 
-def search(source, wanted: Search, categories: DataFrame | None = None, reranker=None) -> DataFrame:
+def search(source, wanted: Search, categories: DataFrame | None = None, reranker=None, deadline_s: float = DEADLINE_S) -> DataFrame:
     """rank, slug, title, guest, publish_date, score, source_type, source_id, ranking_mode, snippet.
 
     ``source``: documents, or an engine over them. ``reranker``: a function of (slug, score) that gives (slug, score, reranked, rank); see
-    ``reranked_page``, which adds how it went as rerank_attempted, rerank_applied and rerank_reason.
+    ``reranked_page``, which waits ``deadline_s`` for it and adds how it went as rerank_attempted, rerank_applied and rerank_reason.
     """
     said = []
     if reranker is None:
         rows = results_page(source, wanted, categories)
     else:
-        rows = reranked_page(source, wanted, categories, reranker)
+        rows = reranked_page(source, wanted, categories, reranker, deadline_s)
         said = ["rerank_attempted", "rerank_applied", "rerank_reason"]
     rows = with_snippet(rows, "transcript", wanted.query)
     return rows.select(
@@ -198,8 +200,8 @@ def search(source, wanted: Search, categories: DataFrame | None = None, reranker
     )
 
 
-def reranked_page(source, wanted: Search, categories: DataFrame | None, reranker) -> DataFrame:
-    """The page by the order that ``reranker`` gives all results; if it fails, by keywords, and the rows say why.
+def reranked_page(source, wanted: Search, categories: DataFrame | None, reranker, deadline_s: float = DEADLINE_S) -> DataFrame:
+    """The page by the order that ``reranker`` gives all results; if it fails or isn't done by its deadline, by keywords, and the rows say why.
 
     The results are at most FIELD_CAP a field; their scores are gathered, so that an error of a provider shows here
     and not in the middle of a job of the caller's.
@@ -207,7 +209,8 @@ def reranked_page(source, wanted: Search, categories: DataFrame | None, reranker
     rows = results(source, wanted, categories)
     kind, scores = "slug string, score double, reranked boolean, rank int", gathered(rows)
     try:
-        order = reranker(scores).select("slug", "score", "reranked", F.col("rank").cast("int").alias("rank")).collect()
+        ask = lambda: reranker(scores).select("slug", "score", "reranked", F.col("rank").cast("int").alias("rank")).collect()
+        order = within(rows.sparkSession, deadline_s, ask)
         applied, reason = True, None
     except Exception as e:  # whatever a provider raises leaves the order of the keywords
         window = Window.orderBy(F.desc("score"), "slug")

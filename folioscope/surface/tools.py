@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import re
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import export as E
 from ..operators import search as S
+from ..operators.lifecycle import HISTORY_CAP
 from ..service import SECTIONS, DocumentMemory, NotFound
 from .providers import Diagnostics
 
@@ -56,6 +58,7 @@ class Field:
 SOURCE = {"source_id": Field(str, True, 1)}
 FILTERS = {"category": Field(str), "guest": Field(str), "from_date": Field(str, shape=DATE), "to_date": Field(str, shape=DATE)}
 LIMIT = Field(int, least=1, most=S.PAGE_CAP)
+PAGES = {"offset": Field(int, least=0), "limit": Field(int, least=1, most=1000)}
 
 
 @dataclass(frozen=True)
@@ -79,9 +82,18 @@ class Tool:
         return out
 
 
-def rows(found: DataFrame, most: int = 1000) -> list[dict]:
-    """A page of rows as dictionaries."""
-    return [r.asDict(True) for r in found.limit(most).collect()]
+PAGE = 1000  # rows that one call returns, at most; the next call's offset is told
+
+
+def rows(found: DataFrame) -> list[dict]:
+    """Rows of a page, of a bounded number, as dictionaries."""
+    return [r.asDict(True) for r in found.collect()]
+
+
+def paged(name: str, found: DataFrame, *order: str, offset: int = 0, limit: int = PAGE) -> dict:
+    """A page of ``found`` under ``name``; ``next_offset`` where there is more."""
+    page = rows(found.orderBy(*order).offset(offset).limit(limit + 1))
+    return {name: page[:limit], **({"next_offset": offset + limit} if len(page) > limit else {})}
 
 
 def search_documents(memory: DocumentMemory, query: str, rerank: bool = True, explain: bool = False, **options) -> dict:
@@ -100,13 +112,22 @@ def compare_search_explain(memory: DocumentMemory, query: str, **options) -> dic
     return {"overlap": sum(r["in_both"] for r in found), "weighted_top": top("weighted_rank"), "rrf_top": top("rrf_rank"), "results": found}
 
 
-def export_source(memory: DocumentMemory, source_id: str, format: str = "json", include_history: bool = False) -> dict:
+def export_source(memory: DocumentMemory, source_id: str, format: str = "json", include_history: bool = False, offset: int = 0, limit: int = PAGE) -> dict:
+    """The whole export as files under ``path``, JSON lines or Markdown; a page of its documents, and Markdown that fits a page, in the answer too."""
     documents, manifest = memory.export(source_id, include_history)
-    out = {"manifest": manifest.first().asDict(), "documents": rows(documents.orderBy("slug"), 10_000)}
-    if include_history:
-        out["history"] = rows(memory.history(source_id))
+    path = f"{memory.root}/exports/{source_id.replace(':', '-')}-{uuid.uuid4().hex[:12]}"
+    manifest.write.json(f"{path}/manifest")
+    text = E.export_markdown(documents, manifest)
     if format == "markdown":
-        out["markdown"] = "\n".join(r["text"] for r in E.export_markdown(documents, manifest).orderBy("part", "ord").limit(30_000).collect())
+        text.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("text").write.text(f"{path}/markdown")
+    else:
+        documents.repartitionByRange("slug").sortWithinPartitions("slug").write.json(f"{path}/documents")
+    out = {"manifest": manifest.first().asDict(), "path": path, **paged("documents", documents, "slug", offset=offset, limit=limit)}
+    if include_history:
+        history = memory.history(source_id, limit=HISTORY_CAP)
+        out["history"] = rows(history)  # HISTORY_CAP events; get_source_history has all, page by page
+    if format == "markdown" and "next_offset" not in out and not offset:
+        out["markdown"] = "\n".join(r["text"] for r in text.orderBy("part", "ord").collect())
     return out
 
 
@@ -118,7 +139,7 @@ def import_author_source(memory: DocumentMemory, author_id: str, file_path: str
     else:
         changes = memory.import_author(author_id, file_content, file_name, toc_key, split_by=split_by)
     counts = {r["action"]: r["count"] for r in changes.groupBy("action").count().collect()}
-    return {"source_id": f"author:{author_id}", **{a: counts.get(a, 0) for a in ("added", "updated", "skipped")}, "changes": rows(changes.orderBy("slug"))}
+    return {"source_id": f"author:{author_id}", **{a: counts.get(a, 0) for a in ("added", "updated", "skipped")}, **paged("changes", changes, "slug")}
 
 
 def _page(memory: DocumentMemory, source_id: str, **options) -> dict:
@@ -137,13 +158,13 @@ TOOLS = {
     "get_document": Tool({"slug": Field(str), "guest": Field(str), "section": Field(str, choices=SECTIONS)}, lambda m, slug=None, guest=None, section="metadata": {"slug": slug, "section": section, "content": m.document(slug, section, guest)}, "Document"),
     "get_collection_stats": Tool({}, lambda m: m.stats(), "Collection"),
     "get_llm_status": Tool({}, lambda m: (m.diagnostics or Diagnostics()).report(), "Model provider"),
-    "list_sources": Tool({}, lambda m: {"sources": rows(m.sources().orderBy("source_id"))}, "Sources"),
-    "get_source": Tool(SOURCE, lambda m, source_id: {"source_id": source_id, "documents": rows(m.source(source_id))}, "Source"),
+    "list_sources": Tool(PAGES, lambda m, **page: paged("sources", m.sources(), "source_id", **page), "Sources"),
+    "get_source": Tool(SOURCE | PAGES, lambda m, source_id, **page: {"source_id": source_id, **paged("documents", m.source(source_id), "slug", **page)}, "Source"),
     "get_source_status": Tool(SOURCE, _status, "Source status"),
     "get_source_history": Tool(SOURCE | {"offset": Field(int, least=0), "limit": Field(int, least=0, most=200)}, _page, "Source history"),
     "refresh_source": Tool(SOURCE | {"dry_run": Field(bool)}, lambda m, source_id, dry_run=False: m.refresh(source_id, dry_run), "Refresh"),
     "compact_source_memory": Tool(SOURCE, lambda m, source_id: m.compact(source_id), "Compaction"),
-    "export_source": Tool(SOURCE | {"format": Field(str, choices=("json", "markdown")), "include_history": Field(bool)}, export_source, "Export"),
+    "export_source": Tool(SOURCE | PAGES | {"format": Field(str, choices=("json", "markdown")), "include_history": Field(bool)}, export_source, "Export"),
     "delete_source": Tool(SOURCE, lambda m, source_id: {"source_id": source_id, "deleted": m.delete(source_id)}, "Deletion"),
     "import_author_source": Tool({"file_path": Field(str, least=1), "file_content": Field(str, least=1), "file_name": Field(str, least=1), "author_id": Field(str, True, shape=AUTHOR), "split_by": Field(str, least=1), "toc_key": Field(str, least=1)}, import_author_source, "Import", ("file_path", "file_content")),
 }
