@@ -17,6 +17,7 @@ from ..operators import lifecycle as E
 from ..operators import persona as P
 from ..operators import rerank as R
 from ..plans import corpus as C
+from ..service import DocumentMemory
 from ..sources import files
 from .prelude import AUTHOR, BRIDGE, EVENTS, REC
 
@@ -307,11 +308,36 @@ def q81(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", J.stable_text(rows, "y", "b", "n").alias("text"))
 
 
+def q92(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clones by name, with the chats that were kept with each."""
+    clones = q71(spark, sf_dir).select(F.col("author_id").alias("name"), "problem")
+    turns = C.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.concat(F.lit("src"), F.lpad((F.col("conv_id") % 7).cast("string"), 2, "0")).alias("author_id"))
+    return L.listed(clones, turns)
+
+
+def q93(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after imports, a dry run, changes, a deletion and a compaction: its documents and its log."""
+    memory = DocumentMemory(spark, _folder(spark, "memory"))
+    text = F.col("content")
+    rows = C.records(spark, sf_dir).select(
+        "doc_id", "slug", F.col("slug").alias("document_slug"), "author_id", "source", "title", "guest", "keywords", "publish_date", F.lit("").alias("original_url"), "content", "transcript",
+        T.word_count(text).alias("word_count"), T.short_hash(text).alias("content_hash"),
+    )
+    changed = rows.withColumn("content_hash", F.when(F.col("doc_id") % 2 == 0, T.short_hash(F.concat(F.lit("new "), text))).otherwise(F.col("content_hash")))
+    for author, docs, dry in (("src03", rows, False), ("src05", rows, False), ("src05", changed, True), ("src03", changed, False)):
+        memory.import_documents(author, docs, dry)
+    memory.delete("author:src05")
+    memory.compact("author:src03", keep=1)
+    documents = memory.documents().select(F.lit("document").alias("kind"), F.col("slug").alias("name"), F.col("content_hash").alias("value"))
+    events = E.valid(memory.events()).select(F.lit("event").alias("kind"), F.concat_ws(" ", "source_id", "action").alias("name"), F.col("document_count").cast("long").cast("string").alias("value"))
+    return documents.unionByName(events)
+
+
 QUERIES = {
     "q60_posts_table": q60, "q61_post_files": q61, "q62_transcript_files": q62, "q63_document_jsonl": q63, "q64_category_files": q64, "q64_category_hashes": q64b, "q65_event_log_files": q65,
     "q66_elements_and_chunks": q66, "q66_elements_of_one": q66b, "q67_author_jsonl": q67, "q68_folder_ingest": q68, "q69_manifest_upkeep": q69, "q69_incremental_update": q69b, "q69_collection_digest": q69c,
     "q69_hash_fallback": q69d, "q70_stored_vectors": q70, "q71_persona_files": q71, "q72_knowledge_register": q72, "q73_panel_lens": q73, "q74_guest_lookup": q74, "q75_file_audit": q75,
-    "q76_collection_rules": q76, "q77_marked_snippet": q77, "q78_public_views": q78, "q79_persona_benchmark": q79, "q80_changes_of_both": q80, "q81_stable_json": q81,
+    "q76_collection_rules": q76, "q77_marked_snippet": q77, "q78_public_views": q78, "q79_persona_benchmark": q79, "q92_clones_listed": q92, "q93_store_lifecycle": q93, "q80_changes_of_both": q80, "q81_stable_json": q81,
 }
 
 _WORDS = "len(list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> ''))::BIGINT"
@@ -382,3 +408,9 @@ SELECT 'plan', '', 'full', NULL, NULL""",
   {{'dimension': 'groupRoomReadiness', 'pass': true}}, {{'dimension': 'standaloneCliReadiness', 'pass': true}}, {{'dimension': 'providerParity', 'pass': true}}, {{'dimension': 'migrationReadiness', 'pass': k}},
   {{'dimension': 'securityReadiness', 'pass': q AND k}}, {{'dimension': 'overall', 'pass': q AND k}}]) AS r FROM a) SELECT r.dimension AS dimension, r.pass AS pass, CASE WHEN r.pass THEN 1.0::DOUBLE ELSE 0.0 END AS score FROM r""",
 }
+SQL["q92_clones_listed"] = f"""WITH c AS ({SQL['q71_persona_files']}), t AS (SELECT 'src' || lpad((conv_id % 7)::VARCHAR, 2, '0') AS name, count(DISTINCT conv_id) AS sessions, count(*) AS turns FROM conversations GROUP BY 1)
+SELECT author_id AS name, problem, coalesce(sessions, 0) AS sessions, coalesce(turns, 0) AS turns FROM c LEFT JOIN t ON author_id = name"""
+SQL["q93_store_lifecycle"] = f"""WITH {REC}, n AS (SELECT author_id, count(*) AS n FROM rec GROUP BY 1)
+SELECT 'document' AS kind, slug AS name, left(sha256((CASE WHEN doc_id % 2 = 0 THEN 'new ' ELSE '' END) || content), 16) AS value FROM rec WHERE author_id = 'src03'
+UNION ALL SELECT 'event', 'author:src03 import', n::VARCHAR FROM n WHERE author_id = 'src03'
+UNION ALL SELECT 'event', 'author:src05 ' || unnest(['import', 'delete']), n::VARCHAR FROM n WHERE author_id = 'src05'"""

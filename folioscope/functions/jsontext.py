@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,22 +42,81 @@ LEAF = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("path"
 
 
 def leaves(text: str | None) -> list[tuple[int, str, str]]:
-    """(order, path, JSON text) of the scalars of a document, depth first; not JSON: none."""
-
-    def walk(value, path):
-        if isinstance(value, dict):
-            for k, v in value.items():
-                yield from walk(v, f"{path}.{k}")
-        elif isinstance(value, list):
-            for i, v in enumerate(value):
-                yield from walk(v, f"{path}[{i}]")
-        else:
-            yield path, json.dumps(value, ensure_ascii=False)
+    """(order, path, JSON text) of the scalars of a document, depth first, at any depth; not JSON: none.
 
+    Of a key that stands twice in an object the last value counts, at the first one's place.
+    """
     try:
-        return [(i, p, t) for i, (p, t) in enumerate(walk(json.loads(text), "$"), 1)]
+        try:
+            whole = json.loads(text)
+        except RecursionError:
+            whole = deep(text)
     except (TypeError, ValueError):
         return []
+    found: list[tuple[int, str, str]] = []
+    work = [("$", whole)]
+    while work:
+        path, value = work.pop()
+        if isinstance(value, dict):
+            work += [(f"{path}.{k}", v) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            work += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(value)))]
+        else:
+            found.append((len(found) + 1, path, json.dumps(value, ensure_ascii=False)))
+    return found
+
+
+BLANK = re.compile(r"[ \t\n\r]*")
+_SCALAR = json.JSONDecoder()
+
+
+def deep(text: str):
+    """``json.loads`` for documents that are nested too deep for it: open containers are kept in a list."""
+    open_: list[tuple[object, str | None]] = []  # containers, with the key under which each is to be put
+    at = BLANK.match(text).end()
+    key: str | None = None
+
+    def name(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(f"no key at {at}")
+        k, at = _SCALAR.raw_decode(text, at)
+        at = BLANK.match(text, at).end()
+        if text[at : at + 1] != ":":
+            raise ValueError(f"no colon at {at}")
+        return k, BLANK.match(text, at + 1).end()
+
+    while True:
+        sign = text[at : at + 1]
+        if sign in ("{", "[") and sign:
+            inner = BLANK.match(text, at + 1).end()
+            value: object = {} if sign == "{" else []
+            if text[inner : inner + 1] != ("}" if sign == "{" else "]"):
+                open_.append((value, key))
+                key, at = name(inner) if sign == "{" else (None, inner)
+                continue
+            at = inner + 1
+        else:
+            value, at = _SCALAR.raw_decode(text, at)
+        while True:  # a value is whole: put it where it belongs, and close what ends with it
+            at = BLANK.match(text, at).end()
+            if not open_:
+                if at != len(text):
+                    raise ValueError(f"more than one value, at {at}")
+                return value
+            holder, above = open_[-1]
+            if isinstance(holder, dict):
+                holder[key] = value
+            else:
+                holder.append(value)
+            sign = text[at : at + 1]
+            if sign == ",":
+                at = BLANK.match(text, at + 1).end()
+                key, at = name(at) if isinstance(holder, dict) else (None, at)
+                break
+            if sign != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(f"neither a comma nor an end at {at}")
+            value, key, at = holder, above, at + 1
+            open_.pop()
 
 
 def flatten(df: DataFrame, id_col: str, json_col: str) -> DataFrame:

@@ -64,16 +64,27 @@ def with_changes(before: DataFrame, gone: DataFrame, come: DataFrame) -> DataFra
     return parts.agg(*(F.sum(n).alias(n) for n in names))
 
 
+BUCKET = 1_000  # documents in a bucket of the digest, about
+DIGITS = 3  # hexadecimal digits by which buckets are parted at each level
+
+
 def digest(documents: DataFrame) -> DataFrame:
     """(digest): 16 digits over all slugs and content hashes, so that any change of a text is one.
 
-    Slugs are dealt to 4,096 buckets by hash; a bucket's rows are hashed in order, then the buckets' hashes.
+    A tree: slugs are dealt to buckets by the first digits of their hash, more digits for more documents, so that a bucket stays
+    small; a bucket's rows are hashed in order, and 4,096 neighbouring buckets' hashes at each level above.
     """
-    rows = documents.select("slug", T.short_hash(F.coalesce("content", F.lit(""))).alias("hash"), F.left(F.md5("slug"), F.lit(3)).alias("bucket"))
+    digits = DIGITS
+    n = documents.count()
+    while n > BUCKET * 16**digits and digits < 30:
+        digits += DIGITS
+    rows = documents.select("slug", T.short_hash(F.coalesce("content", F.lit(""))).alias("hash"), F.left(F.md5("slug"), F.lit(digits)).alias("bucket"))
     said = F.array_sort(F.collect_list(F.concat_ws(" ", "slug", "hash")))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(said, "\n"), 256).alias("h"))
+    nodes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(said, "\n"), 256).alias("h"))
     whole = F.array_sort(F.collect_list(F.concat_ws(" ", "bucket", F.col("n").cast("string"), "h")))  # 4,096 at most
-    return buckets.agg(F.left(F.sha2(F.array_join(whole, "\n"), 256), F.lit(16)).alias("digest"))
+    for left in range(digits - DIGITS, 0, -DIGITS):
+        nodes = nodes.groupBy(F.left("bucket", F.lit(left)).alias("bucket")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(whole, "\n"), 256).alias("h"))
+    return nodes.agg(F.left(F.sha2(F.array_join(whole, "\n"), 256), F.lit(16)).alias("digest"))
 
 
 def with_hashes(documents: DataFrame, files: DataFrame) -> DataFrame:

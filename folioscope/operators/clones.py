@@ -107,3 +107,13 @@ def panel_lens(personas: DataFrame, lenses: DataFrame, category: str) -> DataFra
         raise ValueError(f"no such category: {category}")
     own = personas.where(F.array_contains("categories", category)).withColumn("category", F.lit(category))
     return own.join(F.broadcast(lenses.where(F.col("category") == category).limit(1)), "category", "left")
+
+
+def listed(clones: DataFrame, turns: DataFrame) -> DataFrame:
+    """(name, problem, sessions, turns): the clones of ``parse`` by name, with the chats that were kept with each.
+
+    ``turns(session_id, author_id)``: a row a turn. Clones without chats have none; chats with a name that is no clone aren't listed.
+    """
+    by = turns.groupBy(F.col("author_id").alias("name")).agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("turns"))
+    rows = clones.select("name", "problem").join(by, "name", "left")
+    return rows.select("name", "problem", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sessions", "turns")))

@@ -90,3 +90,14 @@ def sources(documents: DataFrame, events: DataFrame) -> DataFrame:
 def public_compactions(records: DataFrame) -> DataFrame:
     """Records with the name of the backup alone, not its place."""
     return records.withColumn("backup_id", F.element_at(F.split("backup_path", "/"), -1)).drop("backup_path")
+
+
+def bad_compactions(records: DataFrame) -> DataFrame:
+    """(source_id, problem) of records of compactions that can't be right: nothing may be compacted beside them."""
+    count = lambda c: F.col(c).isNull() | (F.col(c) < 0)
+    problem = (
+        F.when(~F.coalesce(F.col("source_id").rlike("^author:[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"), F.lit(False)), "no source")
+        .when(F.try_to_timestamp("compacted_at").isNull(), "no time").when(count("retained") | count("removed") | count("skipped_malformed"), "no count")
+        .when(F.coalesce("backup_path", F.lit("")) == "", "no backup")
+    )
+    return records.select("source_id", problem.alias("problem")).where("problem is not null")

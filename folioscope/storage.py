@@ -63,12 +63,22 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise FileExistsError(path)
 
 
+def next_number(spark: SparkSession, folder: str) -> int:
+    """A number above all that were given out before, whatever clocks say; only to be asked for under a lock. What was given out last is the
+    name of a file, and the file before it is deleted after."""
+    last = last_version(spark, folder)
+    write_text(spark, f"{folder}/{last + 1:08d}", "")
+    if last:
+        remove(spark, f"{folder}/{last:08d}")
+    return last + 1
+
+
 def last_version(spark: SparkSession, folder: str) -> int:
     """The greatest of the files under ``folder`` that are named by eight digits, 0 if there is none."""
     fs, where = _path(spark, folder)
     if not fs.exists(where):
         return 0
-    return max((int(n) for f in fs.listStatus(where) if re.fullmatch(r"\d{8}", n := f.getPath().getName())), default=0)
+    return max((int(n) for f in fs.listStatus(where) if re.fullmatch(r"\d{8,}", n := f.getPath().getName())), default=0)
 
 
 def fingerprint(rows: DataFrame) -> str:
