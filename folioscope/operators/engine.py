@@ -30,6 +30,7 @@ from pyspark.sql.types import IntegerType
 from .. import storage
 from ..functions.query import parse_query
 from . import search as S
+from .local import local_rows, one_of
 
 FORMAT = 3  # of the tables; an index of another is not read
 MOST_SEGMENTS = 16  # more are merged
@@ -152,10 +153,10 @@ class IndexEngine:
         """The documents of some slugs, at most some thousands, out of their folders."""
         if not slugs:
             return self.spark.createDataFrame([], self._schema())
-        hashed = dict(self.spark.createDataFrame([(x,) for x in slugs], "slug string").select("slug", F.xxhash64("slug")).collect())
+        hashed = dict(local_rows(self.spark, [(x,) for x in slugs], "slug string").select("slug", F.xxhash64("slug")).collect())
         folders = lambda name: [f"part={k}" for k in sorted({hashed[x] % self.state["parts"][name] for x in slugs})]
         rows = self._live("documents", self._schema().add("part", IntegerType()), folders)
-        return rows.where(F.col("slug").isin(slugs)).select(*self._schema().names)
+        return rows.where(one_of("slug", slugs)).select(*self._schema().names)
 
     def postings(self) -> DataFrame:
         return self._live("postings", POSTINGS)
@@ -164,7 +165,7 @@ class IndexEngine:
         """Postings of the shards in which the tokens that ``words`` begin can be; those of a letter are in any."""
         if any(len(w) < HEAD for w in words):
             return self.postings()
-        heads = {r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(head_of(F.col("w"))).collect()}
+        heads = {r[0] for r in local_rows(self.spark, [(w,) for w in words], "w string").select(head_of(F.col("w"))).collect()}
         shards = lambda name: sorted({h % _shards(self.state["parts"][name]) for h in heads})
         return self._live("postings", POSTINGS, lambda name: [f"field={f}/shard={k}" for f in S.WEIGHTS for k in shards(name)])
 
@@ -176,10 +177,10 @@ class IndexEngine:
         if parsed.empty or not parsed.index_terms():
             return S.nothing(self.documents().select(*light))
         found = self._found(parsed, wanted.mode)
-        docs = self.documents_of([r["slug"] for r in found])
+        docs = self.documents_of([r[0] for r in found])
         if parsed.phrases:
             docs = docs.where(S.membership(parsed, terms=False))
-        scores = self.spark.createDataFrame(found, ", ".join(["slug string", *(f"{f}_score double" for f in S.WEIGHTS)]))
+        scores = local_rows(self.spark, found, ", ".join(["slug string", *(f"{f}_score double" for f in S.WEIGHTS)]))
         rows = S.filtered(docs.select(*light), wanted, categories).join(F.broadcast(scores), "slug")  # FIELD_CAP rows a field at most
         return S.scored(rows.withColumn("raw", S.raw_score()))
 
@@ -202,14 +203,18 @@ class IndexEngine:
         member = F.exists(F.slice("told", 1, len(terms)), lambda x: x) if parsed.any_term and terms else F.forall("told", lambda x: x)
         hits = rows.select("slug", member.alias("member"), F.explode("fields").alias("h")).where(test("h.at", lambda x: x.isNotNull()))
         best = S.best_of_fields(hits.select("slug", F.struct("slug", "member").alias("of"), "h.field", F.array_min("h.at").alias("first")), named="of")
-        scores = S.field_scores(best.select(F.col("of").alias("slug"), "field", "rank0"), mode)
-        return scores.where("slug.member").select("slug.slug", *(f"{f}_score" for f in S.WEIGHTS)).collect()
+        # FIELD_CAP rows a field: they are scored here, as ``search.field_scores`` does
+        scores: dict[str, dict[str, float]] = {}
+        for r in best.where("of.member").select("field", "of.slug", "rank0").collect():
+            weight = float(S.WEIGHTS[r["field"]])
+            scores.setdefault(r["slug"], {})[r["field"]] = weight if mode == "weighted" else weight / (S.RRF_K + r["rank0"] + 1)
+        return [(slug, *(own.get(f) for f in S.WEIGHTS)) for slug, own in sorted(scores.items())]
 
     def whole(self, rows: DataFrame) -> DataFrame:
         """The rows of a page, at most ``search.PAGE_CAP``, with their texts; read by their slugs."""
         page = rows.collect()
         names = [n for n in ("transcript", "content") if n in self._schema().names]
-        kept = self.spark.createDataFrame(page, rows.schema)
+        kept = local_rows(self.spark, page, rows.schema)
         texts = self.documents_of([r["slug"] for r in page]).select("slug", *names)
         return kept.join(texts, "slug", "left").select(*rows.columns, *names)
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .local import local_rows
 from .tables import Sharded
 
 K1, B = 1.2, 0.75
@@ -53,7 +54,7 @@ class Bm25(Sharded):
 
     def words_of(self, query: str) -> list[str]:
         """The query's distinct words, as the texts' are taken."""
-        row = self.spark.createDataFrame([(query,)], "q string").select(F.array_sort(F.array_distinct(T.tokens(F.col("q"))))).first()
+        row = local_rows(self.spark, [(query,)], "q string").select(F.array_sort(F.array_distinct(T.tokens(F.col("q"))))).first()
         return list(row[0])
 
     def weights(self, words: list[str]) -> dict[str, float]:
@@ -88,8 +89,8 @@ class Bm25(Sharded):
         if not weights:
             return self.spark.createDataFrame([], "rank int, slug string, score double")
         least, _ = self.threshold(weights, k)
-        best = self.scored(weights, self.needed(weights, least)).orderBy(F.desc("score"), "slug").limit(k)
-        return best.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "slug"))).alias("rows")).select(F.posexplode("rows").alias("n", "r")).select((F.col("n") + 1).alias("rank"), "r.slug", (-F.col("r.s")).alias("score"))
+        best = self.scored(weights, self.needed(weights, least)).orderBy(F.desc("score"), "slug").limit(k).collect()
+        return local_rows(self.spark, [(i, r["slug"], r["score"]) for i, r in enumerate(best, 1)], "rank int, slug string, score double")
 
 
 def _weighed(weights: dict[str, float]) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.query import ParsedQuery, parse_query
 from .deadline import within
+from .local import local_rows
 from .snippet import with_snippet
 
 # What a hit in a field weighs, and the constant of reciprocal ranks.
@@ -163,7 +164,7 @@ def results(source, search: Search, categories: DataFrame | None = None) -> Data
 
 def gathered(rows: DataFrame) -> DataFrame:
     """(slug, score) of all results, which are at most FIELD_CAP a field, worked out once."""
-    return rows.sparkSession.createDataFrame(rows.select("slug", "score").collect(), "slug string, score double")
+    return local_rows(rows.sparkSession, rows.select("slug", "score").collect(), "slug string, score double")
 
 
 def results_page(source, search: Search, categories: DataFrame | None = None) -> DataFrame:
@@ -217,7 +218,7 @@ def reranked_page(source, wanted: Search, categories: DataFrame | None, reranker
         order = scores.select("slug", "score", F.lit(False), F.row_number().over(window)).collect()
         applied, reason = False, type(e).__name__
     offset, limit = wanted.window()
-    chosen = rows.sparkSession.createDataFrame([r for r in order if offset < r[3] <= offset + limit], kind).drop("reranked")
+    chosen = local_rows(rows.sparkSession, [r for r in order if offset < r[3] <= offset + limit], kind).drop("reranked")
     rows = rows.drop("score").join(F.broadcast(chosen), "slug")
     rows = rows if isinstance(source, DataFrame) else source.whole(rows)
     return rows.withColumns({"rerank_attempted": F.lit(True), "rerank_applied": F.lit(applied), "rerank_reason": F.lit(reason).cast("string")})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
+from .local import local_rows
 
 
 def shard_of(key: Column, shards: int) -> Column:
@@ -44,7 +45,7 @@ class Sharded:
     def of_keys(self, name: str, keys: list[str]) -> DataFrame:
         """Rows in the shards of some keys."""
         shards = self.state["tables"][name][1]
-        hashed = {r[0] for r in self.spark.createDataFrame([(k,) for k in keys], "k string").select(shard_of(F.col("k"), shards)).collect()} if keys else set()
+        hashed = {r[0] for r in local_rows(self.spark, [(k,) for k in keys], "k string").select(shard_of(F.col("k"), shards)).collect()} if keys else set()
         return self.of_shards(name, sorted(hashed))
 
     def of_shards(self, name: str, shards: list[int]) -> DataFrame:

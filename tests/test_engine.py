@@ -57,7 +57,7 @@ def test_only_the_folders_of_hits_are_read(docs, index):
     """A search reads few documents' folders and one shard a prefix, and no text but of its hits."""
     wanted = S.Search("ßig", guest="guest 3")
     rows = index.matches(wanted)
-    hits = {r["slug"] for r in index._found(S.parse_query("ßig"), "weighted")}
+    hits = {r[0] for r in index._found(S.parse_query("ßig"), "weighted")}
     assert 0 < len(hits) < 900
     read = {f.split("/part=")[1].split("/")[0] for f in index.documents_of(sorted(hits)[:3]).inputFiles()}
     assert 1 <= len(read) <= 3
