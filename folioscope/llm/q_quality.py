@@ -16,4 +16,4 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_ordinal_quality": op9_ordinal_quality}
-SQL: dict[str, str] = {}  # fitting isn't in SQL; tests/llm measures accuracy on labels held out
+SQL: dict[str, str] = {}  # fitting isn't in SQL; tests/llm holds scores and the fit against plain code, and measures accuracy on labels held out
