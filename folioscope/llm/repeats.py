@@ -576,6 +576,8 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right, anchors whose repeats reach the end of what was looked at are looked at again, twice as far. All
     anchors of one string are held by one task, however many, and occurrences are listed for each repeat:
     where repeats lie in one another, as in a long run of one byte, they grow with the square of its length.
+
+    Null and short texts repeat nothing; ids are told as they are, null and repeated ones too, each row's occurrences by themselves. No rows: no rows.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -70,7 +70,7 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
 
 def write_sharded(docs: DataFrame, path: str, rows_per_file: int = 1_000_000, **options) -> None:
     """Parquet under ``path``, a folder for each shard, files of about ``rows_per_file`` rows in each, dealt by
-    row hash: as many tasks as files, so that they grow with the rows."""
+    row hash: as many tasks as files, so that they grow with the rows. Null ids and repeated rows are placed as ``placed`` says; of no rows come no files."""
     rows = placed(docs, **options)
     shards = options.get("shards", SHARDS)
     files = max(1, -(-docs.count() // (shards * rows_per_file)))

@@ -512,6 +512,8 @@ def confirmed(texts: DataFrame, groups: DataFrame, least: float = ALIKE, size: i
     Groups of more than ``held`` texts are dealt out in blocks. First each block meets block 0. Texts that are
     then in the tree of block 0's largest tree are joined already; only the others meet all blocks, so that rows
     grow with the texts of a group times the blocks of those others.
+
+    Null and blank texts have no shingles, and are alike among themselves; copies of a text are one row; groups of one text give no pair. No rows: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,6 +105,9 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
 
 
 def allowed(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
-    """The captures that no entry covered when they were fetched, columns as they were."""
+    """The captures that no entry covered when they were fetched, columns as they were.
+
+    A null or odd url, a null time and an empty list block nothing; repeated rows are judged alike, and each stays or goes. No rows: no rows.
+    """
     tag = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("capture"), F.col(url_col).alias("u"), F.col(time_col).alias("t"))
     return judge(tag, entries, "u", "t").where("not blocked").select("capture.*")

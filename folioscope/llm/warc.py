@@ -114,13 +114,14 @@ def tree(places: DataFrame, fan: int = FAN) -> list[DataFrame]:
 
 
 def verdicts(one: list[DataFrame], two: list[DataFrame]) -> DataFrame:
-    """(file, root, replica_root, intact) of every file of either tree."""
+    """(file, root, replica_root, intact) of every file of either tree; a file that one of them lacks isn't intact. Of empty trees: no rows."""
     a, b = (t[-1].where("node = 0").select("file", F.col("hash").alias(n)) for t, n in ((one, "root"), (two, "replica_root")))
     return a.join(b, "file", "full").withColumn("intact", F.coalesce(F.col("root") == F.col("replica_root"), F.lit(False)))
 
 
 def differing(one: list[DataFrame], two: list[DataFrame], fan: int = FAN) -> DataFrame:
-    """Trees of two replicas; returns (file, seq, a, b): the leaves that are not the same in both."""
+    """Trees of two replicas; returns (file, seq, a, b): the leaves that are not the same in both, null on the side that has none there.
+    Equal trees: no rows; against an empty tree every leaf differs."""
     suspects = None
     for level in range(max(len(one), len(two)) - 1, -1, -1):
         kept = ["file", "node", "hash", *(["leaf"] if not level else [])]
@@ -149,7 +150,7 @@ def audit(one: DataFrame, two: DataFrame, fan: int = FAN) -> DataFrame:
 
 
 def damage(one: list[DataFrame], two: list[DataFrame], fan: int = FAN) -> DataFrame:
-    """``audit`` of trees that are made."""
+    """``audit`` of trees that are made, which left out rows without a place and put repeats of a place into one leaf."""
     found = differing(one, two, fan)
     hashes = [F.transform(c, lambda x: x["sha256"]) for c in ("a", "b")]
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(hashes[0] == hashes[1], "moved").otherwise("corrupt")
