@@ -5,8 +5,13 @@ pair of centroids. A query takes the pairs in order of summed distance, off a he
 Lempitsky, CVPR 2012), until their cells hold ``visit`` times all entries, and the entries of those
 cells are ranked again by the cosine of the whole vectors as given, in double precision.
 
+How much has to be visited hangs on the data, so a pilot finds it out: the exact neighbours of ``PILOTS``
+vectors, by one pass over all entries, and how many entries come before each of them. Half of the pilots choose
+the smallest ``visit`` that finds enough of their neighbours, the other half measure what it finds of theirs. Enough
+is ``LEAST`` and ``ERRORS`` standard errors of a share over so many pilots and queries, as few queries stray further.
+
 Bounds. Centroids are fitted on the driver on at most ``SAMPLE`` vectors (those with the smallest
-hash); every vector is indexed. A half has ``CENTROIDS`` centroids, and more as the entries grow, so that a
+hash), the first ``PILOTS`` of which are the pilots; every vector is indexed. A half has ``CENTROIDS`` centroids, and more as the entries grow, so that a
 cell holds some ``HELD`` of them, up to ``MOST``. What is broadcast is the centroids and the number of entries of each
 cell, at most ``MOST`` squared. A cell with more than ``HELD`` entries is dealt out in
 parts by hash, so a task holds no more than one part (in expectation) and one batch of queries. Each
@@ -33,7 +38,9 @@ MOST = 1024
 SAMPLE = 10_000
 ROUNDS = 12
 HELD = 2_000
-VISIT = 0.65
+PILOTS = 400
+LEAST = 0.9
+ERRORS = 2
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -95,8 +102,8 @@ def cosine(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return dots / (np.sqrt((vectors**2).sum(1)) * np.sqrt((query**2).sum()))
 
 
-def nearest(query: np.ndarray, own: int, rough: np.ndarray, ids: np.ndarray, starts: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best ids but ``own``, and their scores, each by its best vector. ``ids`` in order, where
+def nearest(query: np.ndarray, own: int, rough: np.ndarray, ids: np.ndarray, starts: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best ids but ``own``, their scores and rows, each by its best vector. ``ids`` in order, where
     ``starts`` has the first row of each; ``rough``: cosines to within a billionth."""
     best = np.maximum.reduceat(rough, starts)
     best[ids[starts] == own] = -np.inf
@@ -107,8 +114,67 @@ def nearest(query: np.ndarray, own: int, rough: np.ndarray, ids: np.ndarray, sta
     score = cosine(query, vectors[rows])
     order = np.lexsort((ids[rows], -score))
     _, first = np.unique(ids[rows][order], return_index=True)
-    chosen = order[np.sort(first)][:k]
-    return ids[rows][chosen], score[chosen]
+    taken = order[np.sort(first)][:k]
+    return ids[rows][taken], score[taken], rows[taken]
+
+
+def exact(pilots: list[tuple[int, np.ndarray]], entries: DataFrame, k: int) -> DataFrame:
+    """(pilot, id, score, cell): the ``k`` nearest of ``entries`` (id, vector, cell) to each pilot, its own id
+    left out; an id by its best vector. Ties go to the smaller id. A task keeps ``k`` rows a pilot."""
+    own = np.array([i for i, _ in pilots], np.int64)
+    sent = entries.sparkSession.sparkContext.broadcast(np.array([v for _, v in pilots]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict[int, tuple[float, int]]] = [{} for _ in own]
+        units = _units(sent.value)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, cells = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, cells, vectors = ids[order], cells[order], _matrix(batch.column(1))[order]
+            starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            rough = units @ _units(vectors).T
+            for p, best in enumerate(kept):
+                found, score, rows = nearest(sent.value[p], own[p], rough[p], ids, starts, vectors, k)
+                for i, x, c in zip(found.tolist(), score.tolist(), cells[rows].tolist(), strict=True):
+                    if i not in best or x > best[i][0]:
+                        best[i] = (x, c)
+                for i in sorted(best, key=lambda i: (-best[i][0], i))[k:]:
+                    del best[i]
+        out = [(p, i, x, c) for p, best in enumerate(kept) for i, (x, c) in best.items()]
+        if out:
+            p, i, x, c = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(i, pa.int64()), pa.array(x, pa.float64()), pa.array(c, pa.int64())], ["pilot", "id", "score", "cell"])
+
+    found = entries.select("id", "vector", "cell").mapInArrow(scan, "pilot int, id bigint, score double, cell bigint")
+    found = found.groupBy("pilot", "id").agg(F.max("score").alias("score"), F.max_by("cell", "score").alias("cell"))
+    rank = F.row_number().over(Window.partitionBy("pilot").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def needs(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, cells: list[int]) -> np.ndarray:
+    """For each cell the share of all entries above which ``visit`` has to be for ``traverse`` to come to it:
+    what the cells of smaller summed distance hold."""
+    apart = (first[:, None] + second[None, :]).ravel()
+    return np.array([sizes[apart < apart[c]].sum() / sizes.sum() for c in cells])
+
+
+def enough(pilots: int, queries: int) -> float:
+    """The share of neighbours, of so many of the pilots', that has to be found for ``LEAST`` of so many of the queries'
+    to be found but for a chance of ``ERRORS`` standard errors; at most all."""
+    error = np.sqrt(LEAST * (1 - LEAST) * (1 / max(pilots, 1) + 1 / max(queries, 1)))
+    return float(min(1.0, LEAST + ERRORS * error))
+
+
+def chosen(choosing: np.ndarray, measuring: np.ndarray, target: float, every: int) -> tuple[float, float | None]:
+    """(visit, recall): the smallest share that comes to ``target`` of the needs that choose, and the share of the others'
+    that it comes to. Without needs to choose by: everything, and no recall."""
+    if not len(choosing):
+        return 1.0, None
+    at = np.sort(choosing)[int(np.ceil(target * len(choosing))) - 1]
+    visit = min(1.0, (round(float(at) * every) + 1) / every)
+    return visit, float((measuring < visit).mean()) if len(measuring) else None
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -121,25 +187,28 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(sound)
 
 
-def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, visit: float = VISIT, centroids: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest rows of each query that the index finds.
+def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, visit: float | None = None, centroids: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score, visit, recall): the nearest rows of each query that the index finds.
 
     ``queries``: a condition on the id; each distinct (id, vector) it holds for is a query, and every
     row but those of the query's own id is a candidate. Rows that cannot take part (see ``usable``) are
     neither. Repeated rows of one id and vector count once; of one id with several vectors the nearest
     counts. Ties go to the smaller id. Fewer than ``k`` candidates: all of them. Nothing to search: no
     rows. Columns other than the two are not looked at. ``centroids``: of each half; None: by the number of rows.
+    ``visit``: the share of entries to visit; None: as the pilot says. ``recall``: what the pilot measured at that
+    share, null without pilots to measure by or with a given ``visit``.
     """
     spark = rows.sparkSession
     prepare(spark)
     fine = usable(rows, id_col, vector_col)
     lengths = fine.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, visit double, recall double")
     if not lengths:
         return empty
     width = lengths[0]["n"]
     fine = fine.where(F.size("vector") == width).distinct()
-    sample = np.array([r["vector"] for r in fine.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], np.float64)
+    drawn = fine.orderBy(F.xxhash64("id"), "id", "vector").limit(SAMPLE).collect()
+    sample = np.array([r["vector"] for r in drawn], np.float64)
     half = (width + 1) // 2
     units = _units(sample)
     if centroids is None:
@@ -161,8 +230,19 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "
     for r in entries.groupBy("cell").count().collect():  # at most as many rows as cells
         sizes[r["cell"]] = r["count"]
     known = spark.sparkContext.broadcast(sizes)
-    wanted = max(int(np.ceil(visit * sizes.sum())), k + 1)
     every = int(sizes.sum())
+    asked = entries.where(queries(F.col("id"))).select("id", "vector")
+    recall = None
+    if visit is None:
+        pilots = [(r["id"], v) for r, v in zip(drawn[:PILOTS], sample, strict=False)]
+        near: list[list[int]] = [[] for _ in pilots]
+        for r in exact(pilots, entries, k).collect():  # at most k rows a pilot
+            near[r["pilot"]].append(r["cell"])
+        apart = [_apart(units[: len(pilots), s], b) for s, b in zip((slice(half), slice(half, None)), books, strict=True)]
+        need = [needs(a, b, sizes, c) for a, b, c in zip(*apart, near, strict=True)]
+        choosing, measuring = np.concatenate(need[::2]), np.concatenate([*need[1::2], np.zeros(0)])
+        visit, recall = chosen(choosing, measuring, enough(len(choosing), k * asked.count()), every)
+    wanted = max(int(np.ceil(visit * every)), k + 1)
     parts = np.maximum(1, -(-sizes // HELD))
     number = F.get(F.split(F.lit(",".join(map(str, parts.tolist()))), ","), F.col("cell").cast("int")).cast("long")
     dealt = entries.select("cell", F.pmod(F.xxhash64("id"), number).alias("part"), F.lit(0).alias("asks"), "id", "vector")
@@ -185,8 +265,6 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "
                 took = pa.array(rows_, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(part, pa.int64()), pa.array([1] * len(rows_), pa.int32()), batch.column(0).take(took), batch.column(1).take(took)], ["cell", "part", "asks", "id", "vector"])
 
-    asked = entries.where(queries(F.col("id"))).select("id", "vector")
-
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors, units, starts = None, [], [], None, None
         for batch in batches:
@@ -213,7 +291,7 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "
                 rough = _units(matrix[a:b]) @ units.T
                 out: list[tuple] = []
                 for i in range(b - a):
-                    found, score = nearest(matrix[a + i], own[a + i], rough[i], ids, starts, vectors, k)
+                    found, score, _ = nearest(matrix[a + i], own[a + i], rough[i], ids, starts, vectors, k)
                     out += [(int(own[a + i]), e, x) for e, x in zip(found.tolist(), score.tolist(), strict=True)]
                 q, e, x = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(e, pa.int64()), pa.array(x, pa.float64())], ["query_id", "vec_id", "score"])
@@ -223,7 +301,8 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "
         met = dealt.unionByName(sent).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks")
         found = met.mapInArrow(best, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        told = F.lit(float(visit)).alias("visit"), F.lit(recall).cast("double").alias("recall")
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", *told)
 
     found = answers(asked, wanted)
     if wanted >= every:

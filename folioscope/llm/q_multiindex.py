@@ -9,7 +9,7 @@ from .support import table
 
 
 def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest of every vector whose id is divisible by 50, among all vectors."""
+    """The five nearest of every vector whose id is divisible by 50, among all vectors; how much is visited a pilot chooses."""
     return multiindex.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
