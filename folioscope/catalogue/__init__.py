@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["searching", "retrieval", "analytics", "texts", "collection", "lifecycle", "personas", "storing"]
+MODULES = ["searching", "retrieval", "analytics", "texts", "collection", "lifecycle", "personas", "storing", "folders"]
 
 
 def _modules():

@@ -204,7 +204,8 @@ def exported_texts(exported: DataFrame) -> DataFrame:
 
 
 def export_chunks(exported: DataFrame, most: int = CLAIMS) -> DataFrame:
-    """The first documents with text of an author's export as chunks, to make claims of."""
-    rows = exported.where(F.trim("content") != "").orderBy("slug").limit(most)
+    """The first documents with text of each exported source as chunks, to make claims of."""
+    first = F.row_number().over(Window.partitionBy("source_id").orderBy("slug"))
+    rows = exported.where(F.trim("content") != "").withColumn("nth", first).where(F.col("nth") <= most)
     text = F.trim(F.regexp_replace("content", r"\s+", " "))
-    return rows.select(F.col("slug").alias("doc_id"), F.concat("slug", F.lit(":e1")).alias("element_id"), F.concat("slug", F.lit(":e1:c1")).alias("chunk_id"), text.alias("text"), F.col("slug").alias("source_file"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
+    return rows.select("source_id", F.col("slug").alias("doc_id"), F.concat("slug", F.lit(":e1")).alias("element_id"), F.concat("slug", F.lit(":e1:c1")).alias("chunk_id"), text.alias("text"), F.col("slug").alias("source_file"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))

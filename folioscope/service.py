@@ -44,8 +44,8 @@ def now() -> str:
 
 
 class DocumentMemory:
-    def __init__(self, spark: SparkSession, root: str, authors: str | None = None, imports: str | None = None) -> None:
-        self.spark, self.root, self.authors, self.imports = spark, root.rstrip("/"), authors, imports
+    def __init__(self, spark: SparkSession, root: str, authors: str | None = None, imports: str | None = None, layout: str = files.POSTS) -> None:
+        self.spark, self.root, self.authors, self.imports, self.layout = spark, root.rstrip("/"), authors, imports, layout
         #: from a query to a function that reranks its results, see ``search.search``; none: by keywords
         self.reranker = None
         #: how the provider of vectors has fared
@@ -173,7 +173,7 @@ class DocumentMemory:
             raise NotFound(source)
         failed = {"source_id": source, "status": "failed", "added": 0, "updated": 0, "skipped": 0}
         try:
-            raw = files.whole(self.spark, f"{self.authors}/{author}/posts/*/post.md")
+            raw = files.whole(self.spark, f"{self.authors}/{self.layout.format(author=author, slug='*')}")
             posts = files.parse_posts(raw)
             n, parsed = raw.count(), posts.count()
         except Exception:  # whatever keeps a store from being read

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ingest as I
 
+# Where texts are that have a file each: as people keep them, and as ``write_texts`` does.
+POSTS, POST_PARTS = "{author}/posts/{slug}/post.md", "author_id={author}/document_slug={slug}/*.txt"
+TRANSCRIPTS, TRANSCRIPT_PARTS = "{slug}/transcript.md", "slug={slug}/*.txt"
 POST_KEYS = ("author_id", "document_slug", "slug", "title", "source_url", "published_at", "content_hash")
 
 
@@ -49,9 +52,15 @@ def write_lines(rows: DataFrame, path: str, by: str | None = None) -> None:
     (rows.partitionBy(by) if by else rows).text(path)
 
 
-def read_posts(spark: SparkSession, folder: str) -> DataFrame:
-    """Posts under ``folder/<author>/posts/<slug>/post.md``; what can't be parsed is left out."""
-    return parse_posts(whole(spark, f"{folder}/*/posts/*/post.md"))
+def write_texts(rows: DataFrame, folder: str, *by: str) -> None:
+    """``rows(value, *by)`` as a file for each text, in folders named ``column=value``; rows that agree in ``by`` share a file, so
+    they should not. Tasks write one file after another, however many there are."""
+    rows.select(*by, "value").repartition(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy(*by).text(folder)
+
+
+def read_posts(spark: SparkSession, folder: str, author: str = "*", layout: str = POSTS) -> DataFrame:
+    """Posts of one or all authors under ``folder``; what can't be parsed is left out."""
+    return parse_posts(whole(spark, f"{folder}/{layout.format(author=author, slug='*')}"))
 
 
 def parse_posts(rows: DataFrame) -> DataFrame:
@@ -87,9 +96,9 @@ def front_matter(value):
     return F.regexp_extract(value, pattern, 1), F.regexp_replace(value, pattern, "")
 
 
-def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of ``folder/<slug>/transcript.md``."""
-    return parse_transcripts(whole(spark, f"{folder}/*/transcript.md"))
+def read_transcripts(spark: SparkSession, folder: str, layout: str = TRANSCRIPTS) -> DataFrame:
+    """Records of the transcripts under ``folder``, each in a folder of its own."""
+    return parse_transcripts(whole(spark, f"{folder}/{layout.format(slug='*')}"))
 
 
 def parse_transcripts(rows: DataFrame) -> DataFrame:
@@ -97,7 +106,7 @@ def parse_transcripts(rows: DataFrame) -> DataFrame:
     transcript begins after ``## Transcript``. Times become dates, texts of digits numbers; a file whose front matter
     doesn't end is an error that names its slug."""
     head, body = front_matter(F.col("value"))
-    slug = F.element_at(F.split("path", "/"), -2)
+    slug = F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^slug=", "")
     broken = F.col("value").rlike(r"^---\r?\n") & ~F.col("value").rlike(r"^---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|$)")
     slug = F.when(broken, F.raise_error(F.concat(F.lit("Failed to load document "), slug)).cast("string")).otherwise(slug)
     rows = rows.select(slug.alias("slug"), head.alias("head"), body.alias("content"))

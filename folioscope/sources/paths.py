@@ -1,4 +1,5 @@
-"""Guards for paths and names that come from outside; driver-side, before anything is read."""
+"""Guards for paths and names that come from outside: for one of them on the driver, before anything is read, and
+as columns for listings of any length."""
 
 from __future__ import annotations
 
@@ -6,6 +7,9 @@ import os
 import re
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # What may be imported, and what ids are.
 LARGEST_IMPORT = 20 << 20
 IMPORT_KINDS = (".md", ".jsonl")
@@ -44,3 +48,23 @@ def author_id(text: str) -> str:
     if not re.fullmatch(AUTHOR_ID, text):
         raise ValueError(f"author ids are lower-case words joined by hyphens: {text}")
     return text
+
+
+def import_problem(name: Column, size: Column) -> Column:
+    """Why a file of that name below the folder of imports and of that size can't be imported, null if it can: what ``import_file`` asks,
+    without a look at the file, so that links are not followed. A null name or size is a problem."""
+    kinds = "|".join(k[1:] for k in IMPORT_KINDS)
+    leaves = name.startswith("/") | F.array_contains(F.split(name, "/"), "..")
+    return (
+        F.when(name.isNull() | size.isNull(), "unknown").when(leaves, "outside").when(~name.rlike(rf"[^/]\.({kinds})\z"), "kind").when(size > LARGEST_IMPORT, "size")
+    )
+
+
+def is_source_id(text: Column) -> Column:
+    """Whether ``source_id`` takes a text; null is no id."""
+    return F.coalesce(text.rlike(rf"\A(?:{SOURCE_ID})\z"), F.lit(False))
+
+
+def is_author_id(text: Column) -> Column:
+    """Whether ``author_id`` takes a text; null is no id."""
+    return F.coalesce(text.rlike(rf"\A(?:{AUTHOR_ID})\z"), F.lit(False))
