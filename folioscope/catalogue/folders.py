@@ -117,9 +117,16 @@ def q99(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.unionByName(summary.select(F.lit("caveat").alias("kind"), F.col("ord").cast("long").alias("ord"), F.col("caveat").alias("text")))
 
 
+def q100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that each role says in all conversations as sections of 500 words at most: keys with a third of all rows."""
+    chat = C.table(spark, sf_dir, "conversations").select(F.lit("chat").alias("import"), "role", (F.col("conv_id") * 1000 + F.col("turn")).alias("line"), "text")
+    found = I.sections_by_key(chat, "import", "line", "role", "text", 500)
+    return found.select("ord", F.col("part").cast("long").alias("part"), "title", F.sha2("body", 256).alias("body_hash"))
+
+
 QUERIES = {
     "q94_post_folder": q94, "q94_posts_of_one": q94b, "q95_transcript_folder": q95, "q96_refresh_states": q96, "q97_import_listing": q97, "q98_export_evidence": q98, "q98_export_texts": q98b,
-    "q99_reports": q99,
+    "q99_reports": q99, "q100_sections_by_key": q100,
 }
 
 _HASH = "left(sha256(author_id || chr(10) || 'Note ' || doc_id || chr(10) || content), 16)"
@@ -146,4 +153,10 @@ SELECT source_id, 'claim-' || k AS claim_id, '{P.GROUNDED}' || left(transcript,
 c AS (SELECT author_id, 0 AS nth, '{P.NO_EVIDENCE}' AS text FROM m WHERE n_claims = 0 UNION ALL SELECT author_id, 1, author_id || ' rests on ' || n_claims || ' claims' FROM m)
 SELECT 'report' AS kind, 0::BIGINT AS ord, '- ' || dimension || ': ' || CASE WHEN pass THEN 'PASS' ELSE 'FAIL' END || ' (' || format('{{:.2f}}', score) || ')' AS text FROM b UNION ALL
 SELECT 'caveat', row_number() OVER (ORDER BY author_id, nth), text FROM c""",
+    "q100_sections_by_key": f"""WITH r AS (SELECT role, conv_id * 1000 + turn AS line, coalesce(text, '') AS t FROM conversations WHERE role IS NOT NULL),
+b AS (SELECT role, min(line) AS ord, '# ' || role || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY line, t) AS body FROM r GROUP BY role),
+w AS (SELECT *, list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '') AS words FROM b),
+p AS (SELECT *, unnest(range(0, CASE WHEN len(words) > 500 THEN len(words) ELSE 1 END, 500)) AS a FROM w)
+SELECT ord, a // 500 + 1 AS part, CASE WHEN a = 0 THEN role ELSE role || ' ' || (a // 500 + 1) END AS title,
+  sha256(CASE WHEN len(words) > 500 THEN array_to_string(words[a + 1:a + 500], ' ') ELSE {_TRIM.format('body')} END) AS body_hash FROM p""",
 }

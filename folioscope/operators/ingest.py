@@ -87,6 +87,39 @@ def group_by_key(df: DataFrame, group: str, line: str, key: str, text: str) -> D
     return rows.select("group", "key", "first_line", F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"))
 
 
+def sections_by_key(df: DataFrame, group: str, line: str, key: str, text: str, size: int = OVERSIZE) -> DataFrame:
+    """``oversize`` of the sections of ``group_by_key``, for keys with any number of records: (id, ord, part, title, body).
+
+    A record's place in its key is a difference of sums over ranges of all records, and each record is cut where parts end, so what is
+    gathered is a part: ``size`` words at most, besides records without words. Records that agree in ``line`` are ordered by
+    their text, null texts are empty, records without a key have no section. No records: no rows.
+    """
+    words, head = T.pieces(F.col("text")), T.pieces(F.concat(F.lit("# "), F.col("key")))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(group).alias("id"), F.col(key).alias("key"), F.col(line).alias("line"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    placed = with_sum_before(rows.withColumn("n", F.size(words)), [F.col(c) for c in ("id", "key", "line", "text")], "n")
+    keys = placed.groupBy(F.col("id").alias("i"), F.col("key").alias("k")).agg(F.min("line").alias("ord"), F.min("before").alias("start"), (F.sum("n") + F.size(F.first(head))).alias("total"))
+    at = F.col("before") - F.col("start") + F.size(head)
+    placed = placed.join(keys, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).withColumn("at", at)
+    large = F.col("total") > size
+    last = F.floor((F.col("at") + F.col("n") - 1) / size)
+    parts = F.when(large, F.when(F.col("n") > 0, F.sequence(F.floor(F.col("at") / size), last))).otherwise(F.array(F.lit(0).cast("long")))
+    each = placed.select("id", "key", "ord", "total", "line", "text", "at", F.explode(parts).alias("nth"))
+    begin = F.greatest(F.col("nth") * size - F.col("at"), F.lit(0))
+    own = F.slice(words, (begin + 1).cast("int"), (F.least((F.col("nth") + 1) * size - F.col("at"), F.size(words)) - begin).cast("int"))
+    piece = F.when(large, F.array_join(own, " ")).otherwise(F.col("text"))
+    each = each.select("id", "key", "ord", "total", "nth", F.struct("at", "line", piece.alias("t")).alias("p"))
+    tops = F.transform(F.sequence(F.lit(0), F.size(head) - 1, F.lit(size)), lambda a: F.struct(F.floor(a / size).alias("nth"), F.array_join(F.slice(head, a + 1, F.lit(size)), " ").alias("t")))
+    tops = keys.where(large).select(F.col("i").alias("id"), F.col("k").alias("key"), "ord", "total").select("id", "key", "ord", "total", F.explode(tops).alias("h"))
+    nothing = F.lit(None).cast(df.schema[line].dataType)
+    tops = tops.select("id", "key", "ord", "total", "h.nth", F.struct(F.lit(-1).cast("long").alias("at"), nothing.alias("line"), F.col("h.t").alias("t")).alias("p"))
+    texts = F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"])
+    found = each.unionByName(tops).groupBy("id", "key", "ord", "total", "nth").agg(texts.alias("texts"))
+    small = F.regexp_replace(F.concat(F.lit("# "), F.col("key"), F.lit("\n\n"), F.array_join("texts", "\n")), r"^\s+|\s+$", "")
+    body = F.when(large, F.array_join("texts", " ")).otherwise(small)
+    title = F.when(F.col("nth") == 0, F.col("key")).otherwise(F.concat_ws(" ", "key", (F.col("nth") + 1).cast("string")))
+    return found.select("id", "ord", (F.col("nth") + 1).cast("int").alias("part"), title.alias("title"), body.alias("body"))
+
+
 def posts(df: DataFrame, source_url: str = "inline.md") -> DataFrame:
     """``df(author_id, title, body)`` as posts."""
     slug = T.slugify(F.col("title"))

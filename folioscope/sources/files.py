@@ -132,6 +132,17 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("checked", F.when(parsed.isNull(), wrong).otherwise(F.col("raw"))).select("path", "line", F.col("checked").alias("raw"), F.try_parse_json("checked").alias("v"))
 
 
+def read_sections_jsonl(spark: SparkSession, path: str, toc_key: str) -> DataFrame:
+    """Sections (id, ord, part, title, body) of files of JSON lines by what each line has under ``toc_key``, files and keys of any size; the id is
+    the file's path. A line without a text under ``toc_key`` is an error that names its place."""
+    get = lambda k: F.nullif(F.trim(F.try_variant_get("v", f"$.{k}", "string")), F.lit(""))
+    raw = lambda k: F.when(get(k).isNotNull(), F.try_variant_get("v", f"$.{k}", "string"))
+    place = F.concat(F.lit(f"no {toc_key} at "), "path", F.lit(":"), F.col("line").cast("string"))
+    key = F.coalesce(raw(toc_key), F.raise_error(place).cast("string"))
+    rows = read_jsonl(spark, path).select("path", "line", key.alias("key"), F.coalesce(raw("content"), raw("text"), F.lit("")).alias("text"))
+    return I.sections_by_key(rows, "path", "line", "key", "text")
+
+
 def read_document_jsonl(spark: SparkSession, path: str) -> DataFrame:
     get = lambda k, t="string": F.try_variant_get("v", f"$.{k}", t)
     rows = read_jsonl(spark, path)
