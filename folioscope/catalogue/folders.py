@@ -124,9 +124,14 @@ def q100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ord", F.col("part").cast("long").alias("part"), "title", F.sha2("body", 256).alias("body_hash"))
 
 
+def q101(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checksum of each source as a tree, which no task hashes as a whole."""
+    return E.tree_checksums(_exported(spark, sf_dir))
+
+
 QUERIES = {
     "q94_post_folder": q94, "q94_posts_of_one": q94b, "q95_transcript_folder": q95, "q96_refresh_states": q96, "q97_import_listing": q97, "q98_export_evidence": q98, "q98_export_texts": q98b,
-    "q99_reports": q99, "q100_sections_by_key": q100,
+    "q99_reports": q99, "q100_sections_by_key": q100, "q101_export_tree": q101,
 }
 
 _HASH = "left(sha256(author_id || chr(10) || 'Note ' || doc_id || chr(10) || content), 16)"
@@ -159,4 +164,6 @@ w AS (SELECT *, list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '')
 p AS (SELECT *, unnest(range(0, CASE WHEN len(words) > 500 THEN len(words) ELSE 1 END, 500)) AS a FROM w)
 SELECT ord, a // 500 + 1 AS part, CASE WHEN a = 0 THEN role ELSE role || ' ' || (a // 500 + 1) END AS title,
   sha256(CASE WHEN len(words) > 500 THEN array_to_string(words[a + 1:a + 500], ' ') ELSE {_TRIM.format('body')} END) AS body_hash FROM p""",
+    "q101_export_tree": f"""WITH {REC}, l AS (SELECT 'author:' || author_id AS source_id, left(md5(slug), 3) AS branch, count(*) AS n, sum(strlen(content))::BIGINT AS bytes, sha256(string_agg(slug || ' ' || sha256(content), chr(10) ORDER BY slug)) AS h FROM rec GROUP BY 1, 2)
+SELECT source_id, sum(n)::BIGINT AS document_count, sum(bytes)::BIGINT AS content_bytes, sha256(string_agg(branch || ' ' || n || ' ' || h, chr(10) ORDER BY branch)) AS tree_checksum FROM l GROUP BY source_id""",
 }

@@ -90,6 +90,33 @@ def _digests(pieces: DataFrame) -> DataFrame:
     return ordered.select("source_id", "which", "pos", "piece").mapInArrow(run, "source_id string, which string, sha256 string")
 
 
+DIGITS, DEEPEST = 3, 4  # hexadecimal digits by which branches are parted at each level; levels at most
+
+
+def tree_checksums(exported: DataFrame, bucket: int = 1_000) -> DataFrame:
+    """(source_id, document_count, content_bytes, tree_checksum): one checksum a source that, unlike those of ``export_manifest``, no task has
+    to hash from end to end, so that a source may hold any share of all documents.
+
+    A source's documents are dealt to leaves of about ``bucket`` by the first digits of the hash of their slug, more digits for more
+    documents of that source, whatever the others hold. A leaf is hashed over its slugs and checksums in order, a
+    branch over the names, counts and hashes of its children, 4,096 at most. Rows that agree in slug all count.
+    """
+    of = exported.groupBy("source_id").agg(F.count("*").alias("document_count"), F.sum("content_bytes").alias("content_bytes"))
+    digits = F.lit(DIGITS * DEEPEST)
+    for k in range(DEEPEST - 1, 0, -1):
+        digits = F.when(F.col("document_count") <= bucket * 16 ** (DIGITS * k), DIGITS * k).otherwise(digits)
+    rows = exported.select("source_id", "slug", "checksum").join(of.select("source_id", digits.alias("digits")), "source_id")
+    entries = F.array_sort(F.collect_list(F.concat_ws(" ", "slug", "checksum")))
+    hashed = lambda texts: F.sha2(F.array_join(texts, "\n"), 256)
+    nodes = rows.groupBy("source_id", F.left(F.md5("slug"), F.col("digits")).alias("branch")).agg(F.count("*").alias("n"), hashed(entries).alias("h"))
+    children = F.array_sort(F.collect_list(F.concat_ws(" ", "branch", F.col("n").cast("string"), "h")))
+    for left in range(DIGITS * (DEEPEST - 1), 0, -DIGITS):
+        deeper = F.max(F.length("branch")) > left  # a branch that isn't as deep stays as it is
+        nodes = nodes.groupBy("source_id", F.left("branch", F.lit(left)).alias("branch")).agg(F.sum("n").alias("n"), F.when(deeper, hashed(children)).otherwise(F.first("h")).alias("h"))
+    roots = nodes.groupBy("source_id").agg(hashed(children).alias("tree_checksum"))
+    return of.join(roots, "source_id")
+
+
 def export_markdown(exported: DataFrame, manifest: DataFrame) -> DataFrame:
     """(source_id, part, ord, text): the lines of each source's bundle as ordered rows.
 

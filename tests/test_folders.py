@@ -1,10 +1,12 @@
 """Sections of keys of any size, folders that Spark writes, guards as columns."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.operators import export as E
 from folioscope.operators import ingest as I
 from folioscope.sources import files, paths
 
@@ -62,3 +64,32 @@ def test_guards_as_columns_say_what_the_guards_say(spark, tmp_path):
     both = [*ids, "a-b", "a--b", "-a", "a\n", "A"]
     rows = spark.createDataFrame([(i,) for i in [*both, None]], "i string").select("i", paths.is_source_id(F.col("i")).alias("s"), paths.is_author_id(F.col("i")).alias("a")).collect()
     assert {r["i"]: (r["s"], r["a"]) for r in rows} == {i: (allowed(paths.source_id, i), allowed(paths.author_id, i)) for i in both} | {None: (False, False)}
+
+
+def tree(entries, bucket):
+    """The checksum of (slug, checksum) pairs by recursion from the root."""
+    deep = next(d for d in (3, 6, 9, 12) if d == 12 or len(entries) <= bucket * 16**d)  # digits
+    sha = lambda x: hashlib.sha256("\n".join(sorted(x)).encode()).hexdigest()
+
+    def node(rows, depth):
+        if depth == deep:
+            return sha(f"{s} {c}" for s, c in rows)
+        parts = {}
+        for s, c in rows:
+            parts.setdefault(hashlib.md5(s.encode()).hexdigest()[: depth + 3], []).append((s, c))
+        return sha(f"{k} {len(v)} {node(v, depth + 3)}" for k, v in parts.items())
+
+    return node(entries, 0)
+
+
+@pytest.mark.parametrize("bucket", [1000, 1e-2, 1e-9])
+def test_tree_checksums_at_any_depth(spark, bucket):
+    """Sources of several sizes have trees of several depths; a source's checksum hangs on its own documents alone."""
+    rows = [("a", f"s{i}", f"c{i}", 2) for i in range(90)] + [("b", "s1", "c1", 2), ("b", "s1", "c1", 2), ("c", "s2", "c2", 0)]
+    df = spark.createDataFrame(rows, "source_id string, slug string, checksum string, content_bytes long")
+    want = {k: tree([(s, c) for o, s, c, _ in rows if o == k], bucket) for k in "abc"}
+    got = E.tree_checksums(df.repartition(4), bucket).collect()
+    assert {r["source_id"]: r["tree_checksum"] for r in got} == want and {r["source_id"]: r["document_count"] for r in got} == {"a": 90, "b": 2, "c": 1}
+    alone = E.tree_checksums(df.where("source_id = 'b'"), bucket).first()
+    assert alone["tree_checksum"] == want["b"] and alone["content_bytes"] == 4
+    assert E.tree_checksums(df.limit(0)).count() == 0
