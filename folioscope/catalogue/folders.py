@@ -9,12 +9,14 @@ from ..functions import text as T
 from ..operators import export as E
 from ..operators import ingest as I
 from ..operators import persona as P
+from ..operators import search as S
 from ..plans import corpus as C
 from ..service import DocumentMemory
 from ..sources import files, paths
 from .personas import AUTHORS, CHUNKS, _personas, q45
 from .personas import SQL as OF_PERSONAS
 from .prelude import REC
+from .searching import _fields, engine
 from .storing import _STRIP, _TRIM, _WORDS, _folder
 
 BROKEN = "---\n{broken\n---\nbody"
@@ -129,9 +131,28 @@ def q101(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.tree_checksums(_exported(spark, sf_dir))
 
 
+# A page's name, what is asked for, and what has to be said of it: offset, limit, page.
+PAGES = {
+    "default": ({}, (0, 20, 1)), "by offset": ({"limit": 7, "offset": 21}, (21, 7, 4)), "page before offset": ({"limit": 10, "offset": 5, "page": 3}, (20, 10, 3)),
+    "too many": ({"limit": 90, "page": 1}, (0, 50, 1)), "too few": ({"limit": 0, "page": 2}, (1, 1, 2)),
+}
+
+
+def q102(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of one question with what a response says of them, and the number of all results."""
+    source, out = engine(spark, sf_dir), None
+    total = S.total(source, S.Search("the"))
+    for name, (asked, _) in PAGES.items():
+        wanted = S.Search("the", **asked)
+        said = (F.lit(v).cast("long").alias(f"said_{k}") for k, v in S.reported_paging(wanted).items())
+        rows = S.search(source, wanted).select(F.lit(name).alias("name"), F.col("rank").cast("long").alias("rank"), "slug", *said)
+        out = rows if out is None else out.unionByName(rows)
+    return out.crossJoin(F.broadcast(total.select(F.col("total").cast("long").alias("total"))))  # one row
+
+
 QUERIES = {
     "q94_post_folder": q94, "q94_posts_of_one": q94b, "q95_transcript_folder": q95, "q96_refresh_states": q96, "q97_import_listing": q97, "q98_export_evidence": q98, "q98_export_texts": q98b,
-    "q99_reports": q99, "q100_sections_by_key": q100, "q101_export_tree": q101,
+    "q99_reports": q99, "q100_sections_by_key": q100, "q101_export_tree": q101, "q102_reported_paging": q102,
 }
 
 _HASH = "left(sha256(author_id || chr(10) || 'Note ' || doc_id || chr(10) || content), 16)"
@@ -166,4 +187,6 @@ SELECT ord, a // 500 + 1 AS part, CASE WHEN a = 0 THEN role ELSE role || ' ' ||
   sha256(CASE WHEN len(words) > 500 THEN array_to_string(words[a + 1:a + 500], ' ') ELSE {_TRIM.format('body')} END) AS body_hash FROM p""",
     "q101_export_tree": f"""WITH {REC}, l AS (SELECT 'author:' || author_id AS source_id, left(md5(slug), 3) AS branch, count(*) AS n, sum(strlen(content))::BIGINT AS bytes, sha256(string_agg(slug || ' ' || sha256(content), chr(10) ORDER BY slug)) AS h FROM rec GROUP BY 1, 2)
 SELECT source_id, sum(n)::BIGINT AS document_count, sum(bytes)::BIGINT AS content_bytes, sha256(string_agg(branch || ' ' || n || ' ' || h, chr(10) ORDER BY branch)) AS tree_checksum FROM l GROUP BY source_id""",
+    "q102_reported_paging": f"""WITH {REC}, {_fields(S.Search("the"), 'r')}, p(name, o, l, n) AS (VALUES {", ".join(f"('{k}', {o}, {n}, {p})" for k, (_, (o, n, p)) in PAGES.items())})
+SELECT name, rank::BIGINT AS rank, slug, o::BIGINT AS said_offset, l::BIGINT AS said_limit, n::BIGINT AS said_page, (SELECT count(*) FROM r) AS total FROM p JOIN r ON rank > o AND rank <= o + l""",
 }
