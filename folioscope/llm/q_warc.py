@@ -14,7 +14,7 @@ from .support import cut, table
 
 
 def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as records, with what the audit says of the replica."""
+    """All pages as records, with what the audit says of the replica, and whether their file's roots agree."""
     pages = table(spark, sf_dir, "pages")
     rows = warc.records(pages, warc.files_for(pages.count()))
     mark = F.md5(F.col("record").cast("binary"))
@@ -22,10 +22,11 @@ def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.when(mark.startswith("1f"), None).when(mark.startswith("0"), F.sha2(hurt, 256)).otherwise(F.col("sha256"))
     places = cut(warc.laid(rows.withColumn("kept", kept).drop("record")))
     other = places.where("kept is not null").select("file", "seq", "offset", "length", F.col("kept").alias("sha256"))
-    found = warc.audit(places, other).select("file", "seq", "status", "replica_sha256")
+    trees = warc.trees(places, other)
+    found = warc.damage(*trees).select("file", "seq", "status", "replica_sha256")
     replica = F.when(F.col("status").isNull(), F.col("sha256")).otherwise(F.col("replica_sha256"))
-    met = places.join(found, ["file", "seq"], "left")
-    return met.select(F.col("id").alias("page_id"), "file", "seq", "offset", "length", "sha256", replica.alias("replica_sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
+    met = places.join(found, ["file", "seq"], "left").join(warc.verdicts(*trees).select("file", F.col("intact").alias("file_intact")), "file", "left")
+    return met.select(F.col("id").alias("page_id"), "file", "seq", "offset", "length", "sha256", replica.alias("replica_sha256"), F.coalesce("status", F.lit("intact")).alias("status"), "file_intact")
 
 
 QUERIES = {"op6_merkle_audit": op6_merkle_audit}
@@ -46,7 +47,8 @@ o AS (SELECT *, row_number() OVER w - 1 AS seq,
       FROM h WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS LAST, url, sha256))
 SELECT page_id, file, seq, "offset", length, sha256,
   CASE WHEN starts_with(md5(record), '1f') THEN NULL WHEN starts_with(md5(record), '0') THEN sha256(record[1:9] || ' ' || record[11:]) ELSE sha256 END AS replica_sha256,
-  CASE WHEN starts_with(md5(record), '1f') THEN 'missing' WHEN starts_with(md5(record), '0') THEN 'corrupt' ELSE 'intact' END AS status
+  CASE WHEN starts_with(md5(record), '1f') THEN 'missing' WHEN starts_with(md5(record), '0') THEN 'corrupt' ELSE 'intact' END AS status,
+  NOT bool_or(starts_with(md5(record), '1f') OR starts_with(md5(record), '0')) OVER (PARTITION BY file) AS file_intact
 FROM o
 """
 }

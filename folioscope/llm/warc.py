@@ -144,9 +144,12 @@ def audit(one: DataFrame, two: DataFrame, fan: int = FAN) -> DataFrame:
     repeat is a difference unless the other has it, too. A null hash is an empty one. A null file or seq has no place
     and is left out. Empty replicas: all missing, all extra or nothing. Other columns are not looked at.
     """
-    names = ["offset", "length", "sha256"]
-    trees = [tree(x.select("file", "seq", *names[:2], F.coalesce("sha256", F.lit("")).alias("sha256")), fan) for x in (one, two)]
-    return damage(*trees, fan)
+    return damage(*trees(one, two, fan), fan)
+
+
+def trees(one: DataFrame, two: DataFrame, fan: int = FAN) -> list[list[DataFrame]]:
+    """The trees of two replicas as ``audit`` takes them, for ``damage`` and ``verdicts``; of an empty replica one level without rows."""
+    return [tree(x.select("file", "seq", "offset", "length", F.coalesce("sha256", F.lit("")).alias("sha256")), fan) for x in (one, two)]
 
 
 def damage(one: list[DataFrame], two: list[DataFrame], fan: int = FAN) -> DataFrame:
