@@ -1,6 +1,7 @@
 """Files of the document store as DataFrames, and back. All reads go through Spark's readers, so that any
 store that Spark reaches will do. Files of one document each are rows of (path, value) until they are parsed, and
-every parser takes such rows from wherever they come; files of lines are split like any text."""
+every parser takes such rows from wherever they come; files of lines are split like any text. Texts that Spark writes
+by the million are kept many to a file, as the same rows."""
 
 from __future__ import annotations
 
@@ -15,12 +16,16 @@ from ..operators import ingest as I
 # Where texts are that have a file each: as people keep them, and as ``write_texts`` does.
 POSTS, POST_PARTS = "{author}/posts/{slug}/post.md", "author_id={author}/document_slug={slug}/*.txt"
 TRANSCRIPTS, TRANSCRIPT_PARTS = "{slug}/transcript.md", "slug={slug}/*.txt"
+# Where they are many to a file, as ``write_bundles`` does, each with the path that it has in a file of its own.
+POST_BUNDLES, TRANSCRIPT_BUNDLES = "author_id={author}/*.parquet", "*.parquet"
 POST_KEYS = ("author_id", "document_slug", "slug", "title", "source_url", "published_at", "content_hash")
 
 
 def whole(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, value) of each file that matches; none: no rows."""
+    """(path, value) of each file that matches, of bundles of each text in them; none: no rows."""
     try:
+        if pattern.endswith(".parquet"):
+            return spark.read.schema("path string, value string").parquet(pattern)
         rows = spark.read.text(pattern, wholetext=True)
         return rows.select(F.col("_metadata.file_path").alias("path"), "value")
     except Exception as e:
@@ -54,10 +59,19 @@ def write_lines(rows: DataFrame, path: str, by: str | None = None) -> None:
 
 def write_texts(rows: DataFrame, folder: str, *by: str) -> None:
     """``rows(value, *by)`` as a file for each text, in folders named ``column=value``; rows that agree in ``by`` share a file, so
-    they should not. Tasks write one file after another, however many there are."""
+    they should not. Tasks write one file after another, however many there are; each takes a folder and a file, which the driver
+    commits and lists, so corpora are for ``write_bundles``."""
     rows.select(*by, "value").repartition(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy(*by).text(folder)
 
 
+def write_bundles(rows: DataFrame, folder: str, by: str | None = None) -> None:
+    """``rows(path, value)`` as tables, many texts to a file in order of their paths; with ``by`` a folder for each of its values, of which a
+    large one has many files and a task may write many small ones."""
+    order = [*([by] if by else []), "path"]
+    rows = rows.select(*order, "value").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
+    (rows.partitionBy(by) if by else rows).parquet(folder)
+
+
 def read_posts(spark: SparkSession, folder: str, author: str = "*", layout: str = POSTS) -> DataFrame:
     """Posts of one or all authors under ``folder``; what can't be parsed is left out."""
     return parse_posts(whole(spark, f"{folder}/{layout.format(author=author, slug='*')}"))
