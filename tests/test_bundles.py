@@ -23,7 +23,7 @@ def test_bundles_say_what_single_files_say(spark, tmp_path):
     assert files.whole(spark, f"{tmp_path}/many/{files.POST_BUNDLES.format(author='b')}").count() == 2
 
 
-@pytest.mark.parametrize("query, layout", [(folders.q94, "author_id=*/*.parquet"), (folders.q94b, "author_id=*/*.parquet")])
+@pytest.mark.parametrize("query, layout", [(folders.q94, "author_id=*/*.parquet"), (folders.q94b, "author_id=*/*.parquet"), (folders.q95, "*.parquet")])
 def test_folders_of_texts_take_few_files(spark, tmp_path, monkeypatch, query, layout):
     """Files grow with authors and tasks, not with documents; one author's posts are read out of one folder."""
     monkeypatch.setattr(folders, "_folder", lambda spark, name: f"{tmp_path}/{name}")
