@@ -37,7 +37,8 @@ def _inside(points: DataFrame, spans: DataFrame) -> DataFrame:
         return points.limit(0).join(spans.limit(0), "g").select("p", "s")
     keys = F.array(*(F.struct(F.lit(k).cast("int").alias("level"), F.shiftright("at", k).alias("block")) for k in levels))
     in_blocks = points.select("g", "p", F.explode(keys).alias("b")).select("g", "p", "b.level", F.col("b.block").alias("at"))
-    return in_blocks.join(cut, ["g", "level", "at"]).select("p", "s")
+    # Spark knows neither side's size, as both come of explodes, and would send a row for each point and level through the driver.
+    return in_blocks.join(cut.hint("merge"), ["g", "level", "at"]).select("p", "s")
 
 
 def overlapping(left: DataFrame, right: DataFrame, start: str = "start", end: str = "end", group: str | None = None) -> DataFrame:
