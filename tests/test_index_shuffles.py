@@ -34,3 +34,53 @@ def test_postings_are_not_shuffled(spark, docs, tmp_path, monkeypatch):
     assert shuffled < 5 * 301
     plain = lambda df: sorted(map(tuple, df.select("field", "token", "slug", F.col("first_pos").cast("int")).collect()))
     assert plain(index.postings()) == plain(S.postings(rows))
+
+
+def test_words_of_bm25_are_not_shuffled(spark, docs, tmp_path, monkeypatch):
+    from folioscope.operators import relevance as R
+
+    monkeypatch.setattr(R, "WORDS_A_TASK", 10_000)
+    _, since = rows_shuffled(spark, -1)
+    odd = spark.createDataFrame([("e0", None), ("e1", ""), ("e2", "?"), (None, "x y x")], "slug string, text string")
+    rows = docs.select("slug", "text").unionByName(odd).localCheckpoint()
+    index = R.Bm25.build(rows, f"file://{tmp_path}/b", "k", block=2)
+    words = index.table("words").count()
+    shuffled, _ = rows_shuffled(spark, since)
+    assert 200 < words < 300 and shuffled < 3_000 + 8 * 25 * words  # a row a document, and words by task; the occurrences are 60,000
+    plain = rows.select("slug", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("token")).groupBy("slug", "token").agg(F.count("*").alias("tf"))
+    got = index.table("postings").select("token", "documents", F.size("entries").alias("n"), F.inline("entries"))
+    assert got.where("documents <> n").count() == 0
+    assert sorted(map(repr, got.select("slug", "token", "tf").collect())) == sorted(map(repr, plain.collect()))
+    assert R.Bm25.build(rows.where("slug like 'e%'"), f"file://{tmp_path}/none", "k").top("x").count() == 0
+
+
+def test_trigrams_are_not_shuffled(spark, docs, tmp_path, monkeypatch):
+    from folioscope.operators import substrings as B
+
+    monkeypatch.setattr(B, "LETTERS_A_TASK", 60_000)
+    _, since = rows_shuffled(spark, -1)
+    index = B.Trigrams.build(docs.select("slug", "text"), f"file://{tmp_path}/g", "k", folder=100)
+    made, counts = index.table("grams").count(), index.table("counts").count()
+    shuffled, _ = rows_shuffled(spark, since)
+    assert made > 60_000 and shuffled < 2_000 + 20 * counts < made
+    assert index.table("grams").distinct().count() == made
+
+
+@pytest.mark.parametrize("few", [1000, 3])
+def test_keys_of_tokens_stay_where_they_are(spark, monkeypatch, few):
+    """Few words, of whatever size Spark takes them to be, are sent to the tokens; more are joined as before, with the same pairs."""
+    from folioscope.operators import spelling
+
+    monkeypatch.setattr(spelling, "FEW", few)
+    tokens = spark.range(3000).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("token")).localCheckpoint()
+    words = spark.createDataFrame([("word12",), ("wird2999",)], "word string").localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, since = rows_shuffled(spark, -1)
+        found = spelling.neighbours(words, tokens, 1).collect()
+        shuffled, _ = rows_shuffled(spark, since)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ("wird2999", "word2999", 1) in {tuple(r) for r in found} and len(found) == 1 + (1 + 2 + 17 + 27)  # itself, a letter less, another, more
+    assert (shuffled < 10_000) == (few == 1000)
