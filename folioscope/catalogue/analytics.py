@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import search as S
 from ..operators import summaries as Y
 from ..operators.engine import IndexEngine
-from ..operators.intervals import overlapping
+from ..operators.intervals import shared
 from ..plans import corpus as C
 from ..streaming import streams as X
 from .prelude import BRIDGE, REC
@@ -42,9 +42,7 @@ def q86(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q87(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of users whose sessions overlap, and for how long."""
     rows = X.sessions(C.table(spark, sf_dir, "events").select("ts", "user_id")).select("user_id", _micros("started").alias("start"), _micros("ended").alias("end"))
-    pairs = overlapping(rows, rows).where("left.user_id < right.user_id")
-    both = F.least("left.end", "right.end") - F.greatest("left.start", "right.start")
-    return pairs.groupBy(F.col("left.user_id").alias("one"), F.col("right.user_id").alias("two")).agg(F.count("*").alias("sessions"), F.sum(both).cast("long").alias("micros"))
+    return shared(rows, "user_id").toDF("one", "two", "sessions", "micros")
 
 
 def q88(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,28 @@ Two closed intervals overlap if one begins inside the other, and each pair does
 left, or the left one begins in the right after its start. Both are joins of points and intervals. An interval is cut into
 dyadic blocks, at most two of each size, that cover it once; a point lies in one block of each size. So blocks are joined by equality: every
 match is a result and is met once, however long the intervals are.
+
+Sums by pairs of keys (``shared``) shuffle no pair: keys are dealt into blocks that fit a task, every two blocks meet in one task, and so all
+that two keys have in common is summed where it is found, some pairs at a time.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..workers import importable
+
 LEVELS = 62
+FEW, MANY = 50_000, 1_000_000  # intervals in a block: at least, where there are more blocks than keep the cores busy, and at most
+PAIRS = 1_000_000  # of intervals that are looked at together
+ROWS = 100_000  # in a batch that a task gives
 
 
 def blocks(start: Column, end: Column) -> Column:
@@ -52,3 +66,91 @@ def overlapping(left: DataFrame, right: DataFrame, start: str = "start", end: st
     begins = _inside(two.select("g", F.col("low").alias("at"), F.col("row").alias("p")), one.select("g", "low", "high", F.col("row").alias("s")))
     holds = _inside(one.select("g", F.col("low").alias("at"), F.col("row").alias("p")), two.select("g", (F.col("low") + 1).alias("low"), "high", F.col("row").alias("s")))
     return begins.select(F.col("s").alias("left"), F.col("p").alias("right")).unionByName(holds.select(F.col("p").alias("left"), F.col("s").alias("right")))
+
+
+def _expanded(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the places low[i] to low[i] + n[i] - 1: (i, place)."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) + (low - (np.cumsum(n) - n))[which]
+
+
+def _summed(one: np.ndarray, two: np.ndarray, n: np.ndarray, total: np.ndarray, width: int) -> list[np.ndarray]:
+    """Sums by (one, two), in their order; two < width."""
+    code, places = one * width + two, np.arange(len(one))
+    bits = len(code).bit_length()
+    if int(code.max(initial=0)).bit_length() + bits < 63:  # one sort of both is faster
+        both = np.sort(code << bits | places)
+        code, order = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(code)
+        code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return [*np.divmod(code[first], width), *(np.add.reduceat(x[order], first) if len(first) else x for x in (n, total))]
+
+
+def _met(left: np.ndarray, right: np.ndarray, same: bool, most: int) -> Iterator[list[np.ndarray]]:
+    """(one, two, n, total) of keys of two blocks, rows key, low and high in columns by low; if both are the same block, of keys one < two.
+
+    Intervals of ``left`` are taken by key, as many as have ``most`` pairs; sums of a key that goes on are carried over.
+    """
+    left = left[:, np.argsort(left[0], kind="stable")]
+    keys, at = np.unique(left[0], return_inverse=True)
+    others, other = np.unique(right[0], return_inverse=True)
+    low, high = right[1], right[2]
+    n = np.searchsorted(low, left[2], "right") - np.searchsorted(np.sort(high), left[1], "left")
+    wide = np.flatnonzero(high > low)  # in others nothing begins after their start
+    done, ends = 0, np.cumsum(n)
+    carried = [np.zeros(0, "int64")] * 4
+    while done < len(n):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most, "right")))
+        part = np.arange(done, upto)[np.argsort(left[1, done:upto], kind="stable")]
+        starts, stops = left[1, part], left[2, part]
+        begin = np.searchsorted(low, starts, "left")
+        x, y = _expanded(begin, np.searchsorted(low, stops, "right") - begin)
+        begin = np.searchsorted(starts, low[wide], "right")
+        z, w = _expanded(begin, np.searchsorted(starts, high[wide], "right") - begin)
+        x, y = np.concatenate([x, w]), np.concatenate([y, wide[z]])
+        if same:
+            kept = keys[at[part[x]]] < others[other[y]]
+            x, y = x[kept], y[kept]
+        shared = np.minimum(stops[x], high[y]) - np.maximum(starts[x], low[y])
+        found = _summed(*(np.concatenate(p) for p in zip(carried, [at[part[x]], other[y], np.ones(len(x), "int64"), shared], strict=True)), len(others))
+        whole = np.searchsorted(found[0], at[upto]) if upto < len(n) else len(found[0])
+        carried = [c[whole:] for c in found]
+        a, b = keys[found[0][:whole]], others[found[1][:whole]]
+        yield [np.minimum(a, b), np.maximum(a, b), found[2][:whole], found[3][:whole]]
+        done = upto
+
+
+def shared(rows: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+    """(one, two, n, total) of integer keys one < two: how many pairs of their closed intervals overlap, and for how long together, if any do.
+
+    A key's intervals have to fit a task, all pairs don't. Rows with a null, and intervals that end before they start, overlap nothing.
+    """
+    spark = rows.sparkSession
+    importable(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(storage.shared_folder(spark))
+    rows = rows.select(F.col(key).cast("bigint").alias("key"), F.col(start).cast("bigint").alias("low"), F.col(end).cast("bigint").alias("high")).where("key is not null and low is not null and high >= low")
+    n, most, batch = rows.count(), PAIRS, ROWS
+    busy = math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism))  # three meetings of blocks for each core
+    blocks = max(1 + n // MANY, min(1 + n // FEW, busy))
+
+    def pack(own: pa.Table) -> pa.Table:
+        own = own.sort_by("low")
+        values = np.stack([own[c].to_numpy() for c in ("key", "low", "high")]).astype("int64")
+        return pa.table({"block": own["block"][:1].cast("int32"), "intervals": pa.array([values.tobytes()], "binary")})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(rows.num_rows):
+                left, right = (np.frombuffer(rows[c][i].as_buffer(), "int64").reshape(3, -1) for c in ("left", "right"))
+                for found in _met(left, right, rows["one"][i].as_py() == rows["two"][i].as_py(), most):
+                    for k in range(0, len(found[0]), batch):
+                        yield pa.record_batch([pa.array(c[k : k + batch]) for c in found], ["one", "two", "n", "total"])
+
+    # Blocks are kept, and every task reads the two that it needs: nothing is written for a pair of blocks.
+    packed = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, "block int, intervals binary").checkpoint()
+    packed = packed.repartitionByRange(blocks, "block")
+    one, two = packed.toDF("one", "left").hint("shuffle_replicate_nl"), packed.toDF("two", "right")
+    return one.join(two, F.col("one") <= F.col("two")).mapInArrow(meet, "one bigint, two bigint, n bigint, total bigint")
