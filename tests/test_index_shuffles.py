@@ -1,5 +1,8 @@
 """What the making of an index shuffles: documents, and none of the many rows that are made of their words."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +69,39 @@ def test_trigrams_are_not_shuffled(spark, docs, tmp_path, monkeypatch):
     assert index.table("grams").distinct().count() == made
 
 
+def test_trigrams_are_kept_as_lists(spark, docs, tmp_path):
+    """A trigram is kept once for some thousand texts, not once a text, and texts are dealt out once."""
+    from folioscope.operators import substrings as B
+
+    _, since = rows_shuffled(spark, -1)
+    index = B.Trigrams.build(docs.select("slug", "text"), f"file://{tmp_path}/g", "k", folder=100)
+    shuffled, _ = rows_shuffled(spark, since)
+    made, counts = index.table("grams").count(), index.table("counts").count()
+    assert spark.read.parquet(f"file://{tmp_path}/g/grams").count() <= 4 * counts < made / 10
+    assert 300 < shuffled < 600 + 5 * counts
+
+
+def test_trigrams_of_odd_texts(spark, tmp_path, monkeypatch):
+    """Texts in several pieces and one in many, letters of all planes, so many letters that their numbers don't fit: each trigram of a text once."""
+    from folioscope.operators import substrings as B
+
+    wide = ["".join(chr(c) for c in range(k, 0x110000, 6) if not 0xD800 <= c < 0xE000) for k in range(6)]
+    trigrams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    texts = ["", None, "ab", "abc", "abcabcabc", "zé😀zé😀", "line\nbreak\x00 ", "y" * 500, "".join(chr(97 + k % 23) for k in range(400)), "x😀" * 90]
+    for some, letters, entries in ((texts, 50, 7), (texts + wide[:1], 4_000_000, 500_000)):
+        monkeypatch.setattr(B, "LETTERS", letters)
+        monkeypatch.setattr(B, "ENTRIES", entries)
+        rows = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(some)], "slug string, text string")
+        index = B.Trigrams.build(rows, f"file://{tmp_path}/{letters}", "k", folder=100)
+        lowered = {r["slug"]: r["text"] for r in index.table("texts").collect()}
+        doc = {r["doc"]: r["slug"] for r in rows.select("slug", F.xxhash64("slug").alias("doc")).collect()}
+        got = sorted((doc[r["doc"]], r["gram"]) for r in index.table("grams").collect())
+        assert got == sorted((s, g) for s, t in lowered.items() for g in trigrams(t))
+        assert {r["gram"]: r["n"] for r in index.table("counts").collect()} == dict(Counter(g for _, g in got))
+    found = list(B.gram_lists(np.arange(6), wide, 10**5))
+    assert len(found) > 1 and sorted((d, g) for grams, at, docs in found for i, g in enumerate(grams) for d in docs[at[i] : at[i + 1]]) == sorted((d, g) for d, t in enumerate(wide) for g in trigrams(t))
+
+
 @pytest.mark.parametrize("few", [1000, 3])
 def test_keys_of_tokens_stay_where_they_are(spark, monkeypatch, few):
     """Few words, of whatever size Spark takes them to be, are sent to the tokens; more are joined as before, with the same pairs."""
