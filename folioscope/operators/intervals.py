@@ -74,10 +74,9 @@ def _expanded(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) + (low - (np.cumsum(n) - n))[which]
 
 
-def _summed(one: np.ndarray, two: np.ndarray, n: np.ndarray, total: np.ndarray, width: int) -> list[np.ndarray]:
-    """Sums by (one, two), in their order; two < width."""
-    code, places = one * width + two, np.arange(len(one))
-    bits = len(code).bit_length()
+def _summed(code: np.ndarray, n: np.ndarray | None, total: np.ndarray) -> list[np.ndarray]:
+    """(code, n, total) of each code once, in order; n is 1 where none is given."""
+    places, bits = np.arange(len(code)), len(code).bit_length()
     if int(code.max(initial=0)).bit_length() + bits < 63:  # one sort of both is faster
         both = np.sort(code << bits | places)
         code, order = both >> bits, both & ((1 << bits) - 1)
@@ -85,40 +84,50 @@ def _summed(one: np.ndarray, two: np.ndarray, n: np.ndarray, total: np.ndarray,
         order = np.argsort(code)
         code = code[order]
     first = np.flatnonzero(np.diff(code, prepend=-1))
-    return [*np.divmod(code[first], width), *(np.add.reduceat(x[order], first) if len(first) else x for x in (n, total))]
+    if not len(first):
+        return [code, code, code]
+    many = np.diff(first, append=len(code)) if n is None else np.add.reduceat(n[order], first)
+    return [code[first], many, np.add.reduceat(total[order], first)]
 
 
 def _met(left: np.ndarray, right: np.ndarray, same: bool, most: int) -> Iterator[list[np.ndarray]]:
     """(one, two, n, total) of keys of two blocks, rows key, low and high in columns by low; if both are the same block, of keys one < two.
 
-    Intervals of ``left`` are taken by key, as many as have ``most`` pairs; sums of a key that goes on are carried over.
+    Intervals of ``left`` are taken by key, as many as have ``most`` pairs, whole keys if they can be; sums of a key that goes on are carried over.
     """
     left = left[:, np.argsort(left[0], kind="stable")]
     keys, at = np.unique(left[0], return_inverse=True)
     others, other = np.unique(right[0], return_inverse=True)
+    width = len(others).bit_length()
     low, high = right[1], right[2]
     n = np.searchsorted(low, left[2], "right") - np.searchsorted(np.sort(high), left[1], "left")
     wide = np.flatnonzero(high > low)  # in others nothing begins after their start
-    done, ends = 0, np.cumsum(n)
-    carried = [np.zeros(0, "int64")] * 4
+    done, ends, begins = 0, np.cumsum(n), np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
+    carried = [np.zeros(0, "int64")] * 3
     while done < len(n):
         upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most, "right")))
+        edge = int(begins[np.searchsorted(begins, upto, "right") - 1])
+        upto = edge if edge > done else upto
         part = np.arange(done, upto)[np.argsort(left[1, done:upto], kind="stable")]
-        starts, stops = left[1, part], left[2, part]
+        starts, stops, mine = left[1, part], left[2, part], at[part] << width
         begin = np.searchsorted(low, starts, "left")
         x, y = _expanded(begin, np.searchsorted(low, stops, "right") - begin)
         begin = np.searchsorted(starts, low[wide], "right")
         z, w = _expanded(begin, np.searchsorted(starts, high[wide], "right") - begin)
-        x, y = np.concatenate([x, w]), np.concatenate([y, wide[z]])
+        z = wide[z]
+        code = np.concatenate([mine[x] | other[y], mine[w] | other[z]])
+        both = np.concatenate([np.minimum(stops[x], high[y]) - low[y], np.minimum(stops[w], high[z]) - starts[w]])
         if same:
-            kept = keys[at[part[x]]] < others[other[y]]
-            x, y = x[kept], y[kept]
-        shared = np.minimum(stops[x], high[y]) - np.maximum(starts[x], low[y])
-        found = _summed(*(np.concatenate(p) for p in zip(carried, [at[part[x]], other[y], np.ones(len(x), "int64"), shared], strict=True)), len(others))
-        whole = np.searchsorted(found[0], at[upto]) if upto < len(n) else len(found[0])
+            kept = keys[code >> width] < others[code & ((1 << width) - 1)]
+            code, both = code[kept], both[kept]
+        if len(carried[0]):
+            found = _summed(np.concatenate([carried[0], code]), np.concatenate([carried[1], np.ones(len(code), "int64")]), np.concatenate([carried[2], both]))
+        else:
+            found = _summed(code, None, both)
+        whole = np.searchsorted(found[0], at[upto] << width) if upto < len(n) else len(found[0])
         carried = [c[whole:] for c in found]
-        a, b = keys[found[0][:whole]], others[found[1][:whole]]
-        yield [np.minimum(a, b), np.maximum(a, b), found[2][:whole], found[3][:whole]]
+        a, b = keys[found[0][:whole] >> width], others[found[0][:whole] & ((1 << width) - 1)]
+        yield [np.minimum(a, b), np.maximum(a, b), found[1][:whole], found[2][:whole]]
         done = upto
 
 
